@@ -1,20 +1,599 @@
-"""Queries of the engine over the driver's tables, with DuckDB SQL."""
+"""Queries of the engine over the driver's tables, each operator on whole tables, with DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-FLAGSHIP = "latest_per_group"
+from newsloom.functions import taxonomy, text
+from newsloom.functions.storage import shared_dir
+from newsloom.operators import cluster, decisions, fit, groups, incremental, registry
+from newsloom.plans import news
+from newsloom.sources import html, stores
+from newsloom.streaming import collect
+
+AS_OF = date(1998, 7, 29)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "topics"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def choose(key: Column, *options: Column | str | None) -> Column:
+    """One of the options by the key's remainder."""
+    out = F.lit(None).cast("string")
+    for i, o in enumerate(options):
+        out = F.when(key % len(options) == i, o if isinstance(o, Column) else F.lit(o)).otherwise(out)
+    return out
+
 
+EVENTS_SQL = "(VALUES " + ", ".join(f"({o}, '{e}', '{c}', '{cl}', '{lk}', {b})" for o, e, c, cl, lk, b in taxonomy.rows()) + ") AS x(ord, event_id, category_id, category_label, label_ko, base_importance)"
 
+# Latest rows, pivots, counts
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", -F.col("o_orderkey"))).alias("o_orderkey"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return groups.latest(orders, ["o_custkey"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def latest_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", "o_orderdate")
+    return groups.latest(orders, ["o_custkey", "o_orderstatus"], "o_orderdate", "o_orderkey").select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("""
+WITH d AS (SELECT o_custkey AS corp_code, o_orderkey AS ord, strftime(o_orderdate, '%Y%m%d') AS rcept_dt, CASE o_orderkey % 4 WHEN 0 THEN '사업보고서' WHEN 1 THEN '반기보고서' WHEN 2 THEN '분기보고서' END AS label FROM orders),
+l AS (SELECT *, row_number() OVER (PARTITION BY corp_code, label ORDER BY rcept_dt DESC, ord) AS r FROM d WHERE label IS NOT NULL),
+k AS (SELECT *, CASE WHEN label = '분기보고서' THEN 'quarter' ELSE 'annual_or_half' END AS kind FROM l WHERE r = 1)
+SELECT corp_code, kind, label, rcept_dt FROM (SELECT *, row_number() OVER (PARTITION BY corp_code, kind ORDER BY rcept_dt DESC, label = '사업보고서' DESC) AS q FROM k) WHERE q = 1""")
+def reporting_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    name = choose(key, "사업보고서 (2024.12)", "반기보고서 (2025.06)", "분기보고서 (2025.03)", "감사보고서")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("corp_code"), key.alias("ord"), name.alias("report_nm"), F.date_format("o_orderdate", "yyyyMMdd").alias("rcept_dt"))
+    return groups.reporting_periods(groups.periodic_reports(rows)).select("corp_code", "kind", "label", "rcept_dt")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 3 = 0, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END, o_orderkey) AS r FROM orders) WHERE r = 1")
+def earliest_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("day"))
+    return groups.earliest(orders, ["o_custkey"], "day", "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+EMPLOYEES = """
+WITH e AS (SELECT l_suppkey AS corp_code, year(l_shipdate) AS bsns_year, CASE l_returnflag WHEN 'A' THEN 'total' ELSE l_returnflag END AS division, CASE l_linestatus WHEN 'O' THEN 'male' ELSE 'female' END AS sex,
+  l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_orderkey END AS head_count, l_discount AS avg_tenure FROM lineitem)
+"""
+
+
+def _employee_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_orderkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("corp_code"), F.year("l_shipdate").alias("bsns_year"), F.when(F.col("l_returnflag") == "A", "성별합계").otherwise(F.col("l_returnflag")).alias("fo_bbm"),
+        F.when(F.col("l_linestatus") == "O", "남").otherwise("여").alias("sexdstn"), (key * 10 + F.col("l_linenumber")).alias("ord"), F.when(key % 5 == 0, "-").otherwise(F.format_number(key, 0)).alias("sm"),
+        F.lit("").alias("rgllbr_co"), F.lit("12.5").alias("cnttk_co"), F.col("l_discount").cast("string").alias("avrg_cnwk_sdytrn"), F.lit(None).cast("string").alias("jan_salary_am"), F.lit("1,000").alias("fyer_salary_totamt"),
+    )
+
+
+@query(EMPLOYEES + "SELECT corp_code, bsns_year, division, sex, head_count, CAST(NULL AS BIGINT) AS contract, avg_tenure, CAST(1000 AS BIGINT) AS total_salary FROM (SELECT *, row_number() OVER (PARTITION BY corp_code, bsns_year, division, sex ORDER BY ord DESC) AS r FROM e) WHERE r = 1")
+def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = groups.employees(_employee_rows(spark, sf_dir))
+    flat = nested.select("corp_code", "bsns_year", F.explode("divisions").alias("division", "s")).select("corp_code", "bsns_year", "division", F.explode("s").alias("sex", "m"))
+    return flat.select("corp_code", "bsns_year", "division", "sex", "m.head_count", "m.contract", "m.avg_tenure", "m.total_salary")
+
+
+@query("""
+WITH e AS (SELECT l_suppkey AS corp_code, year(l_shipdate) AS bsns_year, CASE WHEN l_linenumber = 1 THEN '기타' ELSE l_returnflag END AS category, l_linestatus AS name, l_orderkey * 10 + l_linenumber AS ord, l_quantity AS value FROM lineitem WHERE l_linenumber <> 2)
+SELECT corp_code, bsns_year, category, name, value FROM (SELECT *, row_number() OVER (PARTITION BY corp_code, bsns_year, category, name ORDER BY ord DESC) AS r FROM e) WHERE r = 1""")
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("corp_code"), F.year("l_shipdate").alias("bsns_year"), F.when(n == 1, None).otherwise(F.col("l_returnflag")).alias("idx_cl_nm"),
+        F.when(n == 2, "").otherwise(F.col("l_linestatus")).alias("idx_nm"), (F.col("l_orderkey") * 10 + n).alias("ord"), F.col("l_quantity").cast("string").alias("idx_val"),
+    )
+    nested = groups.indicators(rows)
+    return nested.select("corp_code", "bsns_year", F.explode("indicators").alias("category", "v")).select("corp_code", "bsns_year", "category", F.explode("v").alias("name", "value"))
+
+
+@query("""
+WITH e AS (SELECT l_suppkey, l_returnflag AS fs_div, l_linestatus AS sj_div, CAST(l_linenumber AS VARCHAR) AS account, l_orderkey * 10 + l_linenumber AS ord, l_partkey AS part, l_quantity AS amount FROM lineitem),
+a AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, fs_div, sj_div, account ORDER BY ord DESC) AS r, first_value(part) OVER (PARTITION BY l_suppkey, fs_div, sj_div ORDER BY ord) AS name FROM e)
+SELECT l_suppkey, fs_div, sj_div, CAST(name AS VARCHAR) AS name, account, amount FROM a WHERE r = 1""")
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", F.col("l_returnflag").alias("fs_div"), F.col("l_linestatus").alias("sj_div"), F.col("l_partkey").cast("string").alias("sj_nm"), F.col("l_linenumber").cast("string").alias("account_nm"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").alias("amount"),
+    )
+    nested = groups.statements(rows, ["l_suppkey"], ["amount"]).select("l_suppkey", F.explode("statements").alias("fs_div", "s"))
+    flat = nested.select("l_suppkey", "fs_div", F.explode("s").alias("sj_div", "x")).select("l_suppkey", "fs_div", "sj_div", "x.name", F.explode("x.accounts").alias("account", "v"))
+    return flat.select("l_suppkey", "fs_div", "sj_div", "name", "account", "v.amount")
+
+
+@query("""
+SELECT category, count(*) AS total, count(*) FILTER (WHERE l_discount > 0.05) AS matched FROM
+(SELECT l_discount, CASE l_linenumber WHEN 1 THEN '자격요건' WHEN 2 THEN '우대사항' WHEN 3 THEN '주요업무' WHEN 4 THEN '인재상 및 조직문화' WHEN 5 THEN '인재상 및 조직문화' END AS category FROM lineitem) WHERE category IS NOT NULL GROUP BY category""")
+def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("required", "preferred", "responsibility", "culture", "talent_values", "other", "other"))), F.col("l_linenumber"))
+    rows = table(spark, sf_dir, "lineitem").select(kind.alias("kind"), (F.col("l_discount") > 0.05).alias("matched"))
+    return fit.category_summary(rows, "kind", "matched").select("category", "total", "matched")
+
+
+@query("SELECT user_id, count(*) AS found, count(*) FILTER (WHERE value > 60) AS relevant, count(*) >= 10 AND 1 - count(*) FILTER (WHERE value > 60) / count(*) > 0.5 AS noisy FROM events GROUP BY user_id")
+def noise_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.noise(table(spark, sf_dir, "events"), ["user_id"], F.col("value") > 60)
+
+
+@query("SELECT lower(p_name) AS key, arg_min(p_name, p_partkey) AS name, min(p_partkey) AS ord FROM part GROUP BY 1")
+def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.ordered_distinct(table(spark, sf_dir, "part"), F.lower("p_name"), "p_name", "p_partkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def unseen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return groups.unseen(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
+
+
+@query("SELECT c_name FROM customer WHERE lower(replace(c_name, '#', '')) NOT IN (SELECT lower(replace(replace(s_name, 'Supplier', 'Customer'), '#', '')) FROM supplier)")
+def without_own_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "supplier").select(F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("s"))
+    plain = lambda c: F.lower(F.replace(c, F.lit("#"), F.lit("")))
+    return groups.without(table(spark, sf_dir, "customer").select("c_name"), plain(F.col("c_name")), own, plain(F.col("s")))
+
+
+@query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
+def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")).alias("v"))
+    return groups.carry_forward(events, ["user_id"], "event_id", "v", "carried").drop("v")
+
+
+@query("""
+WITH b AS (SELECT *, count(*) FILTER (WHERE event_id % 7 = 0) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS block FROM events)
+SELECT user_id, block, CAST(max(CASE WHEN event_id % 7 = 0 THEN event_id END) AS VARCHAR) AS head, string_agg(event_type, ',' ORDER BY event_id) FILTER (WHERE event_id % 7 <> 0) AS items FROM b WHERE block > 0 GROUP BY user_id, block HAVING count(*) FILTER (WHERE event_id % 7 <> 0) > 0""")
+def header_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups.blocks(table(spark, sf_dir, "events"), ["user_id"], "event_id", F.col("event_id") % 7 == 0, F.col("event_id").cast("string"), F.col("event_type"))
+    return found.select("user_id", "block", "head", F.array_join("items", ",").alias("items"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE contains(CAST(l_partkey AS VARCHAR), '77') OR contains(CAST(l_suppkey AS VARCHAR), '77'))")
+def keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return groups.keyword_groups(rows, "l_orderkey", F.lit("77"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).select("l_orderkey", "l_linenumber")
+
+
+@query("""
+SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 1""")
+def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one subject at most a day apart: an equi-join on the subject and the day's bucket and its neighbours."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))
+    a = orders.select("o_custkey", F.col("o_orderkey").alias("first"), F.col("d").alias("da"), F.explode(F.array(*(F.date_add("d", i) for i in (-1, 0, 1)))).alias("day"))
+    b = orders.select("o_custkey", F.col("o_orderkey").alias("second"), F.col("d").alias("day"))
+    return a.join(b, ["o_custkey", "day"]).where((F.col("first") < F.col("second")) & (text.days_apart(F.col("da"), F.col("day")) <= 1)).select("first", "second")
+
+
+# Scalar functions
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed FROM documents")
+def collapse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapse(F.col("text")).cast("binary")).alias("collapsed"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(DATE '1998-07-29' - CAST(o_orderkey % 9 AS INT), '%Y-%m-%d')
+  WHEN 2 THEN strftime(DATE '1998-07-29' - 7 * CAST(o_orderkey % 9 AS INT), '%Y-%m-%d') WHEN 3 THEN '1998-07-29' END AS day FROM orders""")
+def article_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    n = (key % 9).cast("string")
+    said = choose(key, F.concat(F.lit("입력 "), F.date_format("o_orderdate", "yyyy.M.d"), F.lit(".")), F.concat(n, F.lit("일 전")), F.concat(n, F.lit(" 주 전")), F.concat(n, F.lit("시간 전")), F.when(key % 2 == 0, "2024.02.30").otherwise("1개월 전"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(text.article_date(said, AS_OF), "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT c_custkey, c_name || ' A&B.' AS plain, lower(c_name) || 'a&b.' AS name_key, replace(c_name, ' ', '') || 'AB' AS registry_key FROM customer")
+def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("㈜ "), F.col("c_name"), F.lit(" (주)  A&B. 유한회사"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.strip_entity(name).alias("plain"), text.name_key(name).alias("name_key"), text.registry_key(name).alias("registry_key"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 1000 END AS whole, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey * 1000 AS DOUBLE) WHEN 1 THEN 12.5::DOUBLE END AS real FROM orders""")
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    said = choose(key, F.concat(F.lit(" "), F.format_number(key * 1000, 0)), "12.5", "-", "")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.to_int(said).alias("whole"), text.to_float(said).alias("real"))
+
+
+@query("""
+SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS number, s_suppkey % 3 <> 2 AS same, s_suppkey % 2 = 0 AS verified FROM supplier""")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    number = F.lpad(key.cast("string"), 10, "0")
+    dashed = F.concat_ws("-", F.substring(number, 1, 3), F.substring(number, 4, 2), F.substring(number, 6, 5))
+    person = choose(key, "대표이사 김 철수", "김철수 CEO", "이영희")
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", text.business_number(F.concat(F.lit("주소 사업자 등록번호 : "), dashed, F.lit(" 끝"))).alias("number"), text.same_person(person, F.lit("김철수 대표")).alias("same"),
+        text.verified(dashed, person, F.when(key % 2 == 0, number).otherwise("0"), F.lit("김철수")).alias("verified"),
+    )
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '11011' WHEN 1 THEN '11012' WHEN 2 THEN '11013' WHEN 3 THEN '11014' END AS code, CASE WHEN o_orderkey % 5 < 4 THEN strftime(o_orderdate, '%Y') END AS year FROM orders""")
+def report_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, year = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy")
+    at = lambda m: F.concat(F.lit("("), year, F.lit(f".{m})"))
+    name = choose(key, F.concat(F.lit("사업보고서 "), at("12")), F.concat(F.lit("반기보고서 "), at("06")), F.concat(F.lit("[기재정정]분기보고서 "), at("03")), F.concat(F.lit("분기보고서 "), at("09")), "분기보고서")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.report_code(name).alias("code"), text.fiscal_year(name).alias("year"))
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://www.jobkorea.co.kr/Recruit/GI_Read_Comt_Ifrm?Gno=' || page_id END AS detail, page_id % 3 = 0 AS blocked,
+  '2025-0' || (page_id % 9 + 1) || '-05' AS deadline FROM pages""")
+def posting_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    at = F.concat(F.when(key % 2 == 0, "https://www.jobkorea.co.kr").otherwise("https://evil-jobkorea.co.kr.example.com"), F.lit("/Recruit/GI_Read/"), key.cast("string"), F.lit("?Oem=1"))
+    url = F.when(key % 3 == 0, "https://blog.naver.com/a").otherwise(F.col("url"))
+    body = F.concat(F.lit("접수 2024-01-02 ~ 2025년 "), (key % 9 + 1).cast("string"), F.lit("월 5일"))
+    return table(spark, sf_dir, "pages").select("page_id", text.detail_url(at).alias("detail"), text.blocked(url).alias("blocked"), text.deadline(F.lit(None).cast("string"), body).alias("deadline"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 <> 2 AS named FROM customer")
+def names_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    said = choose(key, F.concat(F.lit("about ㈜"), F.upper("c_name"), F.lit("!")), "한빛 공장", "nobody")
+    name = F.when(key % 3 == 1, "한빛테크").otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.name_appears(name, said).alias("named"))
+
+
+@query("SELECT event_id, ['image/png', 'image/jpeg', 'image/webp', 'image/gif', 'image/png'][event_id % 5 + 1] AS mime FROM events")
+def image_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = choose(F.col("event_id"), "89504E470D0A1A0A00", "FFD8FFE000", "524946460000000057454250", "47494638396100", "00")
+    return table(spark, sf_dir, "events").select("event_id", text.mime(F.unhex(data)).alias("mime"))
+
+
+@query("""
+SELECT c_custkey, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['"' || c_name || '"', '기업 "' || c_name || '"', '"' || c_name || '" "Kim"', '기업 "' || c_name || '" "Kim"'] ELSE ['"' || c_name || '"', '기업 "' || c_name || '"'] END) AS variant FROM customer""")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.query_variants(F.concat(F.lit("주식회사 "), F.col("c_name")), F.when(F.col("c_custkey") % 2 == 0, "Kim"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.explode(found).alias("variant"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, '[' || CASE l_linenumber WHEN 1 THEN '자격요건' WHEN 2 THEN '우대사항' ELSE '기타' END || '] ' || CASE WHEN l_tax > 0.03 THEN '✓' ELSE '✗' END || ' need ' || l_partkey
+  || CASE WHEN l_tax > 0.03 AND l_linenumber <> 3 THEN chr(10) || '  근거: ' || l_returnflag ELSE '' END || chr(10) || '  판단: ' || l_linestatus AS line FROM lineitem""")
+def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    kind = F.when(n == 1, "required").when(n == 2, "preferred").otherwise("unknown")
+    line = fit.match_text(kind, F.col("l_tax") > 0.03, F.concat(F.lit("need "), F.col("l_partkey").cast("string")), F.when(n == 3, "").otherwise(F.col("l_returnflag")), F.col("l_linestatus"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= 2 THEN 'skills[' || (l_linenumber - 1) || ']' END AS field, CASE WHEN l_linenumber <= 2 THEN 'ev' || (l_linenumber - 1) ELSE 'model' END AS excerpt FROM lineitem WHERE NOT (l_linenumber = 4)""")
+def evidence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    feature = lambda i: F.struct(F.lit(f"n{i}").alias("name"), F.lit(f"ev{i}").alias("evidence"), F.lit("cv").alias("source"))
+    profile = F.struct(*(F.array(feature(0), feature(1)).alias(s) for s in fit.SECTIONS))
+    path = F.when(n <= 5, F.concat(F.lit("skills["), (n - 1).cast("string"), F.lit("]"))).when(n == 6, "NONE")
+    company = F.struct(F.array().cast("array<string>").alias("culture"), F.array(F.lit("x")).alias("industry_domain"), F.array(F.lit("x")).alias("talent_values"))
+    items = table(spark, sf_dir, "lineitem").withColumn("dimension", F.when(n == 4, "culture").when(n == 5, "talent_values"))
+    made = fit.with_dimension(items, company).withColumn("e", fit.evidence(path, F.lit("model"), profile, "candidate"))
+    return made.select("l_orderkey", "l_linenumber", "e.field", "e.excerpt")
+
+
+# Taxonomy, decisions, timelines, topics
+
+
+@query(f"SELECT * FROM {EVENTS_SQL}")
+def event_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.taxonomy(spark)
+
+
+@query(f"""
+WITH t AS (SELECT * FROM {EVENTS_SQL}), c AS (SELECT min(ord) AS ord, '[' || category_id || '] ' || category_label || chr(10) || string_agg('  ' || event_id || ': ' || label_ko || ' (중요도' || base_importance || ')', chr(10) ORDER BY ord) AS block FROM t GROUP BY category_id, category_label)
+SELECT string_agg(block, chr(10) ORDER BY ord) AS prompt_text FROM c""")
+def taxonomy_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.prompt_text(spark)
+
+
+def _event(key: Column) -> Column:
+    """An event of the taxonomy by the key, and an unknown one for some."""
+    names = F.array(*(F.lit(r[1]) for r in taxonomy.rows()), F.lit("no.such_event"))
+    return F.element_at(names, (key % 62 + 1).cast("int"))
+
+
+ISSUES_SQL = f"""
+WITH t AS (SELECT * FROM {EVENTS_SQL}),
+i AS (SELECT o_orderkey AS ord, coalesce(t.event_id, 'general_other.general_pr') AS event_id, coalesce(t.category_id, 'general_other') AS category_id, CAST(o_orderkey * 7919 % 10 + 1 AS INT) AS importance, strftime(o_orderdate, '%Y-%m') AS occurred_month, o_orderpriority AS category
+  FROM orders LEFT JOIN t ON t.ord = o_orderkey % 62)
+"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(key.alias("ord"), _event(key).alias("event_id"), (key * 7919 % 10 + 1).cast("int").alias("importance"), F.date_format("o_orderdate", "yyyy-MM").alias("occurred_month"), F.col("o_orderpriority").alias("category"))
+
+
+@query(ISSUES_SQL + "SELECT category_id, CAST(row_number() OVER (PARTITION BY category_id ORDER BY importance DESC, ord) - 1 AS INT) AS pos, ord, event_id, importance FROM i")
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decisions.topics(_issues(spark, sf_dir))
+    return found.select("category_id", F.posexplode("issues").alias("pos", "i")).select("category_id", "pos", "i.ord", "i.event_id", "i.importance")
+
+
+@query(ISSUES_SQL + "SELECT y.year, CAST(row_number() OVER (PARTITION BY y.year ORDER BY importance DESC, ord) - 1 AS INT) AS pos, ord, category FROM i JOIN (VALUES ('1996'), ('1997'), ('1998')) AS y(year) ON y.year = occurred_month[1:4]")
+def yearly_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decisions.yearly(_issues(spark, sf_dir), AS_OF)
+    return found.select("year", F.posexplode("issues").alias("pos", "i")).select("year", "pos", "i.ord", "i.category")
+
+
+@query("SELECT count(*) AS news_count FROM orders")
+def issue_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.issue_count(decisions.lighten(decisions.topics(_issues(spark, sf_dir)), ("event_id", "importance")))
+
+
+CHAIN_SQL = """
+WITH o AS (SELECT *, row_number() OVER w - 1 AS idx, date_diff('day', lag(o_orderdate) OVER w, o_orderdate) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+c AS (SELECT *, sum(CASE WHEN gap <= 90 THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY idx) AS chain FROM o),
+m AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS mon FROM c)
+"""
+
+
+@query(CHAIN_SQL + """
+SELECT min(o_orderkey) AS ord, arg_max(mon, (mon, o_orderkey)) AS occurred_month, CASE WHEN count(*) > 1 THEN string_agg('[' || mon || '] ' || o_orderstatus, ' → ' ORDER BY mon, o_orderkey) ELSE min(o_orderstatus) END AS gist,
+  CAST(max(o_orderkey % 10 + 1) AS INT) AS importance, CAST(count(*) AS INT) AS n FROM m GROUP BY o_custkey, chain""")
+def timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    orders = table(spark, sf_dir, "orders").withColumn("idx", F.row_number().over(by) - 1).withColumn("gap", F.date_diff("o_orderdate", F.lag("o_orderdate").over(by)))
+    links = F.when(F.col("gap") <= 90, F.array(F.col("idx") - 1)).otherwise(F.array().cast("array<int>"))
+    issues = orders.select(
+        F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("batch_id"), "idx", F.lit("t").alias("issue_title"), F.date_format("o_orderdate", "yyyy-MM").alias("occurred_month"), F.col("o_orderstatus").alias("gist"),
+        F.lit("").alias("detail_summary"), F.lit(taxonomy.FALLBACK).alias("event_id"), F.array("o_orderkey").alias("articles"), (F.col("o_orderkey") % 10 + 1).cast("int").alias("company_importance"), links.alias("supersedes"),
+    )
+    return decisions.merge_timelines(issues).select("ord", "occurred_month", "gist", "importance", F.size("articles").alias("n"))
+
+
+ITEMS_SQL = "WITH i AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) AS n FROM orders), b AS (SELECT o_custkey * 1000 + n // 6 AS batch_id, CAST(n % 6 AS INT) AS idx, o_orderkey FROM i)"
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return decisions.batches(orders, ["o_custkey"], "o_orderkey", 6).select((F.col("o_custkey") * 1000 + F.col("batch_id")).alias("batch_id"), "idx", "o_orderkey")
+
+
+@query("SELECT o_orderkey, CAST(n // 25 AS BIGINT) AS batch_id, CAST(n % 25 AS INT) AS idx FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS n FROM orders)")
+def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.batches(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], "o_orderkey").select("o_orderkey", "batch_id", "idx")
+
+
+@query(ITEMS_SQL + "SELECT o_orderkey, CAST(CASE WHEN batch_id % 3 = 0 THEN idx ELSE 5 - idx END AS INT) AS pos FROM b WHERE batch_id % 3 = 0 OR idx <> 1")
+def relevant_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    said = items.where("batch_id % 3 != 0").select("batch_id", (5 - F.col("idx")).alias("pos"), F.when(F.col("idx") == 1, 99).otherwise(F.col("idx")).alias("idx"))
+    return decisions.keep_relevant(items, said).select("o_orderkey", "pos")
+
+
+@query(ITEMS_SQL + ", s AS (SELECT batch_id, count(*) AS size FROM b GROUP BY batch_id) SELECT o_orderkey, CASE WHEN batch_id % 3 = 0 AND size > 1 OR batch_id % 3 = 1 AND size < 3 THEN CAST(idx // 2 AS INT) ELSE idx END AS group_no FROM b JOIN s USING (batch_id) WHERE NOT (batch_id % 3 = 0 AND size > 1 AND idx = 0)")
+def grouped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid answers without the first index, answers out of range from three rows on, and batches without an answer."""
+    items = _items(spark, sf_dir)
+    half = F.floor(F.col("idx") / 2).cast("int")
+    valid = items.where("batch_id % 3 = 0 and idx > 0").select("batch_id", half.alias("group_no"), "idx")
+    wrong = items.where("batch_id % 3 = 1").select("batch_id", half.alias("group_no"), F.when(F.col("idx") == 2, 50).otherwise(F.col("idx")).alias("idx"))
+    return decisions.group_items(items, valid.union(wrong)).select("o_orderkey", "group_no")
+
+
+@query(ITEMS_SQL + "SELECT o_orderkey, CASE WHEN idx = 3 THEN '' WHEN idx = 2 THEN 'second' ELSE 'first' END AS gist, CASE WHEN idx = 3 THEN 'general_other.general_pr' ELSE 'esg_csr.csr_activity' END AS event_id FROM b")
+def summarised_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir)
+    answer = lambda df, pos, gist: df.select("batch_id", F.lit(pos).alias("pos"), "idx", F.lit(gist).alias("gist"), F.lit("").alias("detail_summary"), F.lit("esg_csr.csr_activity").alias("event_id"))
+    said = answer(items.where("idx != 3"), 0, "first").union(answer(items.where("idx = 2"), 1, "second"))
+    return decisions.summaries(items, said).select("o_orderkey", "gist", "event_id")
+
+
+@query(ITEMS_SQL + f""", t AS (SELECT * FROM {EVENTS_SQL}), s AS (SELECT batch_id, count(*) AS size FROM b GROUP BY batch_id)
+SELECT o_orderkey, CAST(CASE WHEN idx = 0 THEN coalesce(base_importance, 2) ELSE greatest(1, least(10, o_orderkey % 20 - 4)) END AS INT) AS company_importance, CASE WHEN idx = 0 THEN '' ELSE CAST(idx - 1 AS VARCHAR) END AS supersedes
+FROM b JOIN s USING (batch_id) LEFT JOIN t ON t.ord = o_orderkey % 62""")
+def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir).withColumn("event_id", _event(F.col("o_orderkey")))
+    links = F.array(F.col("idx") - 1, F.col("idx"), F.lit(77), F.lit(-1))
+    said = items.where("idx > 0").select("batch_id", F.lit(0).alias("pos"), "idx", (F.col("o_orderkey") % 20 - 4).cast("int").alias("company_importance"), links.alias("supersedes"))
+    return decisions.importance(items, said).select("o_orderkey", "company_importance", F.array_join("supersedes", ",").alias("supersedes"))
+
+
+@query()
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words stand for tokens; each source's documents in order of id."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    return decisions.token_batches(docs, "source", "doc_id", "text", str.split, " ".join, 20_000, 2000).drop("text")
+
+
+# Registry
+
+
+@query("""
+WITH r AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END AS listed, CASE WHEN c_custkey % 5 = 0 THEN 'ENG ' || c_custkey ELSE '' END AS eng, c_custkey % 97 AS modified FROM customer),
+n AS (SELECT s_suppkey, unnest([0, 1]) AS pos, unnest([CASE s_suppkey % 4 WHEN 0 THEN 'nobody' WHEN 1 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') WHEN 2 THEN '㈜customer#' ELSE 'Customer#00000' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') END, CASE WHEN s_suppkey % 4 = 0 THEN 'ENG' || s_suppkey * 5 ELSE 'x' END]) AS name FROM supplier),
+k AS (SELECT *, regexp_replace(replace(name, '㈜', ''), '[\\s().,&]', '', 'g') AS key FROM n),
+m AS (SELECT s_suppkey, pos, c_custkey, listed, modified, length(c_name) AS size, CASE WHEN name = c_name OR name = eng THEN 1 WHEN key = c_name OR (eng <> '' AND key = replace(eng, ' ', '')) THEN 2 ELSE 3 END AS tier FROM k JOIN r
+  ON name = c_name OR name = eng OR key = c_name OR (eng <> '' AND key = replace(eng, ' ', '')) OR (length(key) >= 4 AND (contains(c_name, key) OR contains(replace(eng, ' ', ''), key)))),
+f AS (SELECT *, rank() OVER (PARTITION BY s_suppkey ORDER BY tier, pos) AS a, min(size) OVER (PARTITION BY s_suppkey, tier, pos) AS least FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY listed DESC, lpad(CAST(modified AS VARCHAR), 3, '0') DESC, c_custkey) AS rank, count(*) OVER (PARTITION BY s_suppkey) AS n FROM f WHERE a = 1 AND (tier < 3 OR size = least))
+SELECT s_suppkey AS subject, c_custkey AS corp_code, tier, CAST(rank AS INT) AS rank, n FROM g""")
+def registry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, known = _names(spark, sf_dir), _registry(spark, sf_dir)
+    return registry.ranked(registry.candidates(names, known), known).select("subject", "corp_code", "tier", "rank", "n")
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    first = choose(key, "nobody", F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0")), "㈜customer#", F.concat(F.lit("Customer#00000"), F.lpad(key.cast("string"), 3, "0")))
+    second = F.when(key % 4 == 0, F.concat(F.lit("ENG"), (key * 5).cast("string"))).otherwise("x")
+    return table(spark, sf_dir, "supplier").select(key.alias("subject"), F.posexplode(F.array(first, second)).alias("pos", "name"))
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("corp_code"), F.col("c_name").alias("corp_name"), F.when(key % 5 == 0, F.concat(F.lit("ENG "), key.cast("string"))).otherwise("").alias("corp_eng_name"),
+        F.when(F.col("c_nationkey") % 3 == 0, "S").otherwise("").alias("stock_code"), F.lpad((key % 97).cast("string"), 3, "0").alias("modify_date"), key.alias("ord"),
+    )
+
+
+@query()
+def registry_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    known = table(spark, sf_dir, "supplier").select(key.alias("subject"), F.when(key % 2 == 0, F.lpad(key.cast("string"), 10, "0")).alias("biz_no"), F.lit(None).cast("string").alias("ceo_name"))
+    overview = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("corp_code"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("bizr_no"), F.lit("").alias("ceo_nm"))
+    return registry.resolve(_names(spark, sf_dir), _registry(spark, sf_dir), known, overview)
+
+
+# Vectors
+
+
+@query("""
+WITH e AS (SELECT vec_id, label, vec_id % 3 AS press, embedding FROM embeddings), p AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, a.press AS pa, b.press AS pb, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+m AS (SELECT label, a, row_number() OVER (PARTITION BY label ORDER BY round(avg(s), 9) DESC, a) AS r FROM p GROUP BY label, a), f AS (SELECT label, a FROM m WHERE r = 1),
+s AS (SELECT label, b, row_number() OVER (PARTITION BY label ORDER BY (pa <> pb) DESC, s DESC, b) AS r FROM p JOIN f USING (label, a))
+SELECT label, a AS vec_id, 1 AS pick FROM f UNION ALL SELECT label, b, 2 FROM s WHERE r = 1""")
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("press", F.col("vec_id") % 3)
+    return cluster.representatives(rows, "label", "vec_id", "embedding", "press").select("label", "vec_id", "pick")
+
+
+@query("""
+WITH p AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id, list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, item_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS INT) AS rank FROM p) WHERE rank <= 5""")
+def top_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return cluster.top_similar(rows.where("vec_id % 100 = 0"), rows, "vec_id", "vec_id", "embedding").select("query_id", "item_id", "rank")
+
+
+@query()
+def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("day", F.date_add(F.lit(AS_OF), (F.col("vec_id") % 3).cast("int")))
+    return cluster.leader_clusters(rows, "label", "vec_id", "embedding", "day", near=0.35)
+
+
+@query()
+def coherent_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.coherent_groups(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", least=0.1)
+
+
+# Collection
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate >= '1998-01-29' THEN 0 WHEN o_orderdate >= '1998-01-01' THEN 1 WHEN o_orderdate >= '1997-01-01' THEN 2 ELSE 3 END AS round FROM orders WHERE o_orderdate >= '1996-01-01' AND o_orderdate < '1998-07-30'")
+def search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    return incremental.rounds(orders, AS_OF, "day").select("o_orderkey", "round")
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, props AS url, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 + 1 AS page FROM events), r AS (SELECT * FROM p WHERE page <= 30),
+f AS (SELECT *, min(page) OVER (PARTITION BY user_id, url) < page AS old FROM r), s AS (SELECT user_id, page, avg(old::INT) AS share FROM f GROUP BY user_id, page),
+e AS (SELECT user_id, coalesce(min(page) FILTER (WHERE share >= 0.8), 31) AS last FROM s GROUP BY user_id)
+SELECT user_id, event_id FROM f JOIN e USING (user_id) WHERE page < last AND NOT old""")
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) / 10) + 1
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("props").alias("url"), page.cast("int").alias("page"))
+    return incremental.read_pages(rows, ["user_id"], "page", "event_id", "url").select("user_id", "event_id")
+
+
+@query("SELECT event_id, ts::VARCHAR AS ts FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-09'")
+def day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stores.day_window(table(spark, sf_dir, "events"), F.col("ts"), date(2024, 1, 5), date(2024, 1, 9))
+    return rows.where(F.col("ts") < F.lit(date(2024, 1, 9))).select("event_id", F.col("ts").cast("string").alias("ts"))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, counted by day; every batch's snapshot is written before the next."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = collect.counts(stream, "ts", "1 day", ["event_type"])
+    collect.run_available(counted, f"{at}/state", lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/out"), "complete")
+    return spark.read.parquet(f"{at}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_new_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    collect.run_available(collect.new_by_key(stream, "user_id", "ts", "60 days"), f"{at}/state", collect.snapshots(f"{at}/out"))
+    return spark.read.parquet(f"{at}/out").select("user_id")
+
+
+@query("SELECT 'order' AS kind, CAST(o_custkey AS VARCHAR) AS key, CAST(max(o_orderkey) AS VARCHAR) AS n FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY o_custkey")
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports saved and listed again; some of them are no JSON."""
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    key = F.col("o_orderkey")
+    payload = F.when(key % 10 == 0, "{broken").otherwise(F.concat(F.lit('{"n":'), key.cast("string"), F.lit("}")))
+    saved = F.timestamp_seconds(key).cast("timestamp_ntz")
+    stores.save_reports(table(spark, sf_dir, "orders").select(F.lit("order").alias("kind"), F.col("o_custkey").cast("string").alias("key"), saved.alias("saved_at"), payload.alias("payload")), path)
+    found = stores.latest_reports(stores.list_reports(spark, path, "order"))
+    return found.select("kind", "key", F.get_json_object("payload", "$.n").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS cust FROM orders WHERE o_orderkey % 4 <> 0""")
+def api_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    row = F.to_json(F.struct(F.when(key % 3 != 0, F.col("o_custkey")).alias("cust")))
+    body = F.when(key % 4 == 0, '{"status":"013","message":"none"}').otherwise(F.concat(F.lit('{"status":"000","list":['), row, F.lit("]}")))
+    return stores.api_rows(table(spark, sf_dir, "orders").withColumn("body", body), "body", "cust bigint", ("o_orderkey",))
+
+
+@query()
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", html.html_lines(F.col("html")).alias("lines"), html.html_flat(F.col("html")).alias("flat"))
+
+
+@query()
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", html.links(F.col("html")).alias("links"))
+    return pages.select("page_id", F.size("links").alias("n"), html.link_by_words(F.col("links"), F.col("url"), ("the", "la")).alias("by_word"), html.company_link(F.col("html"), F.col("url")).alias("company"), html.official_url(F.col("links")).alias("official"))
+
+
+@query("SELECT d.doc_id, coalesce(p.url, d.source) AS body FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
+def mirror_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as articles, their mirrors pages with the URL for a body."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("mirror_url"), F.col("source").alias("snippet"))
+    body = F.concat(F.lit('<article id="dic_area"><b>'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</b></article>"))
+    return html.with_body(docs, table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), body.alias("html"))).select("doc_id", "body")
 
 
-QUERIES = {"latest_per_group": latest_per_group}
-ORACLE = {
-    "latest_per_group": """
-SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1""",
-}
+@query()
+def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole news pipeline: embeddings as articles, labels as searches, answers made from positions."""
+    vec = F.col("vec_id")
+    articles = table(spark, sf_dir, "embeddings").select(
+        F.col("label").cast("string").alias("subject"), vec.alias("ord"), F.concat(F.lit("title "), vec.cast("string")).alias("title"), F.lit("snippet").alias("snippet"), F.lit("").alias("body"), F.lit("u").alias("url"),
+        (vec % 4).cast("string").alias("press"), F.date_add(F.lit(AS_OF), -(vec % 400).cast("int")).alias("date"), "embedding",
+    )
+    none = spark.createDataFrame([], "batch_id long, group_no int, idx int")
+    found = news.issues(news.issue_groups(articles, none, "title"))
+    batches = spark.range(6).select(F.lit(0).cast("long").alias("batch_id"), F.lit(0).alias("pos"), F.col("id").cast("int").alias("idx"))
+    summary = batches.select("*", F.lit("gist").alias("gist"), F.lit("detail").alias("detail_summary"), F.lit("tech_rnd.patent_filing").alias("event_id"))
+    ranks = batches.select("*", (F.col("idx") + 5).alias("company_importance"), F.array().cast("array<int>").alias("supersedes"))
+    made, _ = news.finalise(found, summary, ranks)
+    return made.select("category_id", "category_label", "top", F.size("issues").alias("n"))
