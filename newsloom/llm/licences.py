@@ -85,7 +85,7 @@ _CUT = "\x01"
 
 def normalise(sentence: Column) -> Column:
     """Lower case, versions as #, and single blanks between words. Comment marks, quotes and brackets go with the punctuation."""
-    plain = F.lower(sentence)
+    plain = F.translate(F.lower(sentence), "#", " ")
     plain = F.regexp_replace(plain, rf"(version |licenses?/|v\. ?|v|cc0 |-|by |nc |sa |nd )({VERSION})", "$1#")
     return F.trim(F.regexp_replace(plain, OTHER, " "))
 
