@@ -164,7 +164,7 @@ def blocked(url: Column, domains: tuple[str, ...] = BLOCKED_DOMAINS) -> Column:
 
 def name_appears(name: Column, text: Column) -> Column:
     """Whether a text names a company: its key, or, lenient on purpose, the name's first two Hangul letters."""
-    key, where, prefix = name_key(name), name_key(text), F.regexp_extract(name, "^([가-힣]{2})", 1)
+    key, where, prefix = name_key(name), name_key(text), F.regexp_extract(F.coalesce(name, F.lit("")), "^([가-힣]{2})", 1)
     return ((key != "") & F.contains(where, key)) | ((prefix != "") & F.contains(where, prefix))
 
 
