@@ -97,20 +97,22 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, see
     return {"table": model["filters"] + model["classes"][:, _CLASS]} | {k: model[k] for k in ("shift", "weights", "bias")}
 
 
-def learn(df: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most sample rows of each label (0 and others), the first by a hash of the id, at the labels' share in df.
+def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """A model from at most sample documents of each label (0 and others), the first by a hash of the id, at the labels' share.
 
-    Null labels teach nothing, null texts are empty. The driver gets those rows' first SAMPLE_BYTES bytes only; scoring
-    reads whole texts. Without labels every text scores alike.
+    Of labels only ids and labels are read; the at most 2 * sample ids drawn are sent to the documents, and the driver gets
+    those documents' first SAMPLE_BYTES bytes; scoring reads whole texts. Null ids and labels teach nothing, of one id's
+    labels the largest counts, null texts are empty. Without labels every text scores alike.
     """
-    rows = df.where(F.col(label_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string"), F.lit(4)).alias("h"), (F.col(label_col) != 0).cast("int").alias("y"),
-        F.coalesce(F.substring(utf8(text_col), 1, SAMPLE_BYTES), F.lit(b"")).alias("text"),
-    )
-    share = rows.agg(F.avg("y")).first()[0] or 0.5
-    got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy("h", "text").limit(sample).collect()]
+    own = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y")).where("id is not null and y is not null")
+    own = own.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(4)))
+    share = own.agg(F.avg("y")).first()[0]
+    drawn = own.where("y = 0").orderBy("h", "id").limit(sample).union(own.where("y = 1").orderBy("h", "id").limit(sample))
+    text = F.coalesce(F.substring(utf8(text_col), 1, SAMPLE_BYTES), F.lit(b""))
+    got = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(drawn), "id").select("h", "y", "text").collect()
+    got = sorted((r["h"], r["y"], bytes(r["text"])) for r in got)[: 2 * sample]
     prior = min(max(share, 0.01), 0.99) if got else None
-    return train([bytes(r["text"]) for r in got], [r["y"] for r in got], prior)
+    return train([t for _, _, t in got], [y for _, y, _ in got], prior)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:

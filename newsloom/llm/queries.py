@@ -34,8 +34,7 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    learned = quality.learn(docs.where(fold("doc_id", 5) != 0).select("doc_id", "text").join(labels, "doc_id"), "quality")
+    learned = quality.learn(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0), "quality")
     scored = quality.predict(docs, learned)
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -103,11 +103,17 @@ def test_quality_learns_and_keeps_clean_rows():
 
 def test_quality_edge_rows(spark):
     rows = frame(spark, [(1, "good text", 1), (1, "good text", 1), (2, None, 0), (None, "x", None), (3, "", 1)], "doc_id long, text string, quality int")
-    model = quality.learn(rows, "quality")
+    model = quality.learn(rows, rows, "quality")
     got = quality.predict(rows.withColumn("score", F.lit("x")), model).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     none = rows.where("false")
-    assert quality.predict(none, quality.learn(none, "quality")).count() == 0
+    assert quality.predict(none, quality.learn(none, none, "quality")).count() == 0
+
+
+def test_quality_held_out(spark):
+    got = queries.op4_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
+    clean, junk = ([r.predicted for r in got if r.quality == q] for q in (1, 0))
+    assert np.mean(clean) > 0.95 and np.mean(junk) < 0.5
 
 
 # Pieces
