@@ -16,29 +16,38 @@ ANCHORS = {
     "es": "al como con de del el ella en es esta este fue ha la las lo los más no para pero por que se ser si sin su sus un una y",
 }
 WORDS = tuple(sorted({w for words in ANCHORS.values() for w in words.split()}))
-#: Content words in a chain.
-CHAIN = 2
+#: Content words in a chain; quantiles by which rows are put in order, and rows of a bucket between them.
+CHAIN, PROBES, ROWS = 2, 64, 2000
 _MARK = "\x02"
 
 
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The ascending distinct hashes (array<long>) of a text's chains; null counts as empty.
+def _branches(words: list[str]) -> str:
+    """A pattern of the words, grouped by their first letters, so that a text's word is tried against few of them."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        heads.setdefault(w[:1], []).append(w[1:])
+    parts = [h + (_branches(rest) if len(rest) > 1 else rest[0]) for h, rest in heads.items() if h]
+    return f"(?:{'|'.join(parts)}){'?' if '' in heads else ''}"
+
+
+def with_signatures(df: DataFrame, text: Column, out: str, chain: int = CHAIN) -> DataFrame:
+    """df with the ascending distinct hashes (array<long>) of a text's chains; null counts as empty.
 
     Words are runs of letters and digits, in lower case. A chain is an anchor and the next content words after it, other
     anchors between them left out. A text without a chain has its content words for signatures, and without those its
-    words; no word, no signature.
+    words; no word, no signature. The steps are columns of their own, so that none is computed twice.
     """
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
-    plain = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
-    # Words that are anchors become a mark and the word: no letter or digit is before or after a mark's word.
-    marked = F.regexp_replace(plain, rf" (?=(?:{'|'.join(WORDS)}) )", f" {_MARK}")
-    content = rf" (?:{_MARK}[^ ]+ )*+([^ {_MARK}]+)"
-    found = F.regexp_extract_all(marked, F.lit(rf"{_MARK}[^ ]+(?=({content.replace('(', '(?:').replace('(?:?:', '(?:') * chain}) )"), F.lit(1))
-    chains = F.transform(found, lambda s: F.xxhash64(F.regexp_replace(s, rf" (?:{_MARK}[^ ]+ )*+", " ")))
-    words = F.filter(F.split(F.trim(marked), " "), lambda w: w != "")
+    # Each anchor becomes a mark and itself; no mark is a letter or a digit.
+    marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(plain), F.lit(" ")), rf" (?={_branches(list(WORDS))} )", f" {_MARK}")
+    content = rf" (?:{_MARK}[^ ]+ )*+[^ {_MARK}]+"
+    found = F.regexp_extract_all(F.col("__marked"), F.lit(rf"{_MARK}[^ ]+(?=((?:{content}){{{chain}}}) )"), F.lit(1))
+    chains = F.transform("__found", lambda s: F.xxhash64(F.regexp_replace(s, rf" (?:{_MARK}[^ ]+ )*+", " ")))
+    words = F.filter(F.split(F.trim("__marked"), " "), lambda w: w != "")
     lone = F.filter(words, lambda w: ~w.startswith(_MARK))
-    other = F.transform(F.when(F.size(lone) > 0, lone).otherwise(words), lambda w: F.xxhash64(w))
-    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, chains).otherwise(other)))
+    other = F.transform(F.when(F.size(lone) > 0, lone).otherwise(words), lambda w: F.xxhash64(F.translate(w, _MARK, "")))
+    made = df.withColumn("__marked", marked).withColumn("__found", found)
+    return made.withColumn(out, F.array_sort(F.array_distinct(F.when(F.size("__found") > 0, chains).otherwise(other)))).drop("__marked", "__found")
 
 
 def fingerprint(signature_set: Column) -> Column:
@@ -52,21 +61,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(df: DataFrame, id_col: str, columns: dict[str, Column]) -> DataFrame:
-    """df with each of columns taken from the next row by id; the last row has the first's. Null ids come last; ties in no set order.
+def _bucket(df: DataFrame, id_col: str) -> Column:
+    """A number that rises with the id and holds about ROWS rows each: the id's place among PROBES quantiles, and between two of them in proportion. Null ids come last."""
+    probes = [i / PROBES for i in range(PROBES + 1)]
+    n, bounds = df.agg(F.count(id_col), F.percentile_approx(F.col(id_col), probes, 10_000)).first()
+    bounds = sorted(set(bounds or [0]))
+    parts = max(1, -(-n // (len(bounds) * ROWS)))
+    edges = F.array(*map(F.lit, bounds))
+    place = F.size(F.filter(edges, lambda b: b <= F.col(id_col)))
+    low, high = F.get(edges, place - 1).cast("double"), F.get(edges, place).cast("double")
+    within = F.coalesce(F.floor((F.col(id_col).cast("double") - low) / (high - low) * parts), F.lit(0))
+    return F.when(F.col(id_col).isNull(), F.lit((len(bounds) + 1) * parts)).otherwise(place * parts + F.least(F.lit(parts - 1), within)).cast("long")
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+    """df with the text of the next row by id (a long) in out; the last row has the first's. Null ids come last, and rows of one id go by text.
 
-    Rows are dealt out by ranges of the id, so each range finds its own successors; only the first row of each range meets the
-    range before it.
+    Rows are dealt out once, into buckets that rise with the id, and each bucket finds its rows' successors; its last row
+    takes the first of the next bucket that has any. Those first rows are found by their ids, which are one a bucket.
     """
-    dealt = materialise(df.withColumns(columns).repartitionByRange(F.col(id_col).asc_nulls_last()).withColumn("__part", F.spark_partition_id()))
-    order = W.partitionBy("__part").orderBy(F.col(id_col).asc_nulls_last())
-    numbered = dealt.withColumn("__last", F.row_number().over(order) == F.count("*").over(W.partitionBy("__part")))
-    followed = numbered.withColumns({c: F.lead(c).over(order) for c in columns})
-    heads = dealt.groupBy("__part").agg(F.min_by(F.struct(*columns), F.struct(F.col(id_col).isNull(), F.col(id_col))).alias("__head"))
-    ring = W.orderBy("__part")
-    wrap = heads.select("__part", F.coalesce(F.lead("__head").over(ring), F.first("__head").over(ring)).alias("__head"))
-    full = followed.join(F.broadcast(wrap), "__part")
-    return full.withColumns({c: F.when(F.col("__last"), F.col(f"__head.{c}")).otherwise(F.col(c)) for c in columns}).drop("__part", "__last", "__head")
+    dealt = df.withColumn("__b", _bucket(df, id_col))
+    order = W.partitionBy("__b").orderBy(F.col(id_col).asc_nulls_last(), text_col)
+    followed = dealt.withColumns({out: F.lead(text_col).over(order), "__last": F.lead(F.lit(True)).over(order).isNull()})
+    firsts = dealt.groupBy("__b").agg(F.min(id_col).alias("__first"))
+    few = firsts.count() <= 100_000
+    known = firsts.where("__first is not null").select("__first")
+    heads = dealt.join(F.broadcast(known) if few else known, F.col(id_col) == F.col("__first")).groupBy("__b").agg(F.min(text_col).alias("__head"))
+    nulls = dealt.where(F.col(id_col).isNull()).agg(F.max("__b").alias("__b"), F.min(text_col).alias("__head")).where("__b is not null")
+    heads = heads.union(nulls)
+    ring = W.orderBy("__b")
+    after = firsts.select("__b", F.coalesce(F.lead("__b").over(ring), F.first("__b").over(ring)).alias("__next"))
+    turn = after.join(heads.withColumnRenamed("__b", "__next"), "__next").select("__b", "__head")
+    full = followed.join(turn, "__b")
+    return full.withColumn(out, F.when(F.col("__last"), F.col("__head")).otherwise(F.col(out))).drop("__b", "__last", "__head")
 
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +105,7 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     at the threshold share one of their rarest len - ceil(threshold * len) + 1 signatures, so only these are matched; a
     position bound prunes what is left before the exact comparison. Empty sets form a class without links.
     """
-    sets = materialise(df.select(F.col(id_col).alias("doc_id"), signatures(F.col(text_col)).alias("sigs")))
+    sets = materialise(with_signatures(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), F.col("text"), "sigs").drop("text"))
     named = sets.withColumn("fingerprint", fingerprint(F.col("sigs")))
     classes = materialise(named.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")))
     rarity = classes.select("fingerprint", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))

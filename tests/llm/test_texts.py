@@ -207,20 +207,33 @@ TEXTS = ["", "   ", "the", "the and of", "a quick brown fox", "The cat, and the
 def test_signatures_match_definition(spark):
     rng = random.Random(5)
     texts = TEXTS + [" ".join(rng.choices(["the", "of", "a", "is", "kol", "ban", "mir", "und", "der", "les", "x,", "Y."], k=rng.randrange(60))) for _ in range(60)]
-    rows = frame(spark, list(enumerate(texts))).withColumn("s", spotsigs.signatures(F.col("text"))).collect()
-    hashes = {}
-
-    def h(words):
-        new = [w for w in words if w not in hashes]
-        if new:
-            hashes.update({r.w: r.h for r in spark.createDataFrame([(w,) for w in new], "w string").select("w", F.xxhash64("w").alias("h")).collect()})
-        return {hashes[w] for w in words}
-
-    h(set().union(*map(plain_signatures, texts)))
-    for r in rows:
-        # A chain begins with a blank before each word.
-        want = plain_signatures(r.text)
-        assert len(r.s) == len(want) and r.s == sorted(r.s), r.text
+    rows = spotsigs.with_signatures(frame(spark, list(enumerate(texts))), F.col("text"), "s").collect()
+    sets = [plain_signatures(r.text) for r in rows]
+    words = sorted(set().union(*sets))
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64(F.when(F.contains("w", F.lit(" ")), F.concat(F.lit(" "), "w")).otherwise(F.col("w"))).alias("h")).collect()}
+    for r, want in zip(rows, sets, strict=True):
+        # A chain has a blank before each word.
+        assert r.s == sorted(hashes[w] for w in want), r.text
+
+
+def test_words_by_first_letters():
+    import re
+
+    pattern = re.compile(spotsigs._branches(list(spotsigs.WORDS)))
+    assert all(pattern.fullmatch(w) for w in spotsigs.WORDS)
+    assert not any(pattern.fullmatch(w) for w in ("", "x", "thex", "th", "dela", "notx"))
+
+
+def test_next_rows_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "ROWS", 3)
+    monkeypatch.setattr(spotsigs, "PROBES", 4)
+    rng = random.Random(9)
+    ids = [rng.choice([rng.randrange(100), rng.randrange(10**12), -rng.randrange(50)]) for _ in range(120)] + [None, None, -(2**63), 2**63 - 1]
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    got = spotsigs.with_next(frame(spark, rows).repartition(6), "doc_id", "text", "after").collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = {t: ordered[(k + 1) % len(ordered)][1] for k, (_, t) in enumerate(ordered)}
+    assert {r.text: r.after for r in got} == want
 
 
 def test_near_pairs_match_all_pairs(spark):
