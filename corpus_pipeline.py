@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.storage import materialise
@@ -24,10 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, that of the smallest id; of rows that repeat it, one."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").dropDuplicates()
-    kept = docs.select(*COLUMNS).join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keep one document of each component, that of the smallest id, and of rows that repeat an id the first by a hash of
+    their text. Documents without an id stay."""
+    found = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    own = docs.select(*COLUMNS)
+    kept = own.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c in COLUMNS if c != "doc_id")))
+    return kept.withColumn("row", first).where("row = 1").drop("row").unionByName(own.where("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
