@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.storage import materialise
+
 LEAST_BYTES = 1000
 #: Records a file: bounds what a reading task holds.
 RECORDS = 2000
@@ -22,11 +24,13 @@ def decide(df: DataFrame, key_col: str, payload_col: str, least_bytes: int = LEA
 
     Of rows with equal payloads of at least least_bytes the one with the largest key is the response and the others revisit it;
     smaller payloads are all responses. Null payloads are empty. Rows that repeat the largest key are responses all; rows
-    with a null key revisit a keyed row, and without one are responses. Only digests and keys are shuffled: each digest is
-    combined before the shuffle, and its winner joined back.
+    with a null key revisit a keyed row, and without one are responses. Digests are counted with partial sums, and those that
+    repeat are written with their winners: payloads are shuffled by digest once, or not at all where these are few, and a
+    crowded digest is split.
     """
     own = df.withColumn("payload_bytes", F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long")).withColumn("payload_digest", F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary")))
-    heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("__digest")).agg(F.max(key_col).alias("__winner"))
+    heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("__digest")).agg(F.max(key_col).alias("__winner"), F.count("*").alias("__n"))
+    heads = materialise(heads.where("__n > 1 and __winner is not null").drop("__n"))
     found = own.join(heads, (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") >= least_bytes), "left")
     revisit = F.col("__winner").isNotNull() & ~F.col(key_col).eqNullSafe(F.col("__winner"))
     return found.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("__winner"))).drop("__digest", "__winner")
