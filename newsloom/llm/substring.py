@@ -235,11 +235,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     keys = docs.mapInArrow(_keys, "key long, doc_id long")
     ends = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("times"))
-    own = keys.join(ends.where("a < b").select("key", "times"), "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "times")).alias("known"))
+    # Shared keys and windows are written, so that their joins shuffle both sides and a crowded key or window can be split.
+    shared = materialise(ends.where("a < b").select("key", "times"))
+    own = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "times")).alias("known"))
     rows = materialise(docs.join(own, "doc_id").select("doc_id", "text", "known").mapInArrow(_windows, "key long, times long, doc_id long, windows array<long>"))
     few = rows.where(F.col("times") <= CROWD).select("key", "doc_id", "windows").repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "doc_id long, windows array<long>")
     many = rows.where(F.col("times") > CROWD).select("key", "doc_id", F.explode("windows").alias("window"))
-    # Written, so that the join has a shuffle on both sides and a crowded window can be split.
     lowest = materialise(many.groupBy("key", "window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"))
     crowded = many.join(lowest, ["key", "window"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     return few.union(crowded).groupBy("doc_id").agg(F.flatten(F.collect_list("windows")).alias("windows"))
