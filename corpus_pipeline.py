@@ -18,10 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents in a learned language; those without letters or far from every profile go."""
     profiles = langid.learn(docs.where(fold("doc_id", 4) != 2))
-    rows = docs.select(*COLUMNS, F.col("text").alias("read"))
-    scored = langid.predict(rows, profiles, text_col="read", keep=tuple(F.col(c).alias(f"own_{c}") for c in COLUMNS))
-    kept = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*(F.col(f"own_{c}").alias(c) for c in COLUMNS))
+    scored = langid.predict(docs, profiles, keep=tuple(F.col(c) for c in ("lang", "source", "n_chars")), keep_text=True)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

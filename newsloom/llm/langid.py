@@ -111,23 +111,22 @@ def identify(text: str | None, profiles: dict[str, tuple[np.ndarray, np.ndarray]
     return best, 1 - far[best] / (top * len(doc))
 
 
-def predict(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), top: int = TOP) -> DataFrame:
-    """df's id, kept columns, lang_pred and score, a row for each row.
+def predict(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), top: int = TOP, keep_text: bool = False) -> DataFrame:
+    """df's id as doc_id, kept columns, text if asked for, lang_pred and score, a row for each row.
 
     Null, empty and letterless texts give und with score 0, as does everything if nothing was learned.
     """
     ready = {lang: (np.sort(p), np.argsort(p)) for lang, p in profiles.items() if len(p)}
     rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
-    kept = rows.drop("text").schema
+    left = [] if keep_text else ["text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [identify(t.as_py(), ready, top) for t in b.column("text")]
-            own = b.drop_columns(["text"])
+            own = b.drop_columns(left)
             yield pa.RecordBatch.from_arrays(
                 [*own.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
                 names=[*own.schema.names, "lang_pred", "score"],
             )
 
-    out = kept.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(score, out)
+    return rows.mapInArrow(score, rows.drop(*left).schema.add("lang_pred", "string").add("score", "double"))
