@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import taxonomy, text
 from newsloom.functions.storage import shared_dir
 from newsloom.operators import cluster, decisions, fit, groups, incremental, registry
-from newsloom.plans import news
+from newsloom.plans import company, news
 from newsloom.sources import html, stores
 from newsloom.streaming import collect
 
@@ -582,6 +582,34 @@ def mirror_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.with_body(docs, table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("url"), body.alias("html"))).select("doc_id", "body")
 
 
+@query("""
+SELECT c_custkey, unnest([0, 1, 2, 3]) AS pos, unnest([c_name || ' 소송', c_name || ' 판결', '기업 "' || c_name || '" 소송', '기업 "' || c_name || '" 판결']) AS query FROM customer""")
+def litigation_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return company.litigation_queries(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name").select("c_custkey", "pos", "query")
+
+
+@query(f"""
+SELECT c_custkey, c_custkey % 7 = 0 AS crawl_success, [NULL, '{company.NO_URL}', '{company.EMPTY_PAGE}', '{company.NO_JSON}', '{company.WRONG_COMPANY}', '{company.NO_NAME}', '{company.NO_CONTENT}'][c_custkey % 7 + 1] AS error FROM customer""")
+def profile_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as companies, each with one of the ways in which a profile fails, or none."""
+    key, good = F.col("c_custkey") % 7, '{"business_description": "makes x"}'
+    pages = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(F.col("c_name"), F.lit("|"), F.col("c_custkey").cast("string")).alias("company_name"), F.when(key != 1, "http://a").alias("url"), F.lit(None).cast("string").alias("biz_reg_no"),
+        F.when(key == 2, "").when(key == 5, "another").otherwise(F.concat(F.col("c_name"), F.lit("|"), F.col("c_custkey").cast("string"))).alias("text"),
+        F.when(key == 3, "{").when(key == 4, '{"is_company_match": false}').when(key == 6, "{}").otherwise(good).alias("answer"),
+    )
+    return company.profiles(pages).select(F.element_at(F.split("company_name", r"\|"), -1).cast("long").alias("c_custkey"), "crawl_success", "error")
+
+
+@query("SELECT lower(regexp_replace(s_name, '[#]', '', 'g')) AS key, s_name AS name FROM supplier WHERE s_suppkey % 5 <> 0")
+def rival_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers named twice as rivals, without those that are the company's own."""
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.array(F.col("s_name"), F.concat(F.lit("㈜"), F.col("s_name")))).alias("name"))
+    named = names.withColumn("ord", F.col("s_suppkey") * 2 + F.col("name").startswith("㈜").cast("int"))
+    found = company.candidates(named, names.where("s_suppkey % 5 = 0").select("name"))
+    return found.select(F.lower(F.replace("key", F.lit("#"), F.lit(""))).alias("key"), "name")
+
+
 @query()
 def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole news pipeline: embeddings as articles, labels as searches, answers made from positions."""
