@@ -173,3 +173,41 @@ def test_equal_windows_have_equal_keys():
             keys.add(int(k[len(left)]))
         assert len(keys) == 1 and keys != {2**64 - 1}
     assert len(list(pairwise(body))) == 49
+
+
+# Shingle sets
+
+
+@pytest.mark.parametrize("small, chunk", [(32, 1024), (2, 3)])
+def test_stage_links_at_shingle_similarity(spark, small, chunk, monkeypatch):
+    import corpus_pipeline as c
+
+    from newsloom.llm import shingles as s
+
+    monkeypatch.setattr(s, "SMALL", small)
+    monkeypatch.setattr(s, "CHUNK", chunk)
+    monkeypatch.setattr(s, "SAMPLED", 2)
+    rng = random.Random(small)
+    texts = ["", None, "one two", "One TWO", "a b c d e", "a b c d e f"]
+    for _ in range(25):
+        words = rng.choices([f"w{k}" for k in range(500)], k=rng.choice([8, 60, 200])) + ["all", "rights", "of", "this", "text", "reserved"]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randint(0, 8)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    low = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if low[j] < low[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    low[i] = low[j]
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in c.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(low)
+    over = [i for i in range(len(texts)) if i not in kept and texts[i] and (simhash.simhash(texts[i].encode()) ^ simhash.simhash(texts[low[i]].encode())).bit_count() > 3]
+    assert over  # copies that three bits would not reach
