@@ -78,20 +78,26 @@ RULES = (
     ("ISC_GRANT", "ISC"),
 )
 SPACE = r"[ \t\n\r\f\x0B]"
-#: The end of a sentence, and what is no part of a normalised one.
-END, OTHER, VERSION = rf"([.!?:;])({SPACE}+|$)", r"[^a-z0-9#]+", r"[0-9]+(?:\.[0-9]+)*"
+#: Where known sentences go on after . : or ; and white space: what follows, and what stands before.
+GOES_ON = "you can redistribute|either version|without even the implied|nor the names of"
+WITHIN = rf"(?!{SPACE}+[^A-Za-z0-9]*(?i:{GOES_ON}))(?!(?<=\bv\.){SPACE}+[0-9])(?<!(?i:spdx-license-identifier):)"
+#: The end of a sentence, a blank line (of comment marks at most), and what is no part of a normalised sentence.
+END, BLANK, OTHER, VERSION = rf"([.!?:;]){WITHIN}({SPACE}+|$)", r"\n[^A-Za-z0-9\n]*\n", r"[^a-z0-9#]+", r"[0-9]+(?:\.[0-9]+)*"
+#: The holder that a sentence names.
+HOLDER = "^neither the name of .{1,200}? nor the names of "
 _CUT = "\x01"
 
 
 def normalise(sentence: Column) -> Column:
     """Lower case, versions as #, and single blanks between words. Comment marks, quotes and brackets go with the punctuation."""
     plain = F.translate(F.lower(sentence), "#", " ")
-    plain = F.regexp_replace(plain, rf"(version |licenses?/|v\. ?|v|cc0 |-|by |nc |sa |nd )({VERSION})", "$1#")
-    return F.trim(F.regexp_replace(plain, OTHER, " "))
+    plain = F.regexp_replace(plain, rf"(version{SPACE}+|licenses?/|v\. ?|v|cc0 |-|by |nc |sa |nd )({VERSION})", "$1#")
+    plain = F.trim(F.regexp_replace(plain, OTHER, " "))
+    return F.when(plain.startswith("neither the name of "), F.regexp_replace(plain, HOLDER, "neither the name of the copyright holder nor the names of ")).otherwise(plain)
 
 
 def sentences(text: Column) -> Column:
-    """The sentences of a text in order, not normalised: cut after . ! ? : ; before white space."""
+    """The sentences of a text in order, not normalised: cut after . ! ? : ; before white space, but not where known ones go on."""
     return F.split(F.regexp_replace(text, END, rf"$1{_CUT}"), _CUT)
 
 
@@ -100,16 +106,22 @@ def _lookup() -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """array<struct<id, version>> of the known sentences. A sentence that is unknown as a whole is read line by line."""
+    """array<struct<id, version>> of the known sentences. A sentence that is unknown as a whole is read paragraph by paragraph,
+    as titles and copyright notices have no full stop, and an unknown paragraph line by line."""
     known, table = list(SENTENCES), _lookup()
     mark = lambda s: F.struct(normalise(s).alias("plain"), s.alias("raw"))
+    whole = lambda s: F.filter(F.array(mark(s)), lambda x: x.plain.isin(known))
 
-    def units(s: Column) -> Column:
+    def parts(s: Column) -> Column:
         lines = F.filter(F.transform(F.split(s, "\n"), mark), lambda x: x.plain.isin(known))
         return F.when(normalise(s).isin(known), F.array(mark(s))).otherwise(lines)
 
+    def units(s: Column) -> Column:
+        split = F.flatten(F.transform(F.split(s, BLANK), parts))
+        return F.when(~s.contains("\n"), whole(s)).when(normalise(s).isin(known), F.array(mark(s))).otherwise(split)
+
     found = F.flatten(F.transform(sentences(text), units))
-    return F.transform(found, lambda x: F.struct(F.element_at(table, x.plain).alias("id"), F.regexp_extract(x.raw, VERSION, 0).alias("version")))
+    return F.transform(found, lambda x: F.struct(F.element_at(table, x.plain).alias("id"), F.regexp_extract(x.raw, rf"(?<!(?i:cc)){VERSION}", 0).alias("version")))
 
 
 def match(found: Column) -> Column:

@@ -187,6 +187,39 @@ def test_licences(spark):
     assert licences.scan(frame(spark, [])).count() == 0
 
 
+def test_public_notices(spark):
+    def gpl(kind, mark, version, wrap="\n# "):
+        lesser, what = ("Lesser ", "library") if kind == "LGPL" else ("", "program")
+        return wrap.join(
+            [f"# a tool\n# Copyright (C) 2020  Somebody\n#\n# This {what} is free software{mark} you can redistribute it and/or modify", f"it under the terms of the GNU {lesser}General Public License as published by", f"the Free Software Foundation{';' if mark == ';' else ','} either version {version} of the License, or", "(at your option) any later version.",
+             "", f"This {what} is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of", "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the", "GNU General Public License for more details."]
+        )
+
+    def bsd(endorse):
+        head = "Copyright (c) 2010, Somebody\nAll rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"
+        return head + endorse + '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT'
+
+    named = "3. Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    apache = 'Copyright 2020 Somebody\n\nLicensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.'
+    cases = [
+        (gpl("GPL", ":", 3), "GPL-3-or-later"), (gpl("GPL", ";", 2), "GPL-2-or-later"), (gpl("LGPL", ";", "2.1"), "LGPL-2.1-or-later"),
+        ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", "GPL-2-only"),
+        ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */", "MPL-2.0"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"),
+        (bsd(""), "BSD-2-Clause"), (bsd(named.format("the copyright holder")), "BSD-3-Clause"), (bsd(named.format("Google Inc.")), "BSD-3-Clause"), (bsd(named.format("the University")), "BSD-3-Clause"),
+        (apache, "Apache-2.0"), ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + MIT, "MIT"),
+        ("ISC License\n\nCopyright (c) 2020, Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This is free and unencumbered software released into the public domain.\n\nAnyone", "Unlicense"),
+        *((f"Licensed under CC {k} 4.0.", f"CC-{k}-4.0") for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")), ("Licensed under CC0 1.0.", "CC0-1.0"),
+        ("Licensed under the GNU General Public License, version 3.", "GPL-3"), ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Released under the MIT License.", "MIT"),
+    ]
+    got = licences.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)]), keep=(F.col("doc_id"),)).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: [x] for i, (_, x) in enumerate(cases)}
+    seen = {r.doc_id: r.identifiers for r in got}
+    assert seen[0] == ["GPL_LATER", "GPL_WARRANTY", "GPL_SEE"] and seen[11][-2:] == ["APACHE_BASIS", "APACHE_SEE"]
+
+
 # SpotSigs
 
 
