@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import utf8
 
 FILTERS, WIDTH, CHUNK = 16, 6, 4096
-#: Labelled documents of each label learned from at most (drawn by a hash of the id), bytes of each, and passes over them.
-SAMPLE, SAMPLE_BYTES, EPOCHS, RATE, DECAY = 1500, 8192, 12, 0.02, 1e-4
+#: Labelled documents of each label learned from at most (drawn by a hash of the id), and passes over them.
+SAMPLE, EPOCHS, RATE, DECAY = 1500, 12, 0.02, 1e-4
 #: Byte classes: the first byte of each range of values; a range lasts to the next.
 _RANGES = (0, 1, 9, 14, 32, 33, 48, 58, 65, 91, 97, 123, 128, 160, 192)
 
@@ -101,14 +101,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     """A model from at most sample documents of each label (0 and others), the first by a hash of the id, at the labels' share.
 
     Of labels only ids and labels are read; the at most 2 * sample ids drawn are sent to the documents, and the driver gets
-    those documents' first SAMPLE_BYTES bytes; scoring reads whole texts. Null ids and labels teach nothing, of one id's
+    those documents' whole texts. Null ids and labels teach nothing, of one id's
     labels the largest counts, null texts are empty. Without labels every text scores alike.
     """
     own = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y")).where("id is not null and y is not null")
     own = own.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(4)))
     share = own.agg(F.avg("y")).first()[0]
     drawn = own.where("y = 0").orderBy("h", "id").limit(sample).union(own.where("y = 1").orderBy("h", "id").limit(sample))
-    text = F.coalesce(F.substring(utf8(text_col), 1, SAMPLE_BYTES), F.lit(b""))
+    text = F.coalesce(utf8(text_col), F.lit(b""))
     got = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(drawn), "id").select("h", "y", "text").collect()
     got = sorted((r["h"], r["y"], bytes(r["text"])) for r in got)[: 2 * sample]
     prior = min(max(share, 0.01), 0.99) if got else None

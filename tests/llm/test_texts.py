@@ -110,6 +110,14 @@ def test_quality_edge_rows(spark):
     assert quality.predict(none, quality.learn(none, none, "quality")).count() == 0
 
 
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality, "train", lambda texts, labels, prior: seen.update(zip(labels, texts, strict=True)))
+    texts = ["x " * 10_000 + "bad end", "x " * 10_000 + "good end"]
+    quality.learn(frame(spark, list(enumerate(texts))), frame(spark, [(0, 0), (1, 1)], "doc_id long, quality int"), "quality")
+    assert seen == {i: t.encode() for i, t in enumerate(texts)}
+
+
 def test_quality_held_out(spark):
     got = queries.op4_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").collect()
     clean, junk = ([r.predicted for r in got if r.quality == q] for q in (1, 0))
