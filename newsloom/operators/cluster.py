@@ -14,6 +14,8 @@ from newsloom.functions.text import cosine
 
 #: Least similarity of near copies, and days between them; least similarity within an issue; articles of a moment and of an issue.
 NEAR, NEAR_DAYS, COHERENT, PER_MOMENT, PER_ISSUE = 0.86, 1, 0.65, 2, 5
+#: Queries that are sent to the items at once.
+QUERY_BLOCK = 10_000
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -139,12 +141,25 @@ def select_issues(df: DataFrame, group: str, order: str, vector: str, day: str,
 def top_similar(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int = 5) -> DataFrame:
     """(query_id, item_id, similarity) of each query's k most similar items, ties to the smaller id; a query is not its own item.
 
-    queries are a stated set and are sent to every item block: they must be few (10,000 at most). Each block keeps k a
-    query before the shuffle.
+    Queries are sent to every item block, in blocks of QUERY_BLOCK at most: with more queries than that, each block of them
+    is a pass over the items whose result is written. Each item block keeps k a query before the shuffle.
     """
-    few = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v")).limit(10_001).collect()
-    if len(few) > 10_000:
-        raise ValueError("more than 10,000 queries")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("v"))
+    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for part in range(parts):
+        few = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        for at in range(0, max(1, len(few)), QUERY_BLOCK):
+            own = _best(few[at : at + QUERY_BLOCK], rows, k)
+            own = materialise(own) if parts > 1 else own
+            found = own if found is None else found.union(own)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _best(few: list, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, similarity) of the k items of each block of rows that are most similar to each of few queries."""
     ids, matrix = [r["query_id"] for r in few], _unit([r["v"] for r in few]) if few else np.zeros((0, 1))
 
     def score(batches):
@@ -155,13 +170,10 @@ def top_similar(queries: DataFrame, items: DataFrame, query_id: str, item_id: st
             s = matrix @ _unit(part["v"].tolist()).T
             own = part["item_id"].to_numpy()
             for q in range(len(ids)):
-                rows = np.flatnonzero(own != ids[q])
-                top = rows[np.lexsort((own[rows], -s[q, rows]))[:k]]
+                others = np.flatnonzero(own != ids[q])
+                top = others[np.lexsort((own[others], -s[q, others]))[:k]]
                 best[q] = sorted([*best[q], *zip(-s[q, top], own[top], strict=True)])[:k]
-        rows = [(ids[q], int(i), -float(s)) for q in range(len(ids)) for s, i in best[q]]
-        yield pd.DataFrame(rows, columns=["query_id", "item_id", "similarity"]).astype({"query_id": "int64", "item_id": "int64", "similarity": "float64"})
+        kept = [(ids[q], int(i), -float(s)) for q in range(len(ids)) for s, i in best[q]]
+        yield pd.DataFrame(kept, columns=["query_id", "item_id", "similarity"]).astype({"query_id": "int64", "item_id": "int64", "similarity": "float64"})
 
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("v"))
-    found = rows.mapInPandas(score, "query_id long, item_id long, similarity double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.mapInPandas(score, "query_id long, item_id long, similarity double")

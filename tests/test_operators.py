@@ -93,6 +93,17 @@ def test_representatives_and_issues(spark):
     assert {r.issue for r in got} == {"g:0", "h:0", "k:0"} and max(r.n for r in got) <= 5 and {r.moment for r in got if r.issue == "g:0"} >= {0, 1}
 
 
+def test_top_similar_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "id long, v array<double>")
+    one = {tuple(r) for r in cluster.top_similar(df, df, "id", "id", "v", 3).select("query_id", "item_id", "rank").collect()}
+    monkeypatch.setattr(cluster, "QUERY_BLOCK", 7)
+    assert {tuple(r) for r in cluster.top_similar(df, df, "id", "id", "v", 3).select("query_id", "item_id", "rank").collect()} == one and len(one) == 180
+    monkeypatch.undo()
+    many = spark.range(10_001).select("id", F.array(F.lit(1.0)).alias("v"))
+    assert cluster.top_similar(many, df.limit(2).select("id", F.array(F.lit(1.0)).alias("v")), "id", "id", "v", 1).count() == 10_001
+
+
 def test_top_similar(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(80, 4))
