@@ -423,7 +423,7 @@ def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words stand for tokens; each source's documents in order of id."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return decisions.token_batches(docs, "source", "doc_id", "text", str.split, " ".join, 20_000, 2000).drop("text")
+    return decisions.token_batches(docs, "source", "doc_id", "text", str.split, " ".join).drop("text")
 
 
 # Registry

@@ -93,6 +93,16 @@ def test_representatives_and_issues(spark):
     assert {r.issue for r in got} == {"g:0", "h:0", "k:0"} and max(r.n for r in got) <= 5 and {r.moment for r in got if r.issue == "g:0"} >= {0, 1}
 
 
+def test_token_batches_query_takes_production_limits(spark):
+    from newsloom.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    words = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    longest = max(len((r.text or "").split()) for r in words)
+    got = queries.token_batches(spark, sf).agg(F.max("n_tokens")).first()[0]
+    assert longest > 2000 and got == min(longest, decisions.TEXT_TOKENS)
+
+
 def test_top_similar_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "id long, v array<double>")
