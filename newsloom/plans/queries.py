@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import taxonomy, text
-from newsloom.functions.storage import shared_dir
+from newsloom.functions.storage import materialise, shared_dir
 from newsloom.operators import cluster, decisions, fit, groups, incremental, registry
 from newsloom.plans import company, news
 from newsloom.sources import html, stores
@@ -619,9 +619,9 @@ def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         (vec % 4).cast("string").alias("press"), F.date_add(F.lit(AS_OF), -(vec % 400).cast("int")).alias("date"), "embedding",
     )
     none = spark.createDataFrame([], "batch_id long, group_no int, idx int")
-    found = news.issues(news.issue_groups(articles, none, "title"))
-    batches = spark.range(6).select(F.lit(0).cast("long").alias("batch_id"), F.lit(0).alias("pos"), F.col("id").cast("int").alias("idx"))
-    summary = batches.select("*", F.lit("gist").alias("gist"), F.lit("detail").alias("detail_summary"), F.lit("tech_rnd.patent_filing").alias("event_id"))
-    ranks = batches.select("*", (F.col("idx") + 5).alias("company_importance"), F.array().cast("array<int>").alias("supersedes"))
+    found = materialise(news.issues(news.issue_groups(articles, none, "title")))
+    placed = lambda size: decisions.batches(found.withColumn("one", F.lit(0)), ["one"], "ord", size).select("batch_id", F.lit(0).alias("pos"), "idx")
+    summary = placed(decisions.SUMMARY_BATCH).select("*", F.lit("gist").alias("gist"), F.lit("detail").alias("detail_summary"), F.lit("tech_rnd.patent_filing").alias("event_id"))
+    ranks = placed(decisions.BATCH).select("*", (F.col("idx") + 5).alias("company_importance"), F.array().cast("array<int>").alias("supersedes"))
     made, _ = news.finalise(found, summary, ranks)
     return made.select("category_id", "category_label", "top", F.size("issues").alias("n"))

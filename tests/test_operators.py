@@ -103,6 +103,13 @@ def test_token_batches_query_takes_production_limits(spark):
     assert longest > 2000 and got == min(longest, decisions.TEXT_TOKENS)
 
 
+def test_news_topics_answers_every_issue(spark):
+    from newsloom.plans import queries
+
+    got = queries.news_topics(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 1 and got[0].n > 6 and got[0].category_id == "tech_rnd"
+
+
 def test_top_similar_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "id long, v array<double>")
