@@ -209,10 +209,12 @@ def parse(data: bytes) -> Media:
                             media.tracks[uint(*own[TRACK_NUMBER])] = data[slice(*own[CODEC])].decode() if CODEC in own else ""
                 elif kind == CUES:
                     for k, s2, e2 in elements(data, s1, e1):
-                        cue = {j: (s3, e3) for j, s3, e3 in elements(data, s2, e2)} if k == CUE else {}
-                        if CUE_TRACK_POSITIONS in cue:
-                            place = {j: (s4, e4) for j, s4, e4 in elements(data, *cue[CUE_TRACK_POSITIONS])}
-                            media.cues.append((uint(*cue[CUE_TIME]) * media.scale, uint(*place[CUE_TRACK]), base + uint(*place[CUE_CLUSTER])))
+                        inner = list(elements(data, s2, e2)) if k == CUE else []
+                        cue = {j: (s3, e3) for j, s3, e3 in inner}
+                        for j, s3, e3 in inner:
+                            if j == CUE_TRACK_POSITIONS:
+                                place = {i: (s4, e4) for i, s4, e4 in elements(data, s3, e3)}
+                                media.cues.append((uint(*cue[CUE_TIME]) * media.scale, uint(*place[CUE_TRACK]), base + uint(*place[CUE_CLUSTER])))
     except (ValueError, IndexError, KeyError) as x:
         media.error = str(x) or type(x).__name__
     return media

@@ -56,6 +56,13 @@ def test_groups_unknown_sizes_and_faults():
     assert m.parse(random.Random(4).randbytes(500)).packets == []
 
 
+def test_cues_of_several_tracks():
+    place = lambda track, at: m.element(m.CUE_TRACK_POSITIONS, m.number(m.CUE_TRACK, track) + m.number(m.CUE_CLUSTER, at))
+    cue = m.element(m.CUE, m.number(m.CUE_TIME, 5) + place(1, 10) + place(2, 20))
+    media = m.parse(m.element(m.SEGMENT, m.element(m.CUES, cue)))
+    assert media.error is None and [(t, at - media.cues[0][2]) for _, t, at in media.cues] == [(1, 0), (2, 10)]
+
+
 def test_matroska_in_spark(spark):
     rows = frame(spark, [(1, "é" * 100), (1, "é" * 100), (2, None), (None, ""), (3, "x" * 64), (4, "x" * 65)])
     stored = m.store(rows.withColumn("media", F.lit("clash")), keep=(F.col("doc_id"),))
