@@ -20,9 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.llm.common import in_arrow, slices
+
 BLANK = "▁"
-#: Units longer than this advance alone, without tables for a group; distinct units kept from batch to batch.
-LONG, KEPT = 64, 700_000
+#: Units longer than this advance alone, without tables for a group. Characters of texts handled at once. What a process
+#: keeps for later texts of a task: distinct units, about 250 bytes each, and pairs, 9 bytes each.
+LONG, SLICE, KEPT, KEPT_PAIRS = 64, 1 << 22, 200_000, 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -171,7 +174,7 @@ class Pieces:
 
     def _settle(self) -> None:
         """Put the pairs newly met into the arrays; forget all when there are too many."""
-        if len(self._met) > 10 * KEPT:
+        if len(self._met) > KEPT_PAIRS:
             self._met, self._met_stand = np.empty(0, np.int64), np.empty(0, bool)
         if self._pairs:
             keys = np.r_[self._met, np.fromiter(self._pairs, np.int64, len(self._pairs))]
@@ -204,13 +207,25 @@ class Pieces:
         return np.array(out[::-1], np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text. Texts are taken in slices of SLICE characters, or one that is longer; of the units met, those of
+        the last slice stay known once there are more than KEPT."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                size += len(texts[end])
+                end += 1
+            out += self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.units.findall((BLANK if self.add_blank and t else "") + t.replace(" ", BLANK)) for t in texts]
-        known = self._known
-        if len(known) > KEPT:
-            known.clear()
-        lengths: dict[int, list[str]] = {}
-        for u in set().union(*cut).difference(known):
+        used = set().union(*cut)
+        if len(self._known) > KEPT:
+            self._known = {u: self._known[u] for u in used if u in self._known}
+        known, lengths = self._known, {}
+        for u in used.difference(known):
             if len(u) > LONG:
                 known[u] = self._alone(u)
             else:
@@ -223,6 +238,11 @@ class Pieces:
                 self._settle()
         return [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in cut]
 
+    def forget(self) -> None:
+        """Let go of all units and pairs met."""
+        self._known, self._pairs = {}, {}
+        self._met, self._met_stand = np.empty(0, np.int64), np.empty(0, bool)
+
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids, without the blank put before it. Control pieces are silent; the unknown piece is U+2047."""
         text = b"".join(map(self.plain.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
@@ -258,16 +278,17 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model or default_model())
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+        try:
+            for b in slices(batches, 2048):
                 ids = pieces.encode(b.column("__text").to_pylist())
                 more = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array([pieces.decode(x) for x in ids], pa.string())] if decoded else [])
                 own = b.drop_columns(["__text"])
                 yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*own.schema.names, "ids", *["decoded"] * decoded])
+        finally:
+            pieces.forget()
 
     schema = rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType()))
-    return rows.mapInArrow(run, schema.add("decoded", "string") if decoded else schema)
+    return in_arrow(rows, run, schema.add("decoded", "string") if decoded else schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[Column, ...] = (), model: str | None = None) -> DataFrame:
@@ -276,9 +297,9 @@ def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[Column, ...] = (), m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model or default_model())
-        for b in batches:
+        for b in slices(batches, 2048):
             own = b.drop_columns(["__ids"])
             texts = [None if x is None else pieces.decode([i for i in x if i is not None]) for x in b.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*own.schema.names, "text"])
 
-    return rows.mapInArrow(run, rows.drop("__ids").schema.add("text", "string"))
+    return in_arrow(rows, run, rows.drop("__ids").schema.add("text", "string"))

@@ -1,14 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found through a prefix filter.
+"""Sets of word shingles: their hashes, prefix keys and sketches, and which sets are similar enough.
 
-The distinct shingles of a text are put in one order for all texts, rare ones first. Two sets of similarity LEAST or more share
-one of the first n - ceil(LEAST * n) + 1 shingles of either, so only sets that share such a key meet, and of those that
-sizes and positions do not rule out the similarity is counted over the whole sets. Any order finds every pair; which
-shingles are common is taken from a sample, for speed alone.
+The distinct shingles of a text are put in one order for all texts, rare ones first. Two sets of similarity NUM / DEN or more share
+one of the first n - ceil(NUM / DEN * n) + 1 shingles of either, so only sets that share such a key meet. Of those, sizes,
+positions and the Hamming distance of parity sketches rule out most; the similarity of what is left is counted over the
+whole sets. None of these bounds loses a pair. Any order finds every pair; which shingles are common is taken from a sample, for
+speed alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,134 +19,186 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from newsloom.functions.storage import materialise
-from newsloom.llm.common import utf8, word_blocks
-from newsloom.operators.graph import connected_components
+from newsloom.llm.common import in_arrow, slices, word_blocks
 
-#: Words of a shingle; the least similarity of a link, as a fraction.
-SHINGLE, NUM, DEN = 5, 4, 5
-#: Sets under one key that all meet at once; more first meet the first and the last of them. Rows of a chunk of what is left.
-SMALL, CHUNK = 32, 1024
+#: The least similarity of a link, as a fraction.
+NUM, DEN = 4, 5
+#: Sets under one key that all meet at once; of more the first and the last meet the others. Rows of a key that one task gets
+#: before it is dealt to several, by the sample's estimate. Rows of a chunk of what is left at the end.
+SMALL, HOT, CHUNK = 32, 2000, 1024
 #: Texts of which one is in the sample for the order, and common shingles known of it.
 SAMPLED, COMMON = 64, 100_000
-_PAIR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("size", pa.int64()), ("pos", pa.int64())])
+#: Longs in a sketch. Bits by which wanted rows are told from others before their texts are read again.
+SKETCH, WANTED = 16, 1 << 24
+_PAIR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64())])
+_PLACE = np.int64(2**32)
 
 
-def shingles(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The ascending distinct hashes of a text's shingles, lower-cased in A-Z; a text of fewer words is one shingle, of none no."""
-    parts, carry = [], []
+def hashes(data: bytes, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, block by block; a text of fewer words is one shingle, of none no."""
+    carry, n = [], 0
     for block in word_blocks(data.lower()):
         words = carry + block
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-        parts.append(np.fromiter(map(xxh64_intdigest, grams), np.uint64))
+        yield (got := np.fromiter(map(xxh64_intdigest, grams, repeat(seed)), np.uint64))
+        n += len(got)
         carry = words[max(0, len(words) - shingle + 1) :]
-    if carry and not sum(map(len, parts)):
-        parts = [np.array([xxh64_intdigest(b" ".join(carry))], np.uint64)]
+    if carry and not n:
+        yield np.array([xxh64_intdigest(b" ".join(carry), seed)], np.uint64)
+
+
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def _name(own: np.ndarray) -> int:
+def name(own: np.ndarray) -> int:
+    """A set's name: equal sets have equal names."""
     return int(np.uint64(xxh64_intdigest(own.tobytes())).view(np.int64))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The keys of a set in order: rare shingles first, then by hash."""
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parity bits of a set. Sketches differ in no more bits than sets differ in elements."""
+    bits = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set in order, rare shingles first and then by hash; and how many tasks each key's rows are dealt to."""
     if not len(own):
-        return own
+        return own, own.astype(np.int64)
     n = np.zeros(len(own), np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, own), len(common) - 1)
         n = np.where(common[at] == own, counts[at], 0)
-    return own[np.lexsort((own, n))][: len(own) + 1 - -(-NUM * len(own) // DEN)]
+    by = np.lexsort((own, n))[: len(own) + 1 - -(-NUM * len(own) // DEN)]
+    return own[by], np.maximum(1, -(-n[by] * SAMPLED // HOT))
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, and in how many."""
+def frequent(docs: DataFrame, row: str, shingle: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts (column text, as bytes) of a sample have, drawn by a hash of row, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 500):
             for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py() or b"").view(np.int64))], names=["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(distinct([*hashes(x.as_py(), shingle, seed)]).view(np.int64))], names=["s"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "s long")
+    sample = in_arrow(docs.where(F.pmod(F.xxhash64(row, F.lit(8)), F.lit(SAMPLED)) == 0).select("text"), run, "s long")
     top = sample.groupBy("s").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()
     keys, n = top.column("s").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order]
 
 
-def may_link(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes that share their elements at these places, and none before, can be similar enough."""
-    low, high, rest = np.minimum(na, nb), np.maximum(na, nb), np.minimum(na - pa_, nb - pb)
-    return (DEN * low >= NUM * high) & ((NUM + DEN) * rest >= NUM * (na + nb))
+def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets that share their elements at these places (size and position), and none before, can be similar enough."""
+    na, nb = a // _PLACE, b // _PLACE
+    rest = np.minimum(na - a % _PLACE, nb - b % _PLACE)
+    return (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & ((NUM + DEN) * rest >= NUM * (na + nb))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
-    """The rows of each group of equal first columns, from rows in order of them; groups of one are left out."""
-    held: list[np.ndarray] = []
+def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    """Blocks of rows in order of their first columns; all rows that are equal in those are in one block."""
+    held = None
     for b in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
-        cuts = np.flatnonzero((rows[1:, :width] != rows[:-1, :width]).any(axis=1)) + 1
-        edges = [0, *cuts.tolist(), len(rows)]
-        for low, high in zip(edges, edges[1:], strict=False):
-            if low == high:
-                continue
-            if held and (held[-1][-1, :width] != rows[low, :width]).any():
-                if len(held) > 1 or len(held[0]) > 1:
-                    yield np.concatenate(held)
-                held = []
-            held.append(rows[low:high])
-    if held and (len(held) > 1 or len(held[0]) > 1):
-        yield np.concatenate(held)
-
-
-def _out(rows: list[np.ndarray]) -> pa.RecordBatch:
-    key, a, b, size, pos = np.concatenate(rows).T
-    none = key != 0
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=none), pa.array(size), pa.array(pos)], schema=_PAIR)
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (key 0) of key, name, size, pos in order of key; of a crowded key also its rows (b null)."""
-    out, n = [], 0
-    for rows in _groups(batches, 1):
-        m = len(rows)
-        if m <= SMALL:
-            i, j = np.triu_indices(m, 1)
-        else:
-            i, j = np.r_[np.zeros(m - 1, int), np.arange(1, m - 1)], np.r_[np.arange(1, m), np.full(m - 2, m - 1)]
-            out.append(np.stack([rows[:, 0] | (rows[:, 0] == 0), rows[:, 1], rows[:, 1], rows[:, 2], rows[:, 3]], axis=1))
-        ok = may_link(rows[i, 2], rows[i, 3], rows[j, 2], rows[j, 3])
-        a, b = rows[i[ok], 1], rows[j[ok], 1]
-        zero = np.zeros(len(a), np.int64)
-        out.append(np.stack([zero, np.minimum(a, b), np.maximum(a, b), zero, zero], axis=1))
-        n += sum(map(len, out[-2:]))
-        if n > 50_000:
-            yield _out(out)
-            out, n = [], 0
-    if out:
-        yield _out(out)
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of key, chunks, name, size, pos, label in order of key and chunks, between unlike labels."""
-    for rows in _groups(batches, 3):
-        for i in range(len(rows) - 1):
-            x, rest = rows[i], rows[i + 1 :]
-            ok = (rest[:, 6] != x[6]) & may_link(x[4], x[5], rest[:, 4], rest[:, 5])
-            b = rest[ok, 3]
-            if len(b):
-                zero = np.zeros(len(b), np.int64)
-                yield _out([np.stack([zero, np.minimum(b, x[3]), np.maximum(b, x[3]), zero, zero], axis=1)])
-
-
-def _alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of pairs of names whose sets are similar enough, counted over the whole sets."""
+        rows = rows if held is None else np.concatenate([held, rows])
+        turn = np.flatnonzero((rows[1:, :width] != rows[:-1, :width]).any(axis=1))
+        cut = int(turn[-1]) + 1 if len(turn) else 0
+        if cut:
+            yield rows[:cut]
+        held = rows[cut:]
+    if held is not None and len(held):
+        yield held
+
+
+def _out(key: np.ndarray, a: np.ndarray, b: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), pa.array(b, mask=key != 0), pa.array(place)], schema=_PAIR)
+
+
+def _pairs(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """The pairs of rows (name in column 2, place in column 3) that may link."""
+    ok = may_link(rows[i, 3], rows[j, 3])
+    both = np.sort(rows[:, 2][np.stack([i[ok], j[ok]])], axis=0)
+    both = np.unique(both, axis=1) if len(both[0]) > 1000 else both
+    zero = np.zeros(len(both[0]), np.int64)
+    return _out(zero, both[0], both[1], zero)
+
+
+def _edges(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the groups of equal first columns begin, and the last ends; of each row its group's size and start."""
+    edges = np.flatnonzero(np.r_[True, (rows[1:, :width] != rows[:-1, :width]).any(axis=1), True])
+    return edges, np.repeat(np.diff(edges), np.diff(edges)), np.repeat(edges[:-1], np.diff(edges))
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (key 0) of key, deal, name, place, parts in order of key and deal; of a crowded key also its rows (b null)."""
+    for rows in groups(batches, 2):
+        edges, size, start = _edges(rows, 2)
+        few = np.flatnonzero((size <= SMALL) & (size > 1))
+        for shift in range(1, SMALL):
+            few = few[few + shift < start[few] + size[few]]
+            if not len(few):
+                break
+            yield _pairs(rows, few, few + shift)
+        for s in edges[:-1][np.diff(edges) > SMALL]:
+            e = s + size[s]
+            first, last = np.arange(s + 1, e), np.arange(s + 1, e - 1)
+            yield _pairs(rows, np.r_[np.full(len(first), s), np.full(len(last), e - 1)], np.r_[first, last])
+        crowd = (size > SMALL) | (rows[:, 4] > 1)
+        if crowd.any():
+            own = rows[crowd]
+            yield _out(own[:, 0] | (own[:, 0] == 0), own[:, 2], own[:, 2], own[:, 3])
+
+
+def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of key, chunks (p, q), name, place, label in order of key and chunks, between unlike labels."""
+    for rows in groups(batches, 3):
+        _, size, start = _edges(rows, 3)
+        rows = rows[:, [0, 1, 3, 4, 5]]
+        left = np.arange(len(rows))
+        for shift in range(1, int(size.max())):
+            left = left[left + shift < start[left] + size[left]]
+            own = left[rows[left, 4] != rows[left + shift, 4]]
+            if len(own):
+                yield _pairs(rows, own, own + shift)
+
+
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches leave the similarity open."""
+    side = lambda n: classes.select(F.col("name").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
+    apart = F.bit_count(F.get("sketch_a", F.lit(0)).bitwiseXOR(F.get("sketch_b", F.lit(0))))
+    for i in range(1, SKETCH):
+        apart = apart + F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i))))
+    sizes = F.col("size_a") + F.col("size_b")
+    open_ = (F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM) & (apart * (NUM + DEN) <= sizes * (DEN - NUM))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(open_).select("a", "b")
+
+
+def _wanted(rows: DataFrame) -> np.ndarray:
+    """WANTED bits, those of the hashes in the column row set: at most WANTED / 64 longs reach the driver, however many rows there are."""
+    bit = F.pmod("row", F.lit(WANTED))
+    words = rows.groupBy(F.floor(bit / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(row, {WANTED}) % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(WANTED // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """The (a, b) of distinct pairs of names whose sets are similar enough, counted over the whole sets.
+
+    docs: row, text; classes: name, row (of one of its texts), size, sketch. Texts stay where they are: those that pairs want
+    are told by their rows' bits, and their sets are sent to the pairs.
+    """
+    pairs = materialise(_near(pairs, classes))
+    rows = materialise(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes, "name").select("name", "row"))
+    bits = _wanted(rows)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                own = [shingles(x.as_py() or b"") for x in b.column(0).slice(at, 500)]
-                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["name", "own"])
+            at = b.column(0).to_numpy() % WANTED
+            for part in slices([b.filter(pa.array((bits[at // 64] >> (at % 64) & 1).astype(bool)))], 200):
+                own = [distinct([*hashes(x.as_py(), shingle, seed)]).tobytes() for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["row", "own"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,48 +209,8 @@ def _alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    ids = wanted.join(classes, "name").select(F.col("first").alias("doc_id"))
-    texts = docs.join(ids, "doc_id", "left_semi").select("text")
-    found = materialise(texts.mapInArrow(sets, "name long, own binary").groupBy("name").agg(F.first("own").alias("own")))
-    full = pairs.join(found.select(F.col("name").alias("a"), F.col("own").alias("x")), "a").join(found.select(F.col("name").alias("b"), F.col("own").alias("y")), "b")
-    return materialise(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-
-
-def lowest_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(kept_id): the smallest id of each component; texts link at similarity NUM / DEN or more of their shingle sets.
-
-    Texts without words link to each other. Rows without an id take no part. Equal sets meet in one aggregate. Of the
-    sets under a crowded key all meet the first and the last; after that only those meet that are not joined yet, in
-    pairs of chunks, so that a large group of copies costs few pairs and no link is lost.
-    """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).where("doc_id is not null")
-    common, counts = _common(docs)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                own = [shingles(x.as_py() or b"") for x in b.column(1)]
-                keys = pa.array([prefix(x, common, counts).view(np.int64) for x in own], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(x) for x in own], pa.int64()), pa.array([len(x) for x in own], pa.int64()), keys], names=["doc_id", "name", "size", "keys"])
-
-    marked = docs.mapInArrow(mark, "doc_id long, name long, size long, keys array<long>")
-    classes = materialise(marked.groupBy("name").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    keyed = classes.select("name", "size", F.posexplode("keys").alias("pos", "key")).select("key", "name", "size", F.col("pos").cast("long").alias("pos"))
-    met = materialise(keyed.repartition("key").sortWithinPartitions("key", "name").mapInArrow(_meet, "key long, a long, b long, size long, pos long"))
-    near = _alike(docs, classes, met.where("key = 0").select("a", "b").distinct())
-    joined = materialise(connected_components(near, "a", "b"))
-    crowd = met.where("key != 0").select("key", F.col("a").alias("name"), "size", "pos")
-    labelled = crowd.join(joined, crowd.name == joined.node, "left").select("key", "name", "size", "pos", F.coalesce("component", "name").alias("label"))
-    split = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    left = materialise(labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / CHUNK).cast("int")))
-    if not left.isEmpty():
-        own = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-        dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        chunks = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "name", "size", "pos", "label")
-        late = chunks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "name").mapInArrow(_cross, "key long, a long, b long, size long, pos long")
-        more = _alike(docs, classes, materialise(late.select("a", "b").distinct()))
-        joined = materialise(connected_components(near.union(more), "a", "b"))
-    named = classes.join(joined, classes.name == joined.node, "left").select("first", F.coalesce("component", "name").alias("label"))
-    return named.groupBy("label").agg(F.min("first").alias("kept_id")).select("kept_id").distinct()
+    read = in_arrow(docs.select("row", "text"), sets, "row long, own binary")
+    found = materialise(read.join(rows, "row").groupBy("name").agg(F.first("own").alias("own")))
+    side = lambda n, out: found.select(F.col("name").alias(n), F.col("own").alias(out))
+    full = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return materialise(in_arrow(full.select("a", "b", "x", "y"), check, "a long, b long"))

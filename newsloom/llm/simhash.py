@@ -10,16 +10,15 @@ whose chain breaks its budgets are pruned before the full Hamming check.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from newsloom.functions.storage import materialise
-from newsloom.llm.common import batch, utf8, word_blocks
+from newsloom.llm import shingles as sets
+from newsloom.llm.common import batch, in_arrow, slices, utf8
 from newsloom.operators.graph import connected_components
 
 SEGMENTS, BITS, SEED = 8, 8, 42
@@ -29,32 +28,31 @@ _FINGERPRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _LINK = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
-def simhash(data: bytes, shingle: int = 3) -> int:
-    """The fingerprint of UTF-8 text, lower-cased in A-Z, as an unsigned number; 0 if it has no word."""
-    ones, n, carry = np.zeros(64, np.int64), 0, []
-    for block in word_blocks(data.lower()):
-        words = carry + block
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-        hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+def _majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that over half of the hashes have, as an unsigned number; 0 without a hash."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         for at in range(0, len(hashes), 1 << 16):
             bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones += bits.sum(axis=0, dtype=np.int64)
         n += len(hashes)
-        carry = words[max(0, len(words) - shingle + 1) :]
-    if not n and carry:
-        return xxh64_intdigest(b" ".join(carry), SEED)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def simhash(data: bytes, shingle: int = 3) -> int:
+    """The fingerprint of UTF-8 text, lower-cased in A-Z, as an unsigned number; 0 if it has no word."""
+    return _majority(sets.hashes(data, shingle, SEED))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null text counts as empty."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 500):
             fps = np.array([simhash(x.as_py() or b"", shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], schema=_FINGERPRINT)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).mapInArrow(score, "doc_id long, fp long")
+    return in_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), score, "doc_id long, fp long")
 
 
 def budgets(distance: int) -> list[int]:
@@ -165,7 +163,7 @@ def links(distinct: DataFrame, distance: int = 3) -> DataFrame:
         if held:
             yield from flush(np.ascontiguousarray(held[0]))
 
-    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(join, "src long, dst long")
+    return in_arrow(dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b"), join, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
@@ -185,3 +183,74 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = named.join(lowest, "label").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 3) -> DataFrame:
+    """df's rows without near-duplicates: of each group the row of the smallest id stays, of equal ids the first by a hash.
+
+    Texts link at a Jaccard similarity of 0.8 or more of their sets of shingles. Fingerprints of those shingles that link at distance
+    or fewer differing bits are candidates first; they hold most copies together, at one link a copy. As similar texts often
+    differ in more bits than segments of 64 can find, sets that share a prefix key meet after that, unless they are joined
+    already; every link is counted over the whole sets, and no pair is lost but to a collision of 64-bit hashes.
+    Null texts count as empty; texts without words link to each other. Null ids come last, and rows alike in all columns count once.
+    Of the sets under a crowded key all meet the first and the last; after that only those meet that are not joined yet,
+    in pairs of chunks, so that a large group of copies costs few pairs.
+    """
+    rows = df.withColumn("__row", F.xxhash64(*df.columns))
+    docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"))
+    common, counts = sets.frequent(docs, "row", shingle, SEED)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
+        for b in slices(batches, 500):
+            out = []
+            for x in b.column(2):
+                parts = list(sets.hashes(x.as_py(), shingle, SEED))
+                own = sets.distinct(parts)
+                keys, tasks = sets.prefix(own, common, counts)
+                out.append((sets.name(own), len(own), np.uint64(_majority(iter(parts))).view(np.int64), sets.sketch(own), keys.view(np.int64), tasks))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), lists, lists, lists)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc_id", "row", "name", "size", "fp", "sketch", "keys", "tasks"])
+
+    marked = in_arrow(docs, mark, "doc_id long, row long, name long, size long, fp long, sketch array<long>, keys array<long>, tasks array<long>")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("least")
+    classes = materialise(marked.groupBy("name").agg(least, *(F.first(c).alias(c) for c in ("size", "fp", "sketch", "keys", "tasks"))).withColumn("row", F.col("least.row")))
+    alike = lambda pairs: sets.alike(docs, classes, pairs, shingle, SEED)
+
+    firsts = materialise(classes.groupBy("fp").agg(F.min("name").alias("head")))
+    same = classes.select("fp", "name").join(firsts, "fp").where("name != head").select(F.least("name", "head").alias("a"), F.greatest("name", "head").alias("b"))
+    ends = links(firsts.select("fp"), distance).distinct().join(firsts.select(F.col("fp").alias("src"), F.col("head").alias("x")), "src").join(firsts.select(F.col("fp").alias("dst"), F.col("head").alias("y")), "dst")
+    linked = alike(same.union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct())
+    joined = materialise(connected_components(linked, "a", "b"))
+
+    both = F.arrays_zip("keys", "tasks")
+    keyed = classes.select("name", "size", F.posexplode(both).alias("pos", "k")).select(
+        F.col("k.keys").alias("key"), F.pmod("name", "k.tasks").alias("deal"), "name", (F.shiftleft("size", 32) + F.col("pos")).alias("place"), F.col("k.tasks").alias("parts")
+    )
+    schema = "key long, a long, b long, place long"
+    met = materialise(in_arrow(keyed.repartition("key", "deal").sortWithinPartitions("key", "deal", "name"), sets.meet, schema))
+    new = _apart(met.where("key = 0").select("a", "b").distinct(), joined)
+    linked = linked.union(alike(new))
+    joined = materialise(connected_components(linked, "a", "b"))
+
+    crowd = met.where("key != 0").select("key", F.col("a").alias("name"), "place")
+    labelled = crowd.join(joined, crowd.name == joined.node, "left").select("key", "name", "place", F.coalesce("component", "name").alias("label"))
+    split = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    left = materialise(labelled.join(split.select("key", "n"), "key").withColumn("parts", F.ceil(F.col("n") / sets.CHUNK).cast("int")))
+    if not left.isEmpty():
+        own = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
+        dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        chunks = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "name", "place", "label")
+        late = in_arrow(chunks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "name"), sets.cross, schema)
+        linked = linked.union(alike(late.select("a", "b").distinct()))
+        joined = materialise(connected_components(linked, "a", "b"))
+    named = classes.join(joined, classes.name == joined.node, "left").select("least", F.coalesce("component", "name").alias("label"))
+    kept = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return rows.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(*df.columns)
+
+
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component yet."""
+    side = lambda n: joined.select(F.col("node").alias(n), F.col("component").alias(f"in_{n}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.col("in_a").isNull() | F.col("in_b").isNull() | (F.col("in_a") != F.col("in_b"))).select("a", "b")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from newsloom.llm import simhash, substring
+from newsloom.llm import shingles, simhash, substring
 
 
 def frame(spark, rows, schema="doc_id long, text string"):
@@ -53,7 +53,7 @@ def test_blocks_of_a_long_text_give_the_same(monkeypatch):
 
     text = " ".join(random.Random(1).choices("abcdefgh", k=4000)).encode()
     whole = simhash.simhash(text)
-    monkeypatch.setattr(simhash, "word_blocks", lambda d: common.word_blocks(d, 50))
+    monkeypatch.setattr(shingles, "word_blocks", lambda d: common.word_blocks(d, 50))
     assert simhash.simhash(text) == whole
 
 
@@ -182,8 +182,7 @@ def test_equal_windows_have_equal_keys():
 def test_stage_links_at_shingle_similarity(spark, small, chunk, monkeypatch):
     import corpus_pipeline as c
 
-    from newsloom.llm import shingles as s
-
+    s = shingles
     monkeypatch.setattr(s, "SMALL", small)
     monkeypatch.setattr(s, "CHUNK", chunk)
     monkeypatch.setattr(s, "SAMPLED", 2)
@@ -211,3 +210,22 @@ def test_stage_links_at_shingle_similarity(spark, small, chunk, monkeypatch):
     assert kept == set(low)
     over = [i for i in range(len(texts)) if i not in kept and texts[i] and (simhash.simhash(texts[i].encode()) ^ simhash.simhash(texts[low[i]].encode())).bit_count() > 3]
     assert over  # copies that three bits would not reach
+
+
+def test_keep_one_edge_rows(spark):
+    long = " ".join(f"v{i}" for i in range(90))
+    rows = [(7, long, 1), (7, long, 1), (7, long, 2), (3, long + " end", 1), (None, long, 1), (None, "only here " * 9, 5), (None, "only here " * 9, 5), (None, None, 4), (8, "", 1), (9, " \t", 2), (5, "x " * 300_000, 1), (6, "x " * 300_001, 1)]
+    kept = simhash.keep_one(frame(spark, rows, "doc_id long, text string, name long"))
+    assert kept.columns == ["doc_id", "text", "name"]
+    assert sorted((str(r.doc_id), r.name) for r in kept.collect()) == [("3", 1), ("5", 1), ("8", 1), ("None", 5)]
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 30, 5000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for m in (0, 3, n // 2):
+            b = np.unique(np.r_[a[m:], rng.integers(0, 2**63, 7).astype(np.uint64)])
+            apart = np.bitwise_count(shingles.sketch(a) ^ shingles.sketch(b)).sum()
+            assert apart <= len(np.setxor1d(a, b))

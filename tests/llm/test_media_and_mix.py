@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.llm import matroska as m
-from newsloom.llm import mixing, queries, simhash, warc
+from newsloom.llm import mixing, queries, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -175,17 +175,19 @@ def test_pipeline_stages(spark):
     kept = c.materialise(kept)
     near = c.near_duplicates(spark, kept, SF)
     got = {r.doc_id for r in near.collect()}
-    fps = {r.doc_id: simhash.simhash((r.text or "").encode()) for r in kept.collect()}
-    low = {}
-    for i in sorted(fps):
-        low[i] = i
+    sets = {}
+    for r in kept.collect():
+        w = ("".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "")).encode().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    close = [(a, b) for a in sets for b in sets if a > b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    low = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for a in fps:
-            for b in fps:
-                if low[a] > low[b] and (fps[a] ^ fps[b]).bit_count() <= 3:
-                    low[a], changed = low[b], True
+        for a, b in close:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
     assert got == set(low.values()) and 9002 not in got
     cut = c.materialise(c.substrings(spark, c.materialise(near), SF))
     assert cut.columns == list(c.COLUMNS) and cut.where("n_chars != char_length(text)").count() == 0
