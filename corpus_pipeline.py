@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.storage import materialise
-from newsloom.llm import langid, mixing, pieces, shingles, substring
+from newsloom.llm import langid, mixing, pieces, simhash, substring
 from newsloom.llm.common import fold, table
 
 #: A text further from its language's profile than this is in none of the languages learned.
@@ -23,13 +22,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component, that of the smallest id, and of rows that repeat an id the first by a hash of
-    their text. Documents link at a Jaccard similarity of 0.8 or more of their 5-word shingles. Documents without an id stay."""
-    found = shingles.lowest_ids(docs)
-    own = docs.select(*COLUMNS)
-    kept = own.join(found, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text"), *(c for c in COLUMNS if c != "doc_id")))
-    return kept.withColumn("row", first).where("row = 1").drop("row").unionByName(own.where("doc_id is null"))
+    """Keep one document of each group, that of the smallest id; documents link at a Jaccard similarity of 0.8 or more of their
+    5-word shingles, found through their fingerprints and prefix keys."""
+    return simhash.keep_one(docs.select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

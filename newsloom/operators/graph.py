@@ -31,8 +31,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     a join on the node, so that hubs are combined before the shuffle and split by adaptive joins after it;
     the rounds grow with the logarithm of a component's size. Nothing but two numbers a round reaches the driver.
     """
-    pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    now = materialise(pairs.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    given = materialise(pairs.distinct())  # read again for the loops at the end
+    now = given.where("u != v")
     seen = _state(now)
     while True:
         now = materialise(_small_star(_large_star(now)))
@@ -42,5 +43,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         seen = state
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    loops = pairs.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
+    loops = given.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(roots).union(loops).groupBy("node").agg(F.min("component").alias("component"))
