@@ -23,13 +23,14 @@ from newsloom.llm.common import in_arrow, slices, word_blocks
 
 #: The least similarity of a link, as a fraction.
 NUM, DEN = 4, 5
-#: Sets under one key that all meet at once; of more the first and the last meet the others. Rows of a key that one task gets
-#: before it is dealt to several, by the sample's estimate. Rows of a chunk of what is left at the end.
-SMALL, HOT, CHUNK = 32, 2000, 1024
+#: Sets under one key that all meet at once; of more only the first CENTRES meet the others, those with the fewest rarer
+#: shingles, which are the least changed of copies. Rows of a key that one task gets before it is dealt to several, by the
+#: sample's estimate. Rows of a chunk of what is left at the end.
+SMALL, CENTRES, HOT, CHUNK = 32, 2, 2000, 1024
 #: Texts of which one is in the sample for the order, and common shingles known of it.
 SAMPLED, COMMON = 64, 100_000
-#: Longs in a sketch. Bits by which wanted rows are told from others before their texts are read again.
-SKETCH, WANTED = 16, 1 << 24
+#: Bits by which wanted rows are told from others before their texts are read again.
+WANTED = 1 << 24
 _PAIR = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("place", pa.int64())])
 _PLACE = np.int64(2**32)
 
@@ -56,10 +57,17 @@ def name(own: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(own.tobytes())).view(np.int64))
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """Parity bits of a set. Sketches differ in no more bits than sets differ in elements."""
-    bits = np.bincount((own >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def sketch(own: np.ndarray) -> bytes:
+    """Parity bits of a set, 2 to 4 for each element; 64 at least. Sketches differ in no more bits than sets differ in elements."""
+    size = 64 << max(0, (len(own) - 1) // 32).bit_length()
+    bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def sketches_differ(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two sketches differ, the longer folded to the shorter's length: their bits are places modulo it."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
 def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +98,9 @@ def frequent(docs: DataFrame, row: str, shingle: int, seed: int) -> tuple[np.nda
 
 
 def may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets that share their elements at these places (size and position), and none before, can be similar enough."""
-    na, nb = a // _PLACE, b // _PLACE
-    rest = np.minimum(na - a % _PLACE, nb - b % _PLACE)
+    """Whether sets that share their elements at these places (position and size), and none before, can be similar enough."""
+    na, nb = a % _PLACE, b % _PLACE
+    rest = np.minimum(na - a // _PLACE, nb - b // _PLACE)
     return (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)) & ((NUM + DEN) * rest >= NUM * (na + nb))
 
 
@@ -141,9 +149,9 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             yield _pairs(rows, few, few + shift)
         for s in edges[:-1][np.diff(edges) > SMALL]:
-            e = s + size[s]
-            first, last = np.arange(s + 1, e), np.arange(s + 1, e - 1)
-            yield _pairs(rows, np.r_[np.full(len(first), s), np.full(len(last), e - 1)], np.r_[first, last])
+            for centre in range(s, s + CENTRES):
+                others = np.arange(centre + 1, s + size[s])
+                yield _pairs(rows, np.full(len(others), centre), others)
         crowd = (size > SMALL) | (rows[:, 4] > 1)
         if crowd.any():
             own = rows[crowd]
@@ -166,12 +174,16 @@ def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches leave the similarity open."""
     side = lambda n: classes.select(F.col("name").alias(n), F.col("size").alias(f"size_{n}"), F.col("sketch").alias(f"sketch_{n}"))
-    apart = F.bit_count(F.get("sketch_a", F.lit(0)).bitwiseXOR(F.get("sketch_b", F.lit(0))))
-    for i in range(1, SKETCH):
-        apart = apart + F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i))))
-    sizes = F.col("size_a") + F.col("size_b")
-    open_ = (F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM) & (apart * (NUM + DEN) <= sizes * (DEN - NUM))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(open_).select("a", "b")
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            sides = ([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in (4, 5))
+            apart = np.fromiter(map(sketches_differ, *sides), np.int64, b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(apart * (NUM + DEN) <= sizes * (DEN - NUM)))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") * DEN >= F.greatest("size_a", "size_b") * NUM)
+    return in_arrow(both.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b"), open_, "a long, b long")
 
 
 def _wanted(rows: DataFrame) -> np.ndarray:
@@ -190,15 +202,14 @@ def alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, s
     are told by their rows' bits, and their sets are sent to the pairs.
     """
     pairs = materialise(_near(pairs, classes))
-    rows = materialise(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes, "name").select("name", "row"))
-    bits = _wanted(rows)
+    bits = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().join(classes, "name"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(0).to_numpy() % WANTED
             for part in slices([b.filter(pa.array((bits[at // 64] >> (at % 64) & 1).astype(bool)))], 200):
-                own = [distinct([*hashes(x.as_py(), shingle, seed)]).tobytes() for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], names=["row", "own"])
+                own = [distinct([*hashes(x.as_py(), shingle, seed)]) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(name, own), pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["name", "own"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,8 +220,8 @@ def alike(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, s
                 keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    read = in_arrow(docs.select("row", "text"), sets, "row long, own binary")
-    found = materialise(read.join(rows, "row").groupBy("name").agg(F.first("own").alias("own")))
+    read = in_arrow(docs.select("row", "text"), sets, "name long, own binary")
+    found = materialise(read.groupBy("name").agg(F.first("own").alias("own")))
     side = lambda n, out: found.select(F.col("name").alias(n), F.col("own").alias(out))
     full = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     return materialise(in_arrow(full.select("a", "b", "x", "y"), check, "a long, b long"))

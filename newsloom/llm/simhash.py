@@ -193,8 +193,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     differ in more bits than segments of 64 can find, sets that share a prefix key meet after that, unless they are joined
     already; every link is counted over the whole sets, and no pair is lost but to a collision of 64-bit hashes.
     Null texts count as empty; texts without words link to each other. Null ids come last, and rows alike in all columns count once.
-    Of the sets under a crowded key all meet the first and the last; after that only those meet that are not joined yet,
-    in pairs of chunks, so that a large group of copies costs few pairs.
+    Of the sets under a crowded key all meet the least changed ones; after that only those meet that are not joined yet, in
+    pairs of chunks, so that a large group of copies costs few pairs.
     """
     rows = df.withColumn("__row", F.xxhash64(*df.columns))
     docs = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.coalesce(utf8(text_col), F.lit(b"")).alias("text"))
@@ -209,10 +209,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
                 own = sets.distinct(parts)
                 keys, tasks = sets.prefix(own, common, counts)
                 out.append((sets.name(own), len(own), np.uint64(_majority(iter(parts))).view(np.int64), sets.sketch(own), keys.view(np.int64), tasks))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), lists, lists, lists)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), lists, lists)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["doc_id", "row", "name", "size", "fp", "sketch", "keys", "tasks"])
 
-    marked = in_arrow(docs, mark, "doc_id long, row long, name long, size long, fp long, sketch array<long>, keys array<long>, tasks array<long>")
+    marked = in_arrow(docs, mark, "doc_id long, row long, name long, size long, fp long, sketch binary, keys array<long>, tasks array<long>")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("least")
     classes = materialise(marked.groupBy("name").agg(least, *(F.first(c).alias(c) for c in ("size", "fp", "sketch", "keys", "tasks"))).withColumn("row", F.col("least.row")))
     alike = lambda pairs: sets.alike(docs, classes, pairs, shingle, SEED)
@@ -225,10 +225,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     both = F.arrays_zip("keys", "tasks")
     keyed = classes.select("name", "size", F.posexplode(both).alias("pos", "k")).select(
-        F.col("k.keys").alias("key"), F.pmod("name", "k.tasks").alias("deal"), "name", (F.shiftleft("size", 32) + F.col("pos")).alias("place"), F.col("k.tasks").alias("parts")
+        F.col("k.keys").alias("key"), F.pmod("name", "k.tasks").alias("deal"), "name", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("size")).alias("place"), F.col("k.tasks").alias("parts")
     )
     schema = "key long, a long, b long, place long"
-    met = materialise(in_arrow(keyed.repartition("key", "deal").sortWithinPartitions("key", "deal", "name"), sets.meet, schema))
+    met = materialise(in_arrow(keyed.repartition("key", "deal").sortWithinPartitions("key", "deal", "place", "name"), sets.meet, schema))
     new = _apart(met.where("key = 0").select("a", "b").distinct(), joined)
     linked = linked.union(alike(new))
     joined = materialise(connected_components(linked, "a", "b"))
