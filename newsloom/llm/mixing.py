@@ -70,16 +70,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return placed.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("times") * F.col("size") + more).cast("long").alias("taken"))
 
 
-def repeat(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeat(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """df's rows as the mix takes them, columns as in df: whole copies, and one of the first words where a part is taken.
 
-    mixed: of mix() over df. Documents that are not taken go; the words of a part are joined by one space.
+    mixed: of mix() over df with the same columns. Documents that are not taken go; the words of a part are joined by one space. Rows that
+    agree in id, source and text stand for one another, so what the mix takes of them is added up and their first row gives all of it.
     """
-    takes = mixed.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).dropDuplicates(["__id", "__hash"])
-    full = df.join(takes, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__hash")))
-    copies = F.when(F.col("__size") > 0, F.ceil(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    full = full.where("__taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
-    part = F.least(F.col("__size"), F.col("__taken") - (F.col("__copy") - 1) * F.col("__size"))
-    first = F.array_join(F.slice(F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), part.cast("int")), " ")
-    text = F.when(part == F.col("__size"), F.col(text_col)).otherwise(first)
-    return full.withColumn(text_col, text).select(*df.columns)
+    same = lambda id_, source, text_hash: F.xxhash64(id_, id_.isNull(), source, source.isNull(), text_hash).alias("__key")
+    takes = mixed.groupBy(same(F.col("doc_id"), F.col("source"), F.col("text_hash"))).agg(F.max("size").alias("__size"), F.sum("taken").alias("__taken"))
+    keyed = df.select(same(F.col(id_col), F.col(source_col).cast("string"), F.xxhash64(F.col(text_col))), F.struct(*df.columns).alias("__r"))
+    one = keyed.groupBy("__key").agg(F.min_by("__r", F.xxhash64("__r")).alias("__r"))  # of equal rows with other columns the least by a hash
+    full = one.join(takes, "__key").where("__taken > 0")
+    size, taken, whole = F.col("__size"), F.col("__taken"), F.col("__r")[text_col]
+    full = full.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
+    part = F.least(size, taken - (F.col("__copy") - 1) * size)
+    first = F.array_join(F.slice(F.split(F.regexp_replace(whole, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), F.lit(1), part.cast("int")), " ")
+    text = F.when(part == size, whole).otherwise(first).alias(text_col)
+    return full.select(*(text if c == text_col else F.col("__r")[c].alias(c) for c in df.columns))

@@ -127,8 +127,13 @@ def test_mix_comes_to_the_targets(spark, monkeypatch):
     words = {}
     for r in out.collect():
         words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
-    # The repeated row counts twice in the mix and each of its rows is taken as the mix takes it.
-    assert all(abs(words.get(s, 0) - own[0].target) < 61 for s, own in by.items())
+    # The repeated row counts twice in the mix, and all that is taken of it comes out.
+    assert all(words.get(s, 0) == sum(r.taken for r in own) and abs(words.get(s, 0) - own[0].target) < 1.001 for s, own in by.items())
+    twice = spark.createDataFrame([(1, "w " * 500, "a", 1), (1, "w " * 500, "a", 2), (2, "v " * 420, "b", 3), (2, "v " * 420, "a", 4), (None, "z " * 30, None, 5), (None, "z " * 30, None, 5)], "doc_id long, text string, source string, __size int")
+    mixed = mixing.mix(twice)
+    want = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = {r.source: r.n for r in mixing.repeat(twice, mixed).groupBy("source").agg(F.sum(mixing.words("text")).alias("n")).collect()}
+    assert got == {k: v for k, v in want.items() if v}
     assert mixing.mix(docs.where("false")).count() == 0
 
 
