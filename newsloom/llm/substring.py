@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from newsloom.functions.storage import materialise
-from newsloom.llm.common import utf8, word_blocks
+from newsloom.llm.common import in_arrow, slices, utf8, word_blocks
 
 WINDOW = 50
 #: For each round the most words of a joined run and of a joined pair. A round loses a run and all but a word of a pair at either end.
@@ -160,7 +160,7 @@ def _lists(order: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 2000):
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for doc, key, _ in _blocks((i, hashed(x.as_py())) for i, x in enumerate(b.column(1))):
             new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
@@ -169,7 +169,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document, a row for each of its shared keys with the hashes of the windows under it."""
-    for b in batches:
+    for b in slices(batches, 2000):
         ids = b.column(0).to_numpy(zero_copy_only=False)
         known = b.column(2)
         for doc, key, whole in _blocks((i, hashed(x.as_py())) for i, x in enumerate(b.column(1))):
@@ -233,13 +233,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     Documents with no such window have no row. Keys and windows meet through aggregates and joins; keys of over CROWD
     occurrences are resolved by an aggregate over single windows, combined before the shuffle, others in sorted runs.
     """
-    keys = docs.mapInArrow(_keys, "key long, doc_id long")
+    keys = materialise(in_arrow(docs, _keys, "key long, doc_id long"))  # read twice
     ends = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("times"))
     # Shared keys and windows are written, so that their joins shuffle both sides and a crowded key or window can be split.
     shared = materialise(ends.where("a < b").select("key", "times"))
     own = keys.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "times")).alias("known"))
-    rows = materialise(docs.join(own, "doc_id").select("doc_id", "text", "known").mapInArrow(_windows, "key long, times long, doc_id long, windows array<long>"))
-    few = rows.where(F.col("times") <= CROWD).select("key", "doc_id", "windows").repartition("key").sortWithinPartitions("key").mapInArrow(_resolve, "doc_id long, windows array<long>")
+    rows = materialise(in_arrow(docs.join(own, "doc_id").select("doc_id", "text", "known"), _windows, "key long, times long, doc_id long, windows array<long>"))
+    few = rows.where(F.col("times") <= CROWD).select("key", "doc_id", "windows").repartition("key").sortWithinPartitions("key")
+    few = in_arrow(few, _resolve, "doc_id long, windows array<long>")
     many = rows.where(F.col("times") > CROWD).select("key", "doc_id", F.explode("windows").alias("window"))
     lowest = materialise(many.groupBy("key", "window").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"))
     crowded = many.join(lowest, ["key", "window"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
@@ -274,7 +275,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")).where("doc_id is not null and text is not null")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 200):
             out = [cut(t.as_py(), w.values.to_numpy(zero_copy_only=False).view(np.uint64)) for t, w in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array([b" ".join(k).decode() for _, k in out], pa.string())],
@@ -282,4 +283,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     hit = docs.join(repeated_windows(docs), "doc_id").select("doc_id", F.xxhash64("text").alias("source_hash"), "text", "windows")
-    return hit.mapInArrow(shorten, "doc_id long, source_hash long, n_words long, kept_text string").dropDuplicates(["doc_id", "source_hash"])
+    return in_arrow(hit, shorten, "doc_id long, source_hash long, n_words long, kept_text string").dropDuplicates(["doc_id", "source_hash"])
