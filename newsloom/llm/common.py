@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 #: A word, as a Java, RE2 and Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+ROWS, _BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -59,7 +60,10 @@ def release() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow(), after which the worker's free memory is released."""
+    """df.mapInArrow(), after which the worker's free memory is released. Rows are whole texts, so the session's batches have ROWS rows at most."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > ROWS:
+        conf.set(_BATCH, str(ROWS))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

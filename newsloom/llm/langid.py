@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch
+from newsloom.llm.common import batch, in_arrow
 
 #: n-grams in a profile; the longest n-gram; most labelled documents learned from for a language.
 TOP, LONGEST, SAMPLE = 300, 3, 500
@@ -96,7 +96,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                 k, c = ngrams(text)
                 yield batch({"lang": [lang] * len(k), "gram": k, "n": c}, schema)
 
-    totals = drawn.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = in_arrow(drawn.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = totals.groupBy("lang").agg(F.expr(f"slice(array_sort(collect_list(struct(-n AS n, gram))), 1, {top})").alias("grams"))
     return {r["lang"]: np.array([g["gram"] for g in r["grams"]], np.int64) for r in ranked.collect()}
 
@@ -129,4 +129,4 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_i
                 names=[*own.schema.names, "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(score, rows.drop(*left).schema.add("lang_pred", "string").add("score", "double"))
+    return in_arrow(rows, score, rows.drop(*left).schema.add("lang_pred", "string").add("score", "double"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import utf8
+from newsloom.llm.common import in_arrow, utf8
 
 # Fixed values of the format.
 EBML, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -264,7 +264,7 @@ def packets(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> Dat
             yield pa.RecordBatch.from_arrays([*own.columns, *tables], names=[*own.schema.names, "packets", "cues", "duration_ms", "error"])
 
     schema = rows.drop("__media").schema.add("packets", _type(PACKETS)).add("cues", _type(CUE_LIST))
-    return rows.mapInArrow(run, schema.add("duration_ms", "double").add("error", "string"))
+    return in_arrow(rows, run, schema.add("duration_ms", "double").add("error", "string"))
 
 
 def store(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
@@ -280,7 +280,7 @@ def store(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = ())
                 own = b.drop_columns(["__data"])
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(map(len, data), pa.int64()), pa.array(files, pa.binary())], names=[*own.schema.names, "n_bytes", "media"])
 
-    return rows.mapInArrow(run, rows.drop("__data").schema.add("n_bytes", "long").add("media", "binary"))
+    return in_arrow(rows, run, rows.drop("__data").schema.add("n_bytes", "long").add("media", "binary"))
 
 
 def describe(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> DataFrame:
@@ -303,4 +303,4 @@ def describe(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> Da
     schema = rows.drop("__media").schema
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("n_packets", "long")):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)

@@ -25,7 +25,7 @@ from newsloom.llm.common import in_arrow, slices
 BLANK = "▁"
 #: Units longer than this advance alone, without tables for a group. Characters of texts handled at once. What a process
 #: keeps for later texts of a task: distinct units, about 250 bytes each, and pairs, 9 bytes each.
-LONG, SLICE, KEPT, KEPT_PAIRS = 64, 1 << 22, 200_000, 1_000_000
+LONG, SLICE, KEPT, KEPT_PAIRS = 64, 1 << 20, 60_000, 500_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -279,7 +279,7 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model or default_model())
         try:
-            for b in slices(batches, 2048):
+            for b in slices(batches, 512):
                 ids = pieces.encode(b.column("__text").to_pylist())
                 more = [pa.array(ids, pa.list_(pa.int32()))] + ([pa.array([pieces.decode(x) for x in ids], pa.string())] if decoded else [])
                 own = b.drop_columns(["__text"])

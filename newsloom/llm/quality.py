@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import utf8
+from newsloom.llm.common import in_arrow, utf8
 
 FILTERS, WIDTH, CHUNK = 16, 6, 4096
 #: Labelled documents of each label learned from at most (drawn by a hash of the id), and passes over them.
@@ -125,4 +125,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             own = b.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores, pa.float64())], names=[*own.schema.names, "score"])
 
-    return rows.mapInArrow(score, rows.drop("text").schema.add("score", "double"))
+    return in_arrow(rows, score, rows.drop("text").schema.add("score", "double"))
