@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.storage import materialise
-from newsloom.functions.text import cosine
 
 #: Least similarity of near copies, and days between them; least similarity within an issue; articles of a moment and of an issue.
 NEAR, NEAR_DAYS, COHERENT, PER_MOMENT, PER_ISSUE = 0.86, 1, 0.65, 2, 5
@@ -18,8 +17,14 @@ NEAR, NEAR_DAYS, COHERENT, PER_MOMENT, PER_ISSUE = 0.86, 1, 0.65, 2, 5
 QUERY_BLOCK = 10_000
 
 
+def _matrix(rows: list) -> np.ndarray:
+    """The vectors as one matrix; a null is a vector of zeros, which is similar to nothing."""
+    width = max((len(r) for r in rows if r is not None), default=1)
+    return np.array([np.zeros(width) if r is None else list(r) for r in rows], np.float64).reshape(len(rows), width)
+
+
 def _unit(rows: list) -> np.ndarray:
-    x = np.array([list(r) for r in rows], np.float64)
+    x = _matrix(rows)
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
@@ -71,7 +76,7 @@ def complete_link(vectors: np.ndarray, least: float = COHERENT) -> list[list[int
 def leader_clusters(df: DataFrame, subject: str, order: str, vector: str, day: str | None = None, near: float = NEAR, window: int = NEAR_DAYS) -> DataFrame:
     """df's subject and order columns with cluster (long), numbered within the subject.
 
-    The semantics depend on the order of a subject's rows, so a subject is one task's work: subjects are searches of a few
+    A null vector is a cluster of its own. The semantics depend on the order of a subject's rows, so a subject is one task's work: subjects are searches of a few
     thousand articles, and run beside each other.
     """
     rows = df.select(F.col(subject), F.col(order), F.col(vector).cast("array<double>").alias("__v"), (F.col(day).cast("date") if day else F.lit(None).cast("date")).alias("__d"))
@@ -81,7 +86,7 @@ def leader_clusters(df: DataFrame, subject: str, order: str, vector: str, day: s
         part = part.sort_values(order, kind="stable")
         days = pd.to_datetime(part["__d"]).to_numpy("datetime64[D]").astype(np.float64)
         days[part["__d"].isna().to_numpy()] = np.nan
-        return part[[subject, order]].assign(cluster=leaders(np.array(part["__v"].tolist(), np.float64), days, near, window))
+        return part[[subject, order]].assign(cluster=leaders(_matrix(part["__v"].tolist()), days, near, window))
 
     return rows.groupBy(subject).applyInPandas(run, schema)
 
@@ -94,7 +99,7 @@ def coherent_groups(df: DataFrame, group: str, order: str, vector: str, least: f
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(order, kind="stable")
         parts = np.zeros(len(own), np.int64)
-        for k, members in enumerate(complete_link(np.array(own["__v"].tolist(), np.float64), least)):
+        for k, members in enumerate(complete_link(_matrix(own["__v"].tolist()), least)):
             parts[members] = k
         return own[[group, order]].assign(part=parts)
 
@@ -104,22 +109,50 @@ def coherent_groups(df: DataFrame, group: str, order: str, vector: str, least: f
 def representatives(df: DataFrame, group: str, order: str, vector: str, press: str, most: int = PER_MOMENT) -> DataFrame:
     """df's rows that stand for their group, with pick: 1 the medoid, 2 the most similar of another press, or of any if there is none.
 
-    The medoid has the largest mean similarity to the others, the first of equals; a group of one stands for itself. The
-    pairs of a group meet in a join on it; groups are moments of a few articles.
+    The medoid has the largest mean similarity to the others (to nine digits), the first of equals; a group of one stands
+    for itself. A null vector is similar to nothing. A unit vector's sum of similarities is its product with the sum of the
+    group's unit vectors, so no pairs are made and a group of any size is summed before it is shuffled. A column pick of df's goes.
+    """
+    rows = df.drop("pick").withColumns({"__g": F.col(group), "__o": F.col(order), "__u": _normal(F.col(vector))})
+    own = rows.select("__g", "__o", F.col(press).alias("__p"), "__u")
+    parts = own.select("__g", F.posexplode("__u").alias("i", "x")).groupBy("__g", "i").agg(F.sum("x").alias("x"))
+    whole = parts.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("__sum"))
+    near = F.round(F.coalesce(_dot(F.col("__u"), F.col("__sum")) - _dot(F.col("__u"), F.col("__u")), F.lit(0.0)), 9)
+    meant = own.join(whole, "__g", "left").withColumn("__m", near)
+    first = meant.groupBy("__g").agg(F.max_by(F.struct("__o", "__p", "__u"), F.struct("__m", -F.col("__o"))).alias("__one"))
+    other = own.join(first, "__g").where(F.col("__o") != F.col("__one.__o"))
+    rank = F.struct(~F.col("__p").eqNullSafe(F.col("__one.__p")), F.coalesce(_dot(F.col("__u"), F.col("__one.__u")), F.lit(0.0)), -F.col("__o"))
+    second = other.groupBy("__g").agg(F.max_by("__o", rank).alias("__o"))
+    picks = first.select("__g", F.col("__one.__o").alias("__o"), F.lit(1).alias("pick")).union(second.select("__g", "__o", F.lit(2)))
+    return rows.drop("__u").join(picks, ["__g", "__o"]).where(F.col("pick") <= most).drop("__g", "__o")
+
+
+def _normal(vector: Column) -> Column:
+    """The vector at length 1; one of no length stays as it is."""
+    plain = vector.cast("array<double>")
+    length = F.sqrt(_dot(plain, plain))
+    return F.when(length > 0, F.transform(plain, lambda x: x / length)).otherwise(plain)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def close_pairs(df: DataFrame, keys: list[str], order: str, day: str, days: int = NEAR_DAYS, vector: str | None = None, near: float = NEAR) -> DataFrame:
+    """(keys, first, second, similarity): pairs of rows of a key, first before second in order, at most so many days apart.
+
+    With a vector, only pairs at least so similar, and their similarity; else it is null. Rows without a day or vector pair
+    with none. An equi-join on the key and the day's block of days + 1, in which a row has its own and the next: no pair meets twice.
     """
-    keys = [c for c in df.columns if c not in ("pick",)]
-    a = df.select(F.col(group).alias("__g"), F.col(order).alias("__a"), F.col(vector).alias("__va"))
-    b = df.select(F.col(group).alias("__g"), F.col(order).alias("__b"), F.col(vector).alias("__vb"), F.col(press).alias("__pb"))
-    pairs = a.join(b, "__g").where(F.col("__a") != F.col("__b")).withColumn("__s", cosine(F.col("__va"), F.col("__vb")))
-    means = pairs.groupBy("__g", "__a").agg(F.avg("__s").alias("__m"))
-    medoid = means.groupBy("__g").agg(F.max_by(F.col("__a"), F.struct(F.col("__m"), -F.col("__a"))).alias("__one"))
-    own = df.select(F.col(group).alias("__g"), F.col(order).alias("__o"), F.col(press).alias("__p"))
-    first = own.join(medoid, "__g").where(F.col("__o") == F.col("__one")).select("__g", "__one", "__p")
-    near = pairs.join(first, "__g").where(F.col("__a") == F.col("__one")).withColumn("__other", ~F.col("__pb").eqNullSafe(F.col("__p")))
-    second = near.groupBy("__g").agg(F.max_by("__b", F.struct(F.col("__other"), F.col("__s"), -F.col("__b"))).alias("__two"))
-    alone = own.groupBy("__g").agg(F.count("*").alias("n"), F.min("__o").alias("o")).where("n = 1")
-    picks = first.select("__g", F.col("__one").alias("__o"), F.lit(1).alias("pick")).union(second.select("__g", "__two", F.lit(2))).union(alone.select("__g", "o", F.lit(1)))
-    return df.join(picks, (df[group] == picks["__g"]) & (df[order] == picks["__o"])).where(F.col("pick") <= most).select(*keys, "pick")
+    rows = df.select(*keys, F.col(order).alias("o"), F.col(day).cast("date").alias("d"), (_normal(F.col(vector)) if vector else F.lit(None).cast("array<double>")).alias("u")).where("d is not null")
+    at = F.floor(F.unix_date("d") / (days + 1))
+    a = rows.select(*keys, F.col("o").alias("oa"), F.col("d").alias("da"), F.col("u").alias("ua"), F.explode(F.array(at, at + 1)).alias("block"))
+    b = rows.select(*keys, F.col("o").alias("ob"), F.col("d").alias("db"), F.col("u").alias("ub"), at.alias("block"))
+    # The row of the earlier day asks; of one day, the one that is first in order.
+    asks = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("oa") < F.col("ob")))
+    met = a.join(b, [*keys, "block"]).where(asks & (F.date_diff("db", "da") <= days)).withColumn("similarity", _dot(F.col("ua"), F.col("ub")))
+    met = met.where(F.col("similarity") >= near) if vector else met
+    return met.select(*keys, F.least("oa", "ob").alias("first"), F.greatest("oa", "ob").alias("second"), "similarity")
 
 
 def select_issues(df: DataFrame, group: str, order: str, vector: str, day: str, press: str) -> DataFrame:
@@ -139,17 +172,18 @@ def select_issues(df: DataFrame, group: str, order: str, vector: str, day: str,
 
 
 def top_similar(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, vector: str, k: int = 5) -> DataFrame:
-    """(query_id, item_id, similarity) of each query's k most similar items, ties to the smaller id; a query is not its own item.
+    """(query_id, item_id, similarity) of each query's k most similar items, ties to the smaller id; a query is not its own item. Null vectors ask and
+    answer nothing.
 
     Queries are sent to every item block, in blocks of QUERY_BLOCK at most: with more queries than that, each block of them
     is a pass over the items whose result is written. Each item block keeps k a query before the shuffle.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     found = None
     for part in range(parts):
-        few = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+        few = asked.where("v is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
         for at in range(0, max(1, len(few)), QUERY_BLOCK):
             own = _best(few[at : at + QUERY_BLOCK], rows, k)
             own = materialise(own) if parts > 1 else own

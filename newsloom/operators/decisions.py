@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.taxonomy import FALLBACK, with_event
+from newsloom.functions.taxonomy import FALLBACK, FALLBACK_IMPORTANCE, taxonomy, with_event
 from newsloom.operators.graph import connected_components
 from newsloom.operators.groups import last_wins
 
@@ -104,12 +104,12 @@ def importance(issues: DataFrame, answers: DataFrame) -> DataFrame:
     """
     size = issues.groupBy("batch_id").agg(F.count("*").alias("__size"))
     last = last_wins(answers.select("batch_id", "idx", "pos", "company_importance", "supersedes"), ["batch_id", "idx"], "pos").drop("pos")
-    base = with_event(issues.select("batch_id", "idx", "event_id")).select("batch_id", "idx", "base_importance")
-    out = issues.join(last, ["batch_id", "idx"], "left").join(base, ["batch_id", "idx"]).join(size, "batch_id")
+    base = taxonomy(issues.sparkSession).select(F.col("event_id").alias("__event"), F.col("base_importance").alias("__base"))
+    out = issues.join(last, ["batch_id", "idx"], "left").join(F.broadcast(base), F.col("event_id") == F.col("__event"), "left").join(size, "batch_id")
     given = F.col("company_importance")  # null stays null: greatest() and least() would pass it over
     clamped = F.when(given.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(10), given)))
     links = F.filter(F.coalesce("supersedes", F.array().cast("array<int>")), lambda s: (s >= 0) & (s < F.col("__size")) & (s != F.col("idx")))
-    return out.withColumn("company_importance", F.coalesce(clamped, F.col("base_importance"))).withColumn("supersedes", links).drop("base_importance", "__size")
+    return out.withColumn("company_importance", F.coalesce(clamped, F.col("__base"), F.lit(FALLBACK_IMPORTANCE))).withColumn("supersedes", links).drop("__event", "__base", "__size")
 
 
 def merge_timelines(issues: DataFrame) -> DataFrame:

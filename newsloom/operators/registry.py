@@ -22,16 +22,18 @@ def candidates(names: DataFrame, registry: DataFrame, subject: str = "subject")
 
     names: subject, pos (order of trying) and name. Tiers: 1 the name is a company's own or English name; 2 their keys agree;
     3 the name's key, of 4 letters or more, is within a company's, and of those the shortest own names stay. Names with an
-    empty key match nothing. Containment meets on pieces of 4 letters: a contained key's first piece is one of the company's,
-    so no name is set against the whole registry.
+    empty key match nothing. Containment meets on pieces of 4 letters: of a key's pieces, each of which a company that contains it
+    has, the one that the fewest companies have is looked up, so that common beginnings do not set all names against all.
     """
     tried = names.select(F.col(subject).alias("subject"), "pos", "name").withColumn("key", registry_key(F.col("name")))
     named = _named(registry)
     exact = tried.join(named, tried.name == named.spelled).select("subject", "pos", "corp_code", F.lit(1).alias("tier"))
     equal = tried.where("key != ''").join(named.select("corp_code", "key").where("key != ''").distinct(), "key").select("subject", "pos", "corp_code", F.lit(2).alias("tier"))
-    last = F.char_length("key") - (GRAM - 1)
-    pieces = named.where(F.char_length("key") >= GRAM).select("corp_code", F.col("key").alias("whole"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("key", i, F.lit(GRAM))))).alias("gram"))
-    asked = tried.where(F.char_length("key") >= LEAST_KEY).withColumn("gram", F.substring("key", 1, GRAM))
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("key") - (GRAM - 1)), lambda i: F.substring("key", i, F.lit(GRAM))))).alias("gram")
+    pieces = named.where(F.char_length("key") >= GRAM).select("corp_code", F.col("key").alias("whole"), grams)
+    known = tried.where(F.char_length("key") >= LEAST_KEY).select("key").distinct().select("key", grams).join(pieces.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = known.groupBy("key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    asked = tried.join(rarest, "key")
     inside = asked.join(pieces, "gram").where(F.contains("whole", F.col("key"))).select("subject", "pos", "corp_code", F.lit(3).alias("tier")).distinct()
     size = registry.select("corp_code", F.char_length(registry_key(F.col("corp_name"))).alias("size"))
     found = exact.union(equal).union(inside).distinct().join(size, "corp_code")

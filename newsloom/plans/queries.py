@@ -148,9 +148,9 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.ordered_distinct(table(spark, sf_dir, "part"), F.lower("p_name"), "p_name", "p_partkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 1)")
 def unseen_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 1").select(F.col("o_custkey").alias("c_custkey"))
     return groups.unseen(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 
@@ -184,11 +184,15 @@ def keyword_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT a.o_orderkey AS first, b.o_orderkey AS second FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 1""")
 def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one subject at most a day apart: an equi-join on the subject and the day's bucket and its neighbours."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"))
-    a = orders.select("o_custkey", F.col("o_orderkey").alias("first"), F.col("d").alias("da"), F.explode(F.array(*(F.date_add("d", i) for i in (-1, 0, 1)))).alias("day"))
-    b = orders.select("o_custkey", F.col("o_orderkey").alias("second"), F.col("d").alias("day"))
-    return a.join(b, ["o_custkey", "day"]).where((F.col("first") < F.col("second")) & (text.days_apart(F.col("da"), F.col("day")) <= 1)).select("first", "second")
+    return cluster.close_pairs(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_orderdate").select("first", "second")
+
+
+@query("""
+SELECT a.label, a.vec_id AS first, b.vec_id AS second FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND abs(a.vec_id % 40 - b.vec_id % 40) <= 2
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3""")
+def near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("day", F.date_add(F.lit(AS_OF), (F.col("vec_id") % 40).cast("int")))
+    return cluster.close_pairs(rows, ["label"], "vec_id", "day", 2, "embedding", 0.3).select("label", "first", "second")
 
 
 # Scalar functions
@@ -554,6 +558,21 @@ def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("kind", "key", F.get_json_object("payload", "$.n").alias("n"))
 
 
+@query("""
+SELECT kind, key, filename, arg_max(content, l_orderkey * 10 + l_linenumber) AS content FROM (SELECT *, 'k' || l_linenumber % 2 AS kind, l_returnflag AS key, 'f' || l_partkey % 3 || '/a b' AS filename, l_orderkey || '-' || l_linenumber AS content FROM lineitem) GROUP BY ALL""")
+def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files written in two goes: in the second those of odd orders' lines come anew, and other names stay."""
+    path = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("k"), (n % 2).cast("string")).alias("kind"), F.col("l_returnflag").alias("key"), F.lit("site").alias("source"), F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string"), F.lit("/a b")).alias("filename"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), n.cast("string")).alias("content"), (F.col("l_orderkey") * 10 + n).alias("at"),
+    )
+    stores.save_raw(rows.where("filename != 'f1/a b'"), path, "at")
+    stores.save_raw(rows.where("filename = 'f1/a b'"), path, "at")
+    return stores.read_raw(spark, path).select("kind", "key", "filename", "content")
+
+
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS cust FROM orders WHERE o_orderkey % 4 <> 0""")
 def api_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.sources.dom import Node, parse
@@ -37,10 +36,19 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     return reports.groupBy("kind", "key").agg(F.max_by("payload", "saved_at").alias("payload"), F.max("saved_at").alias("saved_at"))
 
 
-def save_raw(df: DataFrame, path: str) -> None:
-    """Raw content (kind, key, source, filename, content), one file of a name for each kind, key and source: written again, it replaces only those."""
-    newest = df.withColumn("__r", F.row_number().over(W.partitionBy("kind", "key", "source", "filename").orderBy(F.desc(F.octet_length("content"))))).where("__r = 1").drop("__r")
-    newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "key", "source").parquet(path)
+RAW = ["kind", "key", "source", "filename"]
+
+
+def save_raw(df: DataFrame, path: str, order: str) -> None:
+    """Raw content (kind, key, source, filename, content), one of a name for each kind, key and source: written again, it replaces
+    that name's alone. Of rows of one name the last in order stays, of equals the largest content."""
+    last = df.groupBy(*RAW).agg(F.max_by("content", F.struct(order, "content")).alias("content"))
+    last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RAW).parquet(path)
+
+
+def read_raw(spark: SparkSession, path: str, content: str = "string") -> DataFrame:
+    """What save_raw() has written; content: its type."""
+    return spark.read.schema(", ".join(f"{c} string" for c in RAW) + f", content {content}").parquet(path).select(*RAW, "content")
 
 
 def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:

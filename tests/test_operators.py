@@ -339,3 +339,18 @@ def test_fit(spark):
     company = F.struct(F.array().cast("array<string>").alias("culture"), F.array(F.lit("x")).alias("industry_domain"), F.lit(None).cast("array<string>").alias("talent_values"))
     dims = spark.createDataFrame([("culture",), ("industry_domain",), ("talent_values",), ("other",), (None,)], "dimension string")
     assert {r.dimension for r in fit.with_dimension(dims, company).collect()} == {"industry_domain", "other", None}
+
+
+def test_null_vectors_and_close_pairs(spark):
+    df = spark.createDataFrame([("s", 1, [1.0, 0.0], "2024-01-01", "p"), ("s", 2, None, "2024-01-01", "p"), ("s", 3, [1.0, 0.1], "2024-01-02", "q"), ("s", 4, [0.0, 0.0], None, "p"), ("s", 5, [0.9, 0.0], "2024-01-03", None)], "g string, ord int, v array<double>, d string, press string").withColumn("pick", F.lit("x"))
+    own = {r.ord: r.cluster for r in cluster.leader_clusters(df, "g", "ord", "v").collect()}
+    assert own[1] == own[3] == own[5] and len(set(own.values())) == 3
+    parts = {r.ord: r.part for r in cluster.coherent_groups(df, "g", "ord", "v").collect()}
+    assert parts[1] == parts[3] == parts[5] and len(set(parts.values())) == 3
+    picked = cluster.representatives(df, "g", "ord", "v", "press")
+    assert sorted(picked.columns) == sorted(df.columns) and {(r.ord, r.pick) for r in picked.collect()} == {(1, 1), (5, 2)}
+    found = cluster.top_similar(df.select("ord", "v"), df, "ord", "ord", "v", 9)
+    assert {(r.query_id, r.item_id) for r in found.collect()} == {(a, b) for a in (1, 3, 4, 5) for b in (1, 3, 4, 5) if a != b}
+    near = cluster.close_pairs(df, ["g"], "ord", "d", 1, "v", 0.9).collect()
+    assert {(r["first"], r["second"]) for r in near} == {(1, 3), (3, 5)} and all(r.similarity > 0.99 for r in near)
+    assert {(r["first"], r["second"]) for r in cluster.close_pairs(df, ["g"], "ord", "d", 1).collect()} == {(1, 2), (1, 3), (2, 3), (3, 5)}

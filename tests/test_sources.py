@@ -82,10 +82,11 @@ def test_reports(spark, tmp_path):
     stores.save_reports(df.offset(3), f"{tmp_path}/r")
     assert [r.payload for r in stores.list_reports(spark, f"{tmp_path}/r", "r", "A").collect()] == ['{"v":2}', '{"v":1}']
     assert {(r.kind, r.key): r.payload for r in stores.latest_reports(stores.list_reports(spark, f"{tmp_path}/r")).collect()} == {("r", "A"): '{"v":2}', ("r", "A_B"): '{"v":9}', ("s", "A"): "{}"}
-    raw = lambda s, c: spark.createDataFrame([("k", "x", s, "f", bytearray(c))], "kind string, key string, source string, filename string, content binary")
-    for s, c in (("one", b"1"), ("two", b"2"), ("one", b"3")):
-        stores.save_raw(raw(s, c), f"{tmp_path}/raw")
-    assert {r.source: bytes(r.content) for r in spark.read.parquet(f"{tmp_path}/raw").collect()} == {"one": b"3", "two": b"2"}
+    raw = lambda *rows: spark.createDataFrame([("k", "007", *r) for r in rows], "kind string, key string, source string, filename string, content binary, at int")
+    for own in ([("one", "f/1", b"1", 0)], [("two", "f/1", b"2", 0)], [("one", "f/1", b"longer", 1), ("one", "f/1", b"3", 2)], [("one", "g", b"4", 0), ("one", None, b"5", 0)]):
+        stores.save_raw(raw(*own), f"{tmp_path}/raw", "at")
+    got = {(r.key, r.source, r.filename): bytes(r.content) for r in stores.read_raw(spark, f"{tmp_path}/raw", "binary").collect()}
+    assert got == {("007", "one", "f/1"): b"3", ("007", "two", "f/1"): b"2", ("007", "one", "g"): b"4", ("007", "one", None): b"5"}
 
 
 def test_registry_files(spark, tmp_path):
