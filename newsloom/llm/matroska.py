@@ -25,6 +25,10 @@ AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
+DEFAULT_DURATION, BLOCK_DURATION = 0x23E383, 0x9B
+SEEK_HEAD, CHAPTERS, ATTACHMENTS, TAGS = 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367
+#: What ends an element of unknown size.
+ENDS = {SEGMENT: frozenset({EBML}), CLUSTER: frozenset({EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, ATTACHMENTS, TAGS})}
 NO_LACE, XIPH_LACE, FIXED_LACE, EBML_LACE = 0, 1, 2, 3
 
 #: Samples a second; samples a frame; frames a block; blocks a cluster.
@@ -77,7 +81,7 @@ def write_pcm(payload: bytes) -> bytes:
     head = element(EBML, element(DOC_TYPE, b"matroska") + number(DOC_VERSION, 4) + number(DOC_READ_VERSION, 2))
     info = element(INFO, number(SCALE, 1_000_000) + real(DURATION, len(payload) * 1000 / HERTZ))
     audio = element(AUDIO, real(RATE, HERTZ) + number(CHANNELS, 1) + number(DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + number(DEFAULT_DURATION, FRAME * 10**9 // HERTZ) + audio))
     parts, at, cues = [info, tracks], len(info) + len(tracks), []
     step = FRAME * LACE * BLOCKS
     for start in range(0, len(payload), step):
@@ -100,6 +104,7 @@ class Media:
     scale: int = 1_000_000
     duration: float = 0.0
     tracks: dict[int, str] = field(default_factory=dict)
+    frame_ns: dict[int, int] = field(default_factory=dict)
     packets: list[tuple[int, int, int, int, bool, int, int]] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
@@ -118,7 +123,8 @@ def read_size(data: bytes, at: int, end: int) -> tuple[int, int]:
 
 
 def elements(data: bytes, at: int, end: int, until: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """Kind, start and end of each element's data; one of unknown size reaches to the end, and one of until ends the list."""
+    """Kind, start and end of each element's data; a cluster or segment of unknown size reaches
+    to the first element that cannot be inside it, any other to the end; one of until ends the list."""
     while at < end:
         width = 9 - data[at].bit_length()
         if not 1 <= width <= 4 or at + width > end:
@@ -128,7 +134,7 @@ def elements(data: bytes, at: int, end: int, until: frozenset[int] = frozenset()
             return
         n, body = read_size(data, at + width, end)
         if n < 0:
-            last = max((e for _, _, e in elements(data, body, end, frozenset({CLUSTER, CUES}))), default=body) if kind == CLUSTER else end
+            last = max((e for _, _, e in elements(data, body, end, ENDS[kind])), default=body) if kind in ENDS else end
         else:
             last = body + n
         if last > end:
@@ -163,18 +169,20 @@ def lace_sizes(data: bytes, at: int, end: int, mode: int) -> tuple[list[int], in
     return sizes, at
 
 
-def _block(media: Media, data: bytes, at: int, end: int, time: int, key: bool | None) -> None:
+def _block(media: Media, data: bytes, at: int, end: int, time: int, key: bool | None, lasts: int = 0) -> None:
+    """The frames of a block. Those of a lace follow each other by the track's frame duration, else by their share of the block's."""
     track, at = read_size(data, at, end)
     ticks, flags = int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
     mode = flags >> 1 & 3
     sizes, at = lace_sizes(data, at + 3, end, mode)
-    for n in sizes:
-        media.packets.append((track, (time + ticks) * media.scale, at, n, bool(flags & 0x80) if key is None else key, mode, len(media.clusters) - 1))
+    step = media.frame_ns.get(track) or lasts * media.scale // len(sizes)
+    for i, n in enumerate(sizes):
+        media.packets.append((track, (time + ticks) * media.scale + i * step, at, n, bool(flags & 0x80) if key is None else key, mode, len(media.clusters) - 1))
         at += n
 
 
 def parse(data: bytes) -> Media:
-    """Everything up to the first fault, which error names. The frames of a lace share its timestamp."""
+    """Everything up to the first fault, which error names. Frames of a lace share its timestamp where no duration is known."""
     media = Media()
     uint = lambda s, e: int.from_bytes(data[s:e], "big")
     try:
@@ -193,9 +201,10 @@ def parse(data: bytes) -> Media:
                             _block(media, data, s2, e2, time, None)
                         elif k == GROUP:
                             inner = list(elements(data, s2, e2))
+                            lasts = next((uint(s3, e3) for j, s3, e3 in inner if j == BLOCK_DURATION), 0)
                             for j, s3, e3 in inner:
                                 if j == BLOCK:
-                                    _block(media, data, s3, e3, time, all(x[0] != REFERENCE for x in inner))
+                                    _block(media, data, s3, e3, time, all(x[0] != REFERENCE for x in inner), lasts)
                 elif kind == INFO:
                     for k, s2, e2 in elements(data, s1, e1):
                         if k == SCALE:
@@ -207,6 +216,8 @@ def parse(data: bytes) -> Media:
                         if k == TRACK:
                             own = {j: (s3, e3) for j, s3, e3 in elements(data, s2, e2)}
                             media.tracks[uint(*own[TRACK_NUMBER])] = data[slice(*own[CODEC])].decode() if CODEC in own else ""
+                            if DEFAULT_DURATION in own:
+                                media.frame_ns[uint(*own[TRACK_NUMBER])] = uint(*own[DEFAULT_DURATION])
                 elif kind == CUES:
                     for k, s2, e2 in elements(data, s1, e1):
                         inner = list(elements(data, s2, e2)) if k == CUE else []

@@ -137,6 +137,19 @@ def test_mix_comes_to_the_targets(spark, monkeypatch):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_frames_of_a_lace_follow_each_other():
+    whole = m.parse(m.write_pcm(bytes(4096)))
+    assert [p[1] for p in whole.packets] == [i * 64_000_000 for i in range(8)]
+    track = m.element(m.TRACK, m.number(m.TRACK_NUMBER, 2))
+    lace = m.size_bytes(2) + bytes(2) + bytes([m.XIPH_LACE << 1]) + m._laced([b"ab", b"c", b"def"], m.XIPH_LACE)
+    group = m.element(m.GROUP, m.element(m.BLOCK, lace) + m.number(m.BLOCK_DURATION, 30))
+    cluster = m.CLUSTER.to_bytes(4, "big") + b"\xff" + m.number(m.TIME, 5) + group
+    file = m.element(m.EBML, b"") + m.SEGMENT.to_bytes(4, "big") + b"\xff" + cluster + m.element(m.TRACKS, track)
+    got = m.parse(file + file)
+    assert got.error is None and len(got.clusters) == 2 and 2 in got.tracks
+    assert [(p[0], p[1], p[3]) for p in got.packets] == [(2, 5_000_000, 2), (2, 15_000_000, 1), (2, 25_000_000, 3)] * 2
+
+
 # WARC
 
 
