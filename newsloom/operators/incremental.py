@@ -68,9 +68,9 @@ def read_pages(articles: DataFrame, keys: list[str], page: str, order: str, url:
 
 
 def refill(collected: DataFrame, day: str, start: date) -> date | None:
-    """The day up to which a window is to be searched once more: the oldest found, where that is after the window's start."""
+    """The last day of a window that is to be searched once more: the day before the oldest found, where that is in the window."""
     oldest = collected.agg(F.min(day)).first()[0]
-    return oldest if oldest and oldest > start else None
+    return oldest - timedelta(days=1) if oldest and oldest > start else None
 
 
 def collect_rounds(as_of: date, fetch: Callable[[date, date], DataFrame], issues: Callable[[DataFrame], DataFrame], day: str, key: str, snapshot: Callable[[DataFrame, int], None] | None = None, enough: int = ENOUGH) -> DataFrame:

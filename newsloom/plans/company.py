@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import clean_null, clean_nulls, name_appears, registry_key, strip_entity, unfence
 from newsloom.operators.groups import ordered_distinct, unseen, without
+from newsloom.sources import html
 
 # Reasons of failure, query templates and discovery phrases.
 NO_URL = "URL 탐색 실패: 검색 결과에서 공식 사이트를 찾지 못함"
@@ -118,3 +119,37 @@ def keywords(answers: Column, most: int = 5) -> Column:
     """At most five keywords of an answer in JSON ({"keywords": [...]}); what is no JSON has none."""
     found = F.from_json(unfence(answers), "keywords array<string>")["keywords"]
     return F.slice(F.coalesce(clean_nulls(found), F.array().cast("array<string>")), 1, most)
+
+
+def any_value(answer: Column) -> Column:
+    """Whether an answer, fence or not, is a JSON object with a value that is neither null, empty, false nor zero."""
+    values = F.map_values(F.from_json(unfence(answer), "map<string,string>"))
+    return F.coalesce(F.exists(values, lambda v: v.isNotNull() & ~v.isin("", "[]", "{}", "false", "0")), F.lit(False))
+
+
+def site_profiles(postings: DataFrame, pages: DataFrame, provider: Callable[[list[str]], list[str]], prompt: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """postings with profile (JSON) and step (1 to 4, null: none): the first that gives one of the company page named, the company page that
+    the posting links to, the posting's own text, and the answer to its screenshots.
+
+    postings: posting_url, info_url, screenshot_answer and others; pages: url, html, a row a URL. Pages of a known layout are
+    read; the text of others is asked about, as is a posting's own, only where the steps before gave nothing.
+    """
+    read = html.profiles(pages, keep=("url",)).select(F.col("url").alias("__url"), F.struct("profile", "fallback_text").alias("__read"))
+    raw = pages.select(F.col("url").alias("__url"), F.col("html").alias("__html"))
+
+    def step(df: DataFrame, told: Column, text: Column, out: str) -> DataFrame:
+        asked = ask(df, prompt(text), "__said", provider, F.col("profile").isNull() & told.isNull() & (F.coalesce(text, F.lit("")) != ""))
+        found = F.coalesce(told, F.when(any_value(F.col("__said")), unfence(F.col("__said"))))
+        return asked.withColumn("__found", found).withColumns({"step": F.coalesce("step", F.when(F.col("__found").isNotNull(), int(out))), "profile": F.coalesce("profile", "__found")}).drop("__said", "__found")
+
+    none = F.lit(None).cast("string")
+    out = postings.withColumns({"profile": none, "step": F.lit(None).cast("int")})
+    out = out.join(read, out.info_url == read["__url"], "left")
+    out = step(out, F.col("__read.profile"), F.col("__read.fallback_text"), "1").drop("__url", "__read")
+    out = out.join(raw, out.posting_url == raw["__url"], "left").drop("__url")
+    out = out.withColumn("__link", html.company_link(F.col("__html"), F.col("posting_url"))).withColumn("__own", html.html_lines(F.col("__html"))).drop("__html")
+    out = out.join(read, out["__link"] == read["__url"], "left")
+    out = step(out, F.when(F.col("profile").isNull(), F.col("__read.profile")), F.col("__read.fallback_text"), "2").drop("__url", "__read", "__link")
+    out = step(out, none, F.col("__own"), "3").drop("__own")
+    shot = F.when(F.col("profile").isNull() & any_value(F.col("screenshot_answer")), unfence(F.col("screenshot_answer")))
+    return out.withColumn("__shot", shot).withColumns({"step": F.coalesce("step", F.when(F.col("__shot").isNotNull(), 4)), "profile": F.coalesce("profile", "__shot")}).drop("__shot")

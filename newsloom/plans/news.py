@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -17,15 +18,19 @@ def article_text() -> F.Column:
     return F.trim(F.concat_ws(" ", "title", F.coalesce(F.nullif(F.col("body"), F.lit("")), F.col("snippet"))))
 
 
-def issue_groups(articles: DataFrame, grouping: DataFrame, keyword: str | None = None) -> DataFrame:
+def issue_groups(articles: DataFrame, grouping: DataFrame | Callable[[DataFrame], DataFrame], keyword: str | None = None) -> DataFrame:
     """articles (subject, ord, title, body, snippet, press, date, embedding) with group_id.
 
     Near copies cluster first; the first article of each cluster is grouped by the model's answers (batch_id, group_no, idx over
-    the representatives in order); clusters follow their representative. With a keyword, groups of which no article names it go.
+    the representatives in order, or a function of the batched representatives that gives them); clusters follow their representative. With a keyword, groups of which no article names it go.
     """
     clustered = materialise(articles.join(cluster.leader_clusters(articles, "subject", "ord", "embedding", "date"), ["subject", "ord"]))
     firsts = clustered.groupBy("subject", "cluster").agg(F.min("ord").alias("ord"))
-    grouped = decisions.group_items(decisions.batches(firsts, ["subject"], "ord"), grouping)
+    batched = decisions.batches(firsts, ["subject"], "ord")
+    if callable(grouping):
+        batched = materialise(batched.join(clustered.select("subject", "ord", "title", "body", "snippet"), ["subject", "ord"]))
+        grouping = grouping(batched)
+    grouped = decisions.group_items(batched, grouping)
     named = grouped.select("subject", "cluster", F.concat_ws("/", "subject", F.col("batch_id").cast("string"), F.col("group_no").cast("string")).alias("group_id"))
     out = clustered.join(named, ["subject", "cluster"]).drop("cluster")
     if keyword is None:

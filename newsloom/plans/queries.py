@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import taxonomy, text
 from newsloom.functions.storage import materialise, shared_dir
 from newsloom.operators import cluster, decisions, fit, groups, incremental, registry
-from newsloom.plans import company, news
+from newsloom.plans import company, matching, news, searches
 from newsloom.sources import html, stores
 from newsloom.streaming import collect
 
@@ -644,3 +644,87 @@ def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = placed(decisions.BATCH).select("*", (F.col("idx") + 5).alias("company_importance"), F.array().cast("array<int>").alias("supersedes"))
     made, _ = news.finalise(found, summary, ranks)
     return made.select("category_id", "category_label", "top", F.size("issues").alias("n"))
+
+
+@query(f"""
+SELECT category_id, category_label, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-29' AND DATE '1998-07-29' AND o_orderkey % 2 = 0) AS n
+FROM {EVENTS_SQL} WHERE event_id = 'tech_rnd.patent_filing'""")
+def company_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company's search from end to end: orders as articles of all days, of which those of even keys are relevant and no two alike."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("ord"), F.concat(F.lit("Acme "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("snippet"), F.col("o_orderkey").cast("string").alias("url"),
+        F.col("o_orderstatus").alias("press"), F.col("o_orderdate").cast("date").alias("date"), F.lit(None).cast("string").alias("mirror_url"),
+    )
+    placed = lambda found, size: decisions.batches(found.withColumn("one", F.lit(0)), ["one"], "ord", size).select("batch_id", F.lit(0).alias("pos"), "idx")
+
+    def relevant(items: DataFrame) -> DataFrame:
+        even = items.where("ord % 2 = 0").select("batch_id", F.col("idx").alias("pos"), "idx")
+        return even.unionByName(items.select("batch_id", F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("idx")).distinct())
+
+    p = searches.Providers(
+        search=lambda _, a, b: orders.where(F.col("date").between(F.lit(a), F.lit(b))), relevant=relevant, mirrors=spark.createDataFrame([], "url string, html string"),
+        vectors=lambda texts: [[0.0] * 4 for _ in texts], grouping=lambda _: spark.createDataFrame([], "batch_id long, group_no int, idx int"),
+        summaries=lambda found: placed(found, decisions.SUMMARY_BATCH).select("*", F.lit("gist").alias("gist"), F.lit("detail").alias("detail_summary"), F.lit("tech_rnd.patent_filing").alias("event_id")),
+        importance=lambda found: placed(found, decisions.BATCH).select("*", F.lit(5).alias("company_importance"), F.array().cast("array<int>").alias("supersedes")),
+        snapshot=lambda articles, number: None,
+    )
+    topics, _ = searches.recent_issues(spark, "㈜Acme", None, AS_OF, p)
+    return topics.select("category_id", "category_label", F.size("issues").cast("long").alias("n"))
+
+
+KINDS = tuple(fit.CATEGORIES)
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as analyses and their lines as a model's items: the first four of a job, the others of a company without culture."""
+    n = F.col("l_linenumber")
+    feature = lambda i: F.struct(F.lit(f"n{i}").alias("name"), F.lit(f"ev{i}").alias("evidence"), F.lit("cv").alias("source"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("l_partkey") % 7).cast("int") + F.when(n > 4, 2).otherwise(0))
+    own = [(F.col("l_quantity") > 25).alias("matched"), F.concat(F.lit("skills["), (n % 3).cast("string"), F.lit("]")).alias("candidate_feature_path"), F.lit("model").alias("candidate_evidence_excerpt"), F.lit("").alias("reasoning")]
+    text, proof = F.col("l_partkey").cast("string"), F.lit("p")
+    job = F.struct(n.alias("n"), kind.alias("match_target_type"), text.alias("match_target_text"), proof.alias("match_target_evidence"), *own)
+    firm = F.struct(n.alias("n"), kind.alias("dimension"), text.alias("criterion_text"), proof.alias("criterion_evidence"), *own)
+    lists = lambda item, cond: F.array_sort(F.collect_list(F.when(cond, item)))
+    grouped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lists(job, n <= 4).alias("job_items"), lists(firm, n > 4).alias("company_items"))
+    some, nothing = F.array(F.lit("x")), F.array().cast("array<string>")
+    return matching.analyse(grouped.select(
+        "*", F.struct(*(F.array(feature(0), feature(1)).alias(s) for s in fit.SECTIONS)).alias("candidate_profile"), F.lit("Dev").alias("job_title"), F.lit("").alias("company_name"),
+        F.struct(F.lit("Acme").alias("company_name"), some.alias("industry_domain"), nothing.alias("culture"), some.alias("talent_values")).alias("company_profile"),
+    ), "l_orderkey")
+
+
+ITEMS_SQL = f"""items AS (SELECT *, (l_partkey % 7 + CASE WHEN l_linenumber > 4 THEN 2 ELSE 0 END) AS k, [{", ".join(f"'{k}'" for k in KINDS)}][k + 1] AS kind, l_quantity > 25 AS matched FROM lineitem),
+kept AS (SELECT *, [{", ".join(f"'{c}'" for c in fit.CATEGORIES.values())}][k + 1] AS category FROM items WHERE NOT (l_linenumber > 4 AND kind = 'culture'))"""
+
+
+@query(f"WITH {ITEMS_SQL} SELECT l_orderkey, category, count(*) AS total, count(*) FILTER (matched) AS matched FROM kept GROUP BY ALL")
+def fit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analyses(spark, sf_dir).select("l_orderkey", F.explode("category_summary").alias("c"))
+    return found.select("l_orderkey", "c.category", F.col("c.total").cast("long").alias("total"), F.col("c.matched").cast("long").alias("matched"))
+
+
+@query(f"""
+WITH {ITEMS_SQL}, lines AS (SELECT *, '[' || category || '] ' || CASE WHEN matched THEN '✓' ELSE '✗' END || ' ' || l_partkey || CASE WHEN matched THEN chr(10) || '  근거: ' || CASE WHEN l_linenumber % 3 < 2 THEN 'ev' || l_linenumber % 3 ELSE 'model' END ELSE '' END AS line FROM kept)
+SELECT l_orderkey, 'Acme' AS company_name, coalesce(string_agg(line, chr(10) ORDER BY l_linenumber, kind, CAST(l_partkey AS VARCHAR), matched) FILTER (l_linenumber <= 4), '') AS job_text, coalesce(string_agg(line, chr(10) ORDER BY l_linenumber, kind, CAST(l_partkey AS VARCHAR), matched) FILTER (l_linenumber > 4), '') AS company_text
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN lines USING (l_orderkey) GROUP BY l_orderkey""")
+def fit_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses(spark, sf_dir).select("l_orderkey", "company_name", "job_text", "company_text")
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE 0 END AS step,
+CASE c_custkey % 6 WHEN 0 THEN c_name WHEN 1 THEN 'said ' || c_name WHEN 2 THEN c_name WHEN 3 THEN 'said post ' || c_name WHEN 4 THEN 'shot' END AS name FROM customer""")
+def site_profile_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as postings whose profile is found by the named page (of a known layout or not), a linked page, the posting, screenshots, or not at all."""
+    key, text = F.col("c_custkey") % 6, F.col("c_custkey").cast("string")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", key.alias("k"), text.alias("t"))
+    post, info = F.concat(F.lit("http://post/"), F.col("t")), F.concat(F.when(F.col("k") == 1, "http://other/").otherwise("http://gamejob/"), F.col("t"))
+    card = F.concat(F.lit('<h1 class="corpName">'), F.col("c_name"), F.lit("</h1>"))
+    link = F.when(F.col("k") == 2, F.concat(F.lit('<a href="http://gamejob/'), F.col("t"), F.lit('">기업정보</a>')))
+    note = F.when(F.col("k") == 3, F.concat(F.lit("<p>post "), F.col("c_name"), F.lit("</p>")))
+    pages = customers.where("k <= 2").select(info.alias("url"), F.when(F.col("k") == 1, F.concat(F.lit("<p>"), F.col("c_name"), F.lit("</p>"))).otherwise(card).alias("html"))
+    pages = pages.unionByName(customers.select(post.alias("url"), F.coalesce(link, note, F.lit("<p>empty</p>")).alias("html")))
+    postings = customers.select("c_custkey", post.alias("posting_url"), F.when(F.col("k") <= 1, info).alias("info_url"), F.when(F.col("k") == 4, '```json\n{"name": "shot", "benefits": []}\n```').when(F.col("k") == 5, '{"name": null}').alias("screenshot_answer"))
+    told = lambda texts: ["{" if t == "empty" else f'{{"name": "said {t}"}}' for t in texts]
+    found = company.site_profiles(postings, pages, told)
+    return found.select("c_custkey", F.coalesce("step", F.lit(0)).alias("step"), F.coalesce(F.get_json_object("profile", "$.기업정보.회사명"), F.get_json_object("profile", "$.name")).alias("name"))
