@@ -7,66 +7,121 @@ from pyspark.sql import functions as F
 
 #: Known licence sentences as normalised, with # for a version, and their identifiers.
 SENTENCES = {
+    "mit license": "MIT_TITLE",
+    "the mit license": "MIT_TITLE",
+    "the mit license mit": "MIT_TITLE",
     "released under the mit license": "MIT_SHORT",
     "licensed under the mit license": "MIT_SHORT",
     "this project is licensed under the mit license": "MIT_SHORT",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT_GRANT",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MIT_WARRANTY",
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MIT_LIABILITY",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSD_HEAD",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD_SOURCE",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD_BINARY",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "BSD_ADVERT",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_ENDORSE",
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD_WARRANTY",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSD_LIABILITY",
+    "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSD_LIABILITY",
     "licensed under the apache license version #": "APACHE_SHORT",
+    "apache license version # january 2004": "APACHE_TITLE",
     "licensed under the apache license version # the license": "APACHE_HEAD",
+    "the asf licenses this file to you under the apache license version # the license": "APACHE_HEAD",
     "you may not use this file except in compliance with the license": "APACHE_COMPLY",
     "you may obtain a copy of the license at": "APACHE_COPY",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE_BASIS",
     "see the license for the specific language governing permissions and limitations under the license": "APACHE_SEE",
     "this work is licensed under the gnu general public license version #": "GPL_SHORT",
     "licensed under the gnu general public license version #": "GPL_SHORT",
+    "gnu general public license version # june 1991": "GPL_TITLE",
+    "gnu general public license version # 29 june 2007": "GPL_TITLE",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version": "GPL_LATER",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version # as published by the free software foundation": "GPL_ONLY",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPL_WARRANTY",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPL_WARRANTY",
     "see the gnu general public license for more details": "GPL_SEE",
     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # of the license or at your option any later version": "LGPL_LATER",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version # of the license or at your option any later version": "LGPL_LATER",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version # of the license or at your option any later version": "LGPL_LATER",
+    "see the gnu lesser general public license for more details": "LGPL_SEE",
+    "see the gnu library general public license for more details": "LGPL_SEE",
     "licensed under the gnu lesser general public license version #": "LGPL_SHORT",
+    "gnu lesser general public license version # february 1999": "LGPL_TITLE",
+    "gnu lesser general public license version # 29 june 2007": "LGPL_TITLE",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version # of the license or at your option any later version": "AGPL_LATER",
+    "see the gnu affero general public license for more details": "AGPL_SEE",
+    "licensed under the gnu affero general public license version #": "AGPL_SHORT",
+    "gnu affero general public license version # 19 november 2007": "AGPL_TITLE",
     "this source code form is subject to the terms of the mozilla public license v #": "MPL_HEAD",
+    "licensed under the mozilla public license version #": "MPL_SHORT",
+    "mozilla public license version #": "MPL_TITLE",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v #": "EPL_HEAD",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license # which is available at https www eclipse org legal epl #": "EPL_HEAD",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v # which accompanies this distribution and is available at http www eclipse org legal epl v # html": "EPL_HEAD",
+    "eclipse public license v #": "EPL_TITLE",
     "licensed under cc by #": "CC_BY",
     "licensed under cc by sa #": "CC_BY_SA",
     "licensed under cc by nc #": "CC_BY_NC",
     "licensed under cc by nc sa #": "CC_BY_NC_SA",
     "licensed under cc by nd #": "CC_BY_ND",
     "licensed under cc by nc nd #": "CC_BY_NC_ND",
+    "this work is licensed under a creative commons attribution # international license": "CC_BY",
+    "this work is licensed under a creative commons attribution sharealike # international license": "CC_BY_SA",
+    "this work is licensed under a creative commons attribution noncommercial # international license": "CC_BY_NC",
+    "this work is licensed under a creative commons attribution noncommercial sharealike # international license": "CC_BY_NC_SA",
+    "this work is licensed under a creative commons attribution noderivatives # international license": "CC_BY_ND",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives # international license": "CC_BY_NC_ND",
     "licensed under cc0 #": "CC_ZERO",
+    "cc0 # universal": "CC_ZERO",
     "this is free and unencumbered software released into the public domain": "UNLICENSE",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0BSD_GRANT",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "ISC_WARRANTY",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "ISC_LIABILITY",
+    "this software is provided as is without any express or implied warranty": "ZLIB_WARRANTY",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "ZLIB_LIABILITY",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZLIB_GRANT",
+    "the origin of this software must not be misrepresented": "ZLIB_ORIGIN",
+    "you must not claim that you wrote the original software": "ZLIB_CLAIM",
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": "ZLIB_ALTERED",
+    "this notice may not be removed or altered from any source distribution": "ZLIB_NOTICE",
+    "distributed under the boost software license version #": "BOOST_HEAD",
+    "boost software license version # august 17th 2003": "BOOST_TITLE",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BOOST_GRANT",
     "all rights reserved": "ALL_RIGHTS",
-    "spdx license identifier mit": "SPDX_MIT",
-    "spdx license identifier apache #": "SPDX_APACHE",
 }
-#: Sequences of identifiers and the licence each stands for, in the order they are tried; # is the version
-#: found in the first sentence of the match.
+#: Sequences of identifiers and the licence each stands for, in the order they are tried. An identifier with ?
+#: may be missing; # is the version (of an SPDX tag: the expression) found in the first sentence of the match.
 RULES = (
-    ("MIT_GRANT MIT_NOTICE MIT_WARRANTY MIT_LIABILITY", "MIT"),
-    ("MIT_GRANT MIT_NOTICE MIT_WARRANTY", "MIT"),
-    ("BSD_HEAD BSD_SOURCE BSD_BINARY BSD_ENDORSE BSD_WARRANTY", "BSD-3-Clause"),
-    ("BSD_HEAD BSD_SOURCE BSD_BINARY BSD_WARRANTY", "BSD-2-Clause"),
+    ("MIT_TITLE? MIT_GRANT MIT_NOTICE MIT_WARRANTY MIT_LIABILITY?", "MIT"),
+    ("BSD_HEAD BSD_SOURCE BSD_BINARY BSD_ADVERT BSD_ENDORSE BSD_WARRANTY BSD_LIABILITY?", "BSD-4-Clause"),
+    ("BSD_HEAD BSD_SOURCE BSD_BINARY BSD_ENDORSE BSD_WARRANTY BSD_LIABILITY?", "BSD-3-Clause"),
+    ("BSD_HEAD BSD_SOURCE BSD_BINARY BSD_WARRANTY BSD_LIABILITY?", "BSD-2-Clause"),
     ("APACHE_HEAD APACHE_COMPLY APACHE_COPY APACHE_BASIS APACHE_SEE", "Apache-#"),
     ("APACHE_HEAD APACHE_COMPLY APACHE_COPY", "Apache-#"),
-    ("GPL_LATER GPL_WARRANTY GPL_SEE", "GPL-#-or-later"),
-    ("GPL_LATER", "GPL-#-or-later"),
-    ("GPL_ONLY", "GPL-#-only"),
+    ("GPL_LATER GPL_WARRANTY? GPL_SEE?", "GPL-#-or-later"),
+    ("GPL_ONLY GPL_WARRANTY? GPL_SEE?", "GPL-#-only"),
     ("GPL_SHORT", "GPL-#"),
-    ("LGPL_LATER", "LGPL-#-or-later"),
+    ("GPL_TITLE", "GPL-#"),
+    ("LGPL_LATER GPL_WARRANTY? LGPL_SEE?", "LGPL-#-or-later"),
     ("LGPL_SHORT", "LGPL-#"),
+    ("LGPL_TITLE", "LGPL-#"),
+    ("AGPL_LATER GPL_WARRANTY? AGPL_SEE?", "AGPL-#-or-later"),
+    ("AGPL_SHORT", "AGPL-#"),
+    ("AGPL_TITLE", "AGPL-#"),
     ("MPL_HEAD", "MPL-#"),
+    ("MPL_SHORT", "MPL-#"),
+    ("MPL_TITLE", "MPL-#"),
+    ("EPL_HEAD", "EPL-#"),
+    ("EPL_TITLE", "EPL-#"),
     ("APACHE_SHORT", "Apache-#"),
+    ("APACHE_TITLE", "Apache-#"),
     ("MIT_SHORT", "MIT"),
-    ("SPDX_MIT", "MIT"),
-    ("SPDX_APACHE", "Apache-#"),
+    ("SPDX_TAG", "#"),
     ("CC_BY", "CC-BY-#"),
     ("CC_BY_SA", "CC-BY-SA-#"),
     ("CC_BY_NC", "CC-BY-NC-#"),
@@ -75,23 +130,34 @@ RULES = (
     ("CC_BY_NC_ND", "CC-BY-NC-ND-#"),
     ("CC_ZERO", "CC0-#"),
     ("UNLICENSE", "Unlicense"),
-    ("ISC_GRANT", "ISC"),
+    ("ISC_GRANT ISC_WARRANTY? ISC_LIABILITY?", "ISC"),
+    ("0BSD_GRANT ISC_WARRANTY ISC_LIABILITY?", "0BSD"),
+    ("ZLIB_WARRANTY ZLIB_LIABILITY ZLIB_GRANT ZLIB_ORIGIN ZLIB_CLAIM ZLIB_ALTERED ZLIB_NOTICE", "Zlib"),
+    ("BOOST_HEAD", "BSL-#"),
+    ("BOOST_TITLE? BOOST_GRANT", "BSL-1.0"),
 )
+#: The most unknown sentences between two of one match.
+GAP = 6
 SPACE = r"[ \t\n\r\f\x0B]"
 #: Where known sentences go on after . : or ; and white space: what follows, and what stands before.
-GOES_ON = "you can redistribute|either version|without even the implied|nor the names of"
+GOES_ON = "you can redistribute|either version|without even the implied|nor the names of|loss of use|or business interruption"
 WITHIN = rf"(?!{SPACE}+[^A-Za-z0-9]*(?i:{GOES_ON}))(?!(?<=\bv\.){SPACE}+[0-9])(?<!(?i:spdx-license-identifier):)"
 #: The end of a sentence, a blank line (of comment marks at most), and what is no part of a normalised sentence.
 END, BLANK, OTHER, VERSION = rf"([.!?:;]){WITHIN}({SPACE}+|$)", r"\n[^A-Za-z0-9\n]*\n", r"[^a-z0-9#]+", r"[0-9]+(?:\.[0-9]+)*"
+#: Lines that are no part of the sentence around them: addresses, copyright notices and SPDX tags.
+LONE = r"(?im)^([^A-Za-z0-9\n]*(?:https?://[^ \n]+[^A-Za-z0-9\n]*|copyright (?:\(c\)|©|[0-9]{4})[^\n]*|spdx-license-identifier:[^\n]*))$"
+#: An SPDX tag's expression.
+_ID = r"\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*"
+TAG = rf"(?i)spdx-license-identifier:[ \t]*({_ID}(?:[ \t]+(?:and|or|with)[ \t]+{_ID})*)"
 #: The holder that a sentence names.
 HOLDER = "^neither the name of .{1,200}? nor the names of "
-_CUT = "\x01"
+_CUT, _TAGGED = "\x01", "spdx license identifier "
 
 
 def normalise(sentence: Column) -> Column:
     """Lower case, versions as #, and single blanks between words. Comment marks, quotes and brackets go with the punctuation."""
     plain = F.translate(F.lower(sentence), "#", " ")
-    plain = F.regexp_replace(plain, rf"(version{SPACE}+|licenses?/|v\. ?|v|cc0 |-|by |nc |sa |nd )({VERSION})", "$1#")
+    plain = F.regexp_replace(plain, rf"(version{SPACE}+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives )({VERSION})", "$1 # ")
     plain = F.trim(F.regexp_replace(plain, OTHER, " "))
     return F.when(plain.startswith("neither the name of "), F.regexp_replace(plain, HOLDER, "neither the name of the copyright holder nor the names of ")).otherwise(plain)
 
@@ -106,38 +172,59 @@ def _lookup() -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """array<struct<id, version>> of the known sentences. A sentence that is unknown as a whole is read paragraph by paragraph,
-    as titles and copyright notices have no full stop, and an unknown paragraph line by line."""
+    """array<struct<id, version, place>> of the known sentences; place is the sentence's number.
+
+    A sentence that is unknown as a whole is read paragraph by paragraph, as titles and copyright notices have no full stop,
+    and an unknown paragraph line by line. LONE lines are paragraphs. A line that starts with an SPDX tag is known as that.
+    """
     known, table = list(SENTENCES), _lookup()
-    mark = lambda s: F.struct(normalise(s).alias("plain"), s.alias("raw"))
-    whole = lambda s: F.filter(F.array(mark(s)), lambda x: x.plain.isin(known))
+    is_tag = lambda x: x.plain.startswith(_TAGGED) & ~F.trim(x.raw).contains("\n")
+    is_known = lambda x: x.plain.isin(known) | is_tag(x)
+
+    def units(s: Column, place: Column) -> Column:
+        mark = lambda r: F.struct(normalise(r).alias("plain"), r.alias("raw"), place.alias("place"))
+        lines = lambda p: F.filter(F.transform(F.split(p, "\n"), mark), is_known)
+        parts = lambda p: F.when(normalise(p).isin(known), F.array(mark(p))).otherwise(lines(p))
+        split = F.flatten(F.transform(F.split(F.regexp_replace(s, LONE, "\n$1\n"), BLANK), parts))
+        return F.when(~s.contains("\n"), F.filter(F.array(mark(s)), is_known)).when(normalise(s).isin(known), F.array(mark(s))).otherwise(split)
 
-    def parts(s: Column) -> Column:
-        lines = F.filter(F.transform(F.split(s, "\n"), mark), lambda x: x.plain.isin(known))
-        return F.when(normalise(s).isin(known), F.array(mark(s))).otherwise(lines)
+    def named(x: Column) -> Column:
+        whole = x.plain.isin(known)
+        version = F.when(whole, F.regexp_extract(x.raw, rf"(?<!(?i:cc)){VERSION}", 0)).otherwise(F.regexp_extract(x.raw, TAG, 1))
+        return F.struct(F.coalesce(F.element_at(table, x.plain), F.lit("SPDX_TAG")).alias("id"), version.alias("version"), x.place.alias("place"))
 
-    def units(s: Column) -> Column:
-        split = F.flatten(F.transform(F.split(s, BLANK), parts))
-        return F.when(~s.contains("\n"), whole(s)).when(normalise(s).isin(known), F.array(mark(s))).otherwise(split)
+    return F.transform(F.flatten(F.transform(sentences(text), units)), named)
 
-    found = F.flatten(F.transform(sentences(text), units))
-    return F.transform(found, lambda x: F.struct(F.element_at(table, x.plain).alias("id"), F.regexp_extract(x.raw, rf"(?<!(?i:cc)){VERSION}", 0).alias("version")))
+
+def _pattern(sequence: str) -> str:
+    """Items are " id=version " each; the first one's version is group 1."""
+    items = [(x.rstrip("?"), x.endswith("?")) for x in sequence.split()]
+    version = next(i for i, (_, missing) in enumerate(items) if not missing)
+    one = lambda i, x: f" {x}=([^ ]*) " if i == version else f" {x}=[^ ]* "
+    return "".join(f"(?:{one(i, x)})?" if missing else one(i, x) for i, (x, missing) in enumerate(items))
 
 
 def match(found: Column) -> Column:
     """array<string> of licences: each rule in turn takes its sequence, every time it comes, out of what earlier rules left.
 
-    Where a rule's licence names a version, the version is the first found in the text's sentences of the rule's first kind.
+    Sentences of one match have at most GAP unknown ones between any two that follow each other. Where a rule's licence names
+    a version, it is that of the match's own first sentence.
     """
-    sequence = F.concat(F.lit(" "), F.array_join(F.transform(found, lambda x: F.concat(F.lit(" "), x.id, F.lit(" "))), ""), F.lit(" "))
-    rules = F.array(*(F.struct(F.lit(" " + "  ".join(seq.split()) + " ").alias("seq"), F.lit(seq.split()[0]).alias("head"), F.lit(name).alias("name")) for seq, name in RULES))
-    start = F.struct(sequence.alias("left"), F.array().cast("array<string>").alias("names"))
+
+    def item(x: Column, i: Column) -> Column:
+        far = (i > 0) & (x.place - F.get(found, i - 1).place > GAP + 1)
+        return F.concat(F.when(far, F.lit("|")).otherwise(F.lit("")), F.lit(" "), x.id, F.lit("="), F.translate(x.version, " \t", "__"), F.lit(" "))
+
+    rules = F.array(*(
+        F.struct(F.lit(_pattern(seq)).alias("seq"), F.lit(f" {next(x for x in seq.split() if x[-1] != '?')}=").alias("head"), F.lit(name).alias("name"))
+        for seq, name in RULES
+    ))
+    start = F.struct(F.array_join(F.transform(found, item), "").alias("left"), F.array().cast("array<string>").alias("names"))
 
     def step(acc: Column, rule: Column) -> Column:
-        versions = F.array_distinct(F.transform(F.filter(found, lambda x: x.id == rule["head"]), lambda x: x.version))
-        names = F.when(rule["name"].contains("#"), F.transform(versions, lambda v: F.replace(rule["name"], F.lit("#"), v))).otherwise(F.array(rule["name"]))
-        hit = F.contains(acc["left"], rule["seq"])
-        return F.struct(F.when(hit, F.replace(acc["left"], rule["seq"], F.lit(" | "))).otherwise(acc["left"]).alias("left"), F.when(hit, F.concat(acc["names"], names)).otherwise(acc["names"]).alias("names"))
+        names = F.transform(F.regexp_extract_all(acc["left"], rule["seq"], F.lit(1)), lambda v: F.replace(rule["name"], F.lit("#"), F.translate(v, "_", " ")))
+        after = F.struct(F.regexp_replace(acc["left"], rule["seq"], F.lit("|")).alias("left"), F.concat(acc["names"], names).alias("names"))
+        return F.when(F.contains(acc["left"], rule["head"]), after).otherwise(acc)
 
     return F.array_sort(F.array_distinct(F.aggregate(rules, start, step, lambda a: a["names"])))
 
@@ -145,7 +232,8 @@ def match(found: Column) -> Column:
 def scan(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
     """Kept columns and identifiers (array), licences (array, in order of name) of every whole text.
 
-    Null and empty texts, and those without a known sentence, have empty arrays. Nothing is shuffled and no Python runs.
+    Null and empty texts, and those without a known sentence, have empty arrays. An SPDX tag's licence is its
+    whole expression. Repeated rows stay. Nothing is shuffled and no Python runs.
     """
     found = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__found", identifiers(F.col("__text")))
     return found.withColumn("identifiers", F.transform("__found", lambda x: x.id)).withColumn("licences", F.when(F.size("__found") > 0, match(F.col("__found"))).otherwise(F.array().cast("array<string>"))).drop("__text", "__found")

@@ -228,6 +228,134 @@ def test_public_notices(spark):
     assert seen[0] == ["GPL_LATER", "GPL_WARRANTY", "GPL_SEE"] and seen[11][-2:] == ["APACHE_BASIS", "APACHE_SEE"]
 
 
+def test_notices_of_more_families(spark):
+    disclaimer = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT\nHOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+    head = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n   This product includes software developed by Somebody.\n"
+    endorse = "4. Neither the name of Somebody nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    isc = '\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+    zlib_text = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."
+    agpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."
+    apache = '# Licensed to Somebody under one or more agreements.\n# The ASF licenses this file\n# to you under the Apache License, Version 2.0 (the\n# "License"); you may not use this file except in compliance\n# with the License.  You may obtain a copy of the License at\n#   http://www.apache.org/licenses/LICENSE-2.0\n# Unless required by applicable law or agreed to in writing,\n# software distributed under the License is distributed on an\n# "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY\n# KIND, either express or implied.  See the License for the\n# specific language governing permissions and limitations\n# under the License.'
+    odd = "An odd one. "
+    cases = [
+        (head + advert + endorse + disclaimer, ["BSD-4-Clause"]), (head + endorse + disclaimer, ["BSD-3-Clause"]), (head + disclaimer, ["BSD-2-Clause"]), (apache, ["Apache-2.0"]), (agpl, ["AGPL-3-or-later"]), (zlib_text, ["Zlib"]),
+        ("Copyright (c) 2020, Somebody\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies." + isc, ["ISC"]),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted." + isc, ["0BSD"]),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + MIT, ["MIT"]), ("The MIT License (MIT)\n\nno more", []), ("Mozilla Public License Version 2.0\n=====\n\n1. Definitions", ["MPL-2.0"]), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nmore", ["GPL-3"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS", ["Apache-2.0"]), ("Eclipse Public License - v 2.0\n\nTHE", ["EPL-2.0"]), ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0\nwhich accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html", ["EPL-1.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]), ("CC0 1.0 Universal\n\nmore", ["CC0-1.0"]),
+        ("// SPDX-License-Identifier: GPL-3.0-or-later\nint x;", ["GPL-3.0-or-later"]), ("/* SPDX-License-Identifier: BSD-3-Clause */\nint x;", ["BSD-3-Clause"]), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nimport os", ["(MIT OR Apache-2.0)"]),
+        ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["GPL-2.0-only WITH Classpath-exception-2.0"]), ("# SPDX-License-Identifier:", []),
+        # A match's sentences are near each other, and its version is its own.
+        ("\n\n".join(MIT.split("\n\n")[:1] + [odd * licences.GAP] + MIT.split("\n\n")[1:]), ["MIT"]), ("\n\n".join(MIT.split("\n\n")[:1] + [odd * (licences.GAP + 1)] + MIT.split("\n\n")[1:]), []),
+        ("Licensed under CC BY 3.0. Licensed under CC BY-SA 4.0.", ["CC-BY-3.0", "CC-BY-SA-4.0"]),
+        ('Licensed under the Apache License, Version 1.1 (the "License"); nothing. Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', ["Apache-2.0"]),
+    ]
+    got = licences.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)]), keep=(F.col("doc_id"),)).collect()
+    assert {r.doc_id: r.licences for r in got} == {i: sorted(x) for i, (_, x) in enumerate(cases)}
+
+
+def plain_licences(text):
+    """Identifiers and licences by loops over characters, lines and lists."""
+    import re
+
+    def normal(raw):
+        plain = re.sub(rf"(version[ \t\n\r\f\x0b]+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives )({licences.VERSION})", r"\1 # ", raw.lower().replace("#", " "))
+        plain = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789#" else " " for c in plain).split())
+        name, _, rest = plain.removeprefix("neither the name of ").partition(" nor the names of ")
+        return f"neither the name of the copyright holder nor the names of {rest}" if plain.startswith("neither the name of ") and rest and 0 < len(name) <= 200 else plain
+
+    space, cuts = " \t\n\r\f\x0b", [0]
+    for i, c in enumerate(text):
+        if c not in ".!?:;" or i + 1 < len(text) and text[i + 1] not in space:
+            continue
+        rest = text[i + 1 :].lstrip(space)
+        bare = re.sub(r"^[^A-Za-z0-9]*", "", rest).lower()
+        goes_on = rest and (bare.startswith(tuple(licences.GOES_ON.split("|"))) or c == "." and re.search(r"\bv$", text[:i]) and rest[0].isdigit())
+        if not goes_on and not text[: i + 1].lower().endswith("spdx-license-identifier:"):
+            cuts += [i + 1]
+    found = []
+
+    def take(raw, place, line):
+        plain = normal(raw)
+        if plain in licences.SENTENCES:
+            version = re.search(rf"(?<!cc)(?<!CC){licences.VERSION}", raw)
+            found.append((licences.SENTENCES[plain], version.group() if version else "", place))
+        elif line and plain.startswith("spdx license identifier ") and "\n" not in raw.strip(" "):
+            tag = re.search(licences.TAG.removeprefix("(?i)"), raw, re.I)
+            found.append(("SPDX_TAG", tag.group(1) if tag else "", place))
+        else:
+            return False
+        return True
+
+    for place, (a, b) in enumerate(zip(cuts, cuts[1:] + [len(text)], strict=True)):
+        raw = text[a:b].lstrip(space) if a else text[a:b]
+        if take(raw, place, "\n" not in raw) or "\n" not in raw:
+            continue
+        part = []
+        for line in [*raw.split("\n"), None]:
+            bare = re.sub(r"^[^A-Za-z0-9]*", "", line or "").lower()
+            lone = bare.startswith("spdx-license-identifier:") or re.match(r"copyright (\(c\)|©|[0-9]{4})", bare) or re.fullmatch(r"https?://[^ ]+[^a-z0-9]*", bare)
+            if line is not None and bare and not lone:
+                part.append(line)
+                continue
+            if part and not take("\n".join(part), place, False):
+                for x in part:
+                    take(x, place, True)
+            part = []
+            if lone:
+                take(line, place, True)
+    names, left = set(), [[i, v, p] for i, v, p in found]
+
+    def ends(at, items):
+        """Where a match of the items from at on ends, the longest first."""
+        if not items:
+            return at
+        fits = at < len(left) and left[at] is not None and left[at][0] == items[0].rstrip("?")
+        if fits and (end := ends(at + 1, items[1:])) is not None:
+            return end
+        return ends(at, items[1:]) if items[0].endswith("?") else None
+
+    far = [i for i in range(1, len(left)) if left[i][2] - left[i - 1][2] > licences.GAP + 1]
+    for i in reversed(far):
+        left.insert(i, None)
+    for sequence, name in licences.RULES:
+        items, at = sequence.split(), 0
+        while at < len(left):
+            end = ends(at, items)
+            if end is None:
+                at += 1
+                continue
+            own = next(x for x in left[at:end] if x[0] == next(i for i in items if i[-1] != "?"))
+            names.add(name.replace("#", own[1]))
+            left[at:end] = [None]
+            at += 1
+    return " ".join(i for i, _, _ in found), ", ".join(sorted(names))
+
+
+def test_op2_against_brute_force(spark, tmp_path):
+    rng = random.Random(2)
+    known = [s.replace("#", rng.choice(["version 2.0", "2.0", "3"])) for s in licences.SENTENCES]
+    known += ["Licensed under the Apache License, Version 2.0", 'licensed under the Apache License, version 2.0 (the "License")', "SPDX-License-Identifier: MIT", "// SPDX-License-Identifier: GPL-2.0-only OR MIT", "Copyright (c) 2020 Some Body", "http://some.place/x", "mozilla public license, v. 2.0"]
+    runs = [[k for s in seq.split() for k in [next((t for t, i in licences.SENTENCES.items() if i == s.rstrip("?")), "SPDX-License-Identifier: X11")]] for seq, _ in licences.RULES]
+    texts = ["", None, ".", "\n\n"]
+    for _ in range(250):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            what = rng.random()
+            parts += rng.choice(runs) if what < 0.4 else [rng.choice(known)] if what < 0.7 else ["some other words"] * rng.randint(1, 9)
+        parts = [p.replace("version #", "version 3").replace("#", "v2.0" if "eclipse" in p else "4.0") for p in parts]
+        parts = [p.replace(" ", "\n# ", 1) if rng.random() < 0.1 else p for p in parts]
+        texts.append("".join(p + rng.choice([". ", "; ", ":\n", ".\n\n", "\n", "\n\n", "\n#\n# ", ". # "]) for p in parts))
+    frame(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.identifiers, r.licences) for r in queries.op2_licences(spark, str(tmp_path)).collect()}
+    want = {i: plain_licences(t or "") for i, t in enumerate(texts)}
+    assert {i: (texts[i], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert len({x for _, x in want.values()}) > 30
+
+
 # SpotSigs
 
 
