@@ -70,15 +70,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = spotsigs.with_next(docs, "doc_id", "text", "next_text").withColumn("n_chars", F.char_length("text").cast("long"))
+    both = spotsigs.with_next(docs, "doc_id", "text", "next_text", sigs="sigs").withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut).cast("int")), F.substring("next_text", F.lit(1), cut))
-    made = both.withColumn("edited", edited)
-    for text, out in (("text", "sigs"), ("edited", "edited_sigs"), ("next_text", "next_sigs")):
-        made = spotsigs.with_signatures(made, F.col(text), out)
+    made = spotsigs.with_signatures(both.withColumn("edited", edited), F.col("edited"), "edited_sigs")
     return made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"), spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_text_sigs")).alias("near_next"),
     )
 
 

@@ -16,8 +16,8 @@ ANCHORS = {
     "es": "al como con de del el ella en es esta este fue ha la las lo los más no para pero por que se ser si sin su sus un una y",
 }
 WORDS = tuple(sorted({w for words in ANCHORS.values() for w in words.split()}))
-#: Content words in a chain; quantiles by which rows are put in order, and rows of a bucket between them.
-CHAIN, PROBES, ROWS = 2, 64, 2000
+#: Content words in a chain; quantiles by which rows are put in order, rows of a bucket between them, and rows of a task.
+CHAIN, PROBES, ROWS, TASK_ROWS = 2, 64, 250, 5000
 _MARK = "\x02"
 
 
@@ -61,39 +61,49 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _bucket(df: DataFrame, id_col: str) -> Column:
-    """A number that rises with the id and holds about ROWS rows each: the id's place among PROBES quantiles, and between two of them in proportion. Null ids come last."""
+def _bucket(df: DataFrame, id_col: str) -> tuple[Column, int]:
+    """A number that rises with the id and holds about ROWS rows each, and the rows in all.
+
+    The number is the id's place among PROBES quantiles, and between two of them in proportion. Null ids come last.
+    """
     probes = [i / PROBES for i in range(PROBES + 1)]
-    n, bounds = df.agg(F.count(id_col), F.percentile_approx(F.col(id_col), probes, 10_000)).first()
+    rows, n, bounds = df.agg(F.count("*"), F.count(id_col), F.percentile_approx(F.col(id_col), probes, 10_000)).first()
     bounds = sorted(set(bounds or [0]))
     parts = max(1, -(-n // (len(bounds) * ROWS)))
     edges = F.array(*map(F.lit, bounds))
     place = F.size(F.filter(edges, lambda b: b <= F.col(id_col)))
     low, high = F.get(edges, place - 1).cast("double"), F.get(edges, place).cast("double")
     within = F.coalesce(F.floor((F.col(id_col).cast("double") - low) / (high - low) * parts), F.lit(0))
-    return F.when(F.col(id_col).isNull(), F.lit((len(bounds) + 1) * parts)).otherwise(place * parts + F.least(F.lit(parts - 1), within)).cast("long")
+    return F.when(F.col(id_col).isNull(), F.lit((len(bounds) + 1) * parts)).otherwise(place * parts + F.least(F.lit(parts - 1), within)).cast("long"), rows
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, out: str, sigs: str | None = None) -> DataFrame:
     """df with the text of the next row by id (a long) in out; the last row has the first's. Null ids come last, and rows of one id go by text.
 
-    Rows are dealt out once, into buckets that rise with the id, and each bucket finds its rows' successors; its last row
-    takes the first of the next bucket that has any. Those first rows are found by their ids, which are one a bucket.
+    With sigs, that column has the signatures of a row's text and out + "_sigs" those of the next; each row's are made once.
+    Rows are dealt out once, in buckets that rise with the id, to as many tasks as there are times TASK_ROWS rows. Each bucket
+    finds its rows' successors; its last row takes the first of the next bucket that has any. Those first rows are found by
+    their ids, which are one a bucket.
     """
-    dealt = df.withColumn("__b", _bucket(df, id_col))
+    bucket, rows = _bucket(df, id_col)
+    numbered = df.withColumn("__b", bucket)
+    made = (lambda d: with_signatures(d, F.col(text_col), sigs)) if sigs else (lambda d: d)
+    carried = {out: text_col} | ({f"{out}_sigs": sigs} if sigs else {})
+    dealt = made(numbered.repartition(max(1, -(-rows // TASK_ROWS)), "__b"))
     order = W.partitionBy("__b").orderBy(F.col(id_col).asc_nulls_last(), text_col)
-    followed = dealt.withColumns({out: F.lead(text_col).over(order), "__last": F.lead(F.lit(True)).over(order).isNull()})
-    firsts = dealt.groupBy("__b").agg(F.min(id_col).alias("__first"))
+    followed = dealt.withColumns({k: F.lead(v).over(order) for k, v in carried.items()} | {"__last": F.lead(F.lit(True)).over(order).isNull()})
+    firsts = numbered.groupBy("__b").agg(F.min(id_col).alias("__first"))
     few = firsts.count() <= 100_000
     known = firsts.where("__first is not null").select("__first")
-    heads = dealt.join(F.broadcast(known) if few else known, F.col(id_col) == F.col("__first")).groupBy("__b").agg(F.min(text_col).alias("__head"))
-    nulls = dealt.where(F.col(id_col).isNull()).agg(F.max("__b").alias("__b"), F.min(text_col).alias("__head")).where("__b is not null")
-    heads = heads.union(nulls)
+    heads = numbered.join(F.broadcast(known) if few else known, F.col(id_col) == F.col("__first")).groupBy("__b").agg(F.min(text_col).alias(text_col))
+    nulls = numbered.where(F.col(id_col).isNull()).agg(F.max("__b").alias("__b"), F.min(text_col).alias(text_col)).where("__b is not null")
+    heads = made(heads.union(nulls))
     ring = W.orderBy("__b")
     after = firsts.select("__b", F.coalesce(F.lead("__b").over(ring), F.first("__b").over(ring)).alias("__next"))
-    turn = after.join(heads.withColumnRenamed("__b", "__next"), "__next").select("__b", "__head")
+    turn = after.join(heads.select(F.col("__b").alias("__next"), *(F.col(v).alias(f"__head_{k}") for k, v in carried.items())), "__next").drop("__next")
     full = followed.join(turn, "__b")
-    return full.withColumn(out, F.when(F.col("__last"), F.col("__head")).otherwise(F.col(out))).drop("__b", "__last", "__head")
+    ends = {k: F.when(F.col("__last"), F.col(f"__head_{k}")).otherwise(F.col(k)) for k in carried}
+    return full.withColumns(ends).drop("__b", "__last", *(f"__head_{k}" for k in carried))
 
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
