@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.storage import materialise
 
+#: Edges of a written file, where that makes more files than there are cores.
+FILE_EDGES = 100_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,14 +32,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Edges with a null end are dropped and self-loops give single-node components. Every round is an aggregate and
     a join on the node, so that hubs are combined before the shuffle and split by adaptive joins after it;
-    the rounds grow with the logarithm of a component's size. Nothing but two numbers a round reaches the driver.
+    the rounds grow with the logarithm of a component's size. Nothing but two numbers a round reaches the driver. A round's
+    edges are written in files in proportion to those of the round before, whatever the number of shuffle partitions.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull())
     given = materialise(pairs.distinct())  # read again for the loops at the end
     now = given.where("u != v")
     seen = _state(now)
     while True:
-        now = materialise(_small_star(_large_star(now)))
+        now = materialise(_small_star(_large_star(now)).coalesce(max(cores, seen[0] // FILE_EDGES)))
         state = _state(now)
         if state == seen:
             break
