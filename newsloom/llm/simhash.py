@@ -222,6 +222,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     ends = links(firsts.select("fp"), distance).distinct().join(firsts.select(F.col("fp").alias("src"), F.col("head").alias("x")), "src").join(firsts.select(F.col("fp").alias("dst"), F.col("head").alias("y")), "dst")
     linked = alike(same.union(ends.select(F.least("x", "y"), F.greatest("x", "y"))).distinct())
     joined = materialise(connected_components(linked, "a", "b"))
+    # Later links meet the components found so far, each a star already, not their edges once more.
+    join_more = lambda pairs: materialise(connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(pairs), "a", "b"))
 
     both = F.arrays_zip("keys", "tasks")
     keyed = classes.select("name", "size", F.posexplode(both).alias("pos", "k")).select(
@@ -229,9 +231,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     )
     schema = "key long, a long, b long, place long"
     met = materialise(in_arrow(keyed.repartition("key", "deal").sortWithinPartitions("key", "deal", "place", "name"), sets.meet, schema))
-    new = _apart(met.where("key = 0").select("a", "b").distinct(), joined)
-    linked = linked.union(alike(new))
-    joined = materialise(connected_components(linked, "a", "b"))
+    joined = join_more(alike(_apart(met.where("key = 0").select("a", "b").distinct(), joined)))
 
     crowd = met.where("key != 0").select("key", F.col("a").alias("name"), "place")
     labelled = crowd.join(joined, crowd.name == joined.node, "left").select("key", "name", "place", F.coalesce("component", "name").alias("label"))
@@ -242,8 +242,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         chunks = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "name", "place", "label")
         late = in_arrow(chunks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "name"), sets.cross, schema)
-        linked = linked.union(alike(late.select("a", "b").distinct()))
-        joined = materialise(connected_components(linked, "a", "b"))
+        joined = join_more(alike(late.select("a", "b").distinct()))
     named = classes.join(joined, classes.name == joined.node, "left").select("least", F.coalesce("component", "name").alias("label"))
     kept = named.groupBy("label").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
     return rows.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(*df.columns)
