@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.storage import shared_dir
-from newsloom.llm import langid, licences, matroska, mixing, pieces, quality, simhash, spotsigs, substring, warc
+from newsloom.llm import langid, licences, matroska, maxscore, mixing, pieces, quality, simhash, spotsigs, substring, vptree, warc, whitening
 from newsloom.llm.common import WORD, fold, table
 
 
@@ -80,7 +80,26 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_licences, op3_substring, op4_quality, op5_pieces, op6_mixing, op7_warc, op8_simhash, op9_language, op10_spotsigs)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return vptree.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(maxscore.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_matroska, op2_licences, op3_substring, op4_quality, op5_pieces, op6_mixing, op7_warc, op8_simhash, op9_language, op10_spotsigs,
+        op11_neighbours, op12_ranked, op13_whitening,
+    )
+}
 
 ORACLE = {
     "op3_substring": f"""
@@ -109,4 +128,18 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
 w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM w""",
+    "op11_neighbours": """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_reduce(list_transform(embedding::DOUBLE[], lambda x: x * x), lambda a, b: a + b) AS square FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, i.vec_id, list_reduce(list_transform(range(1, len(q.v) + 1), lambda k: q.v[k] * i.v[k]), lambda a, b: a + b) / (sqrt(q.square) * sqrt(i.square)) AS score
+  FROM e AS q JOIN e AS i ON q.vec_id <> i.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""",
+    "op12_ranked": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM d WHERE len(w) > 0), g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS all_terms FROM s),
+t AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM s) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, g GROUP BY term, docs),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+r AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // all_terms))))::BIGINT AS score FROM b JOIN f USING (term) JOIN t USING (term), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50""",
 }
