@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Corporate forms, titles, domains, hosts and labels of the data.
+# Corporate forms, titles, domains, hosts, labels and patterns of the data.
 REGISTRY_FORMS = "주식회사|㈜|\\(주\\)|\\(유\\)|유한회사"
 ENTITY_FORMS = "\\(주\\)|㈜|주식회사|\\(유\\)|유한회사|\\(사\\)|사단법인|\\(재\\)|재단법인"
 PERSON_TITLES = "대표이사|대표|회장|사장|CEO"
@@ -22,6 +22,12 @@ BLOCKED_DOMAINS = (
     "worknet.go.kr", "jasoseol.com", "nicebizinfo.com", "nicednb.com", "creditbank.co.kr", "nts.go.kr", "alio.go.kr", "data.go.kr",
     "ftc.go.kr", "kotra.or.kr", "innobiz.or.kr", "kssn.net", "bizno.net", "kepco.co.kr",
 )
+DATE, AGO = r"(\d{4})\.(\d{1,2})\.(\d{1,2})", r"(\d+)\s*(분|시간|일|주)\s*전"
+DEADLINE = r"(20\d{2})[-./년]\s*(\d{1,2})[-./월]\s*(\d{1,2})"
+BUSINESS_NUMBER = r"사업자\s*등록\s*번호\s*[:：]?\s*(\d{3}[-\s]?\d{2}[-\s]?\d{5})"
+QUARTER, FISCAL_YEAR = r"\.(\d{2})\)", r"\((\d{4})\.\d{2}\)"
+DETAIL_PATH, DETAIL_URL = r"^/Recruit/GI_Read/(\d+)$", "https://www.jobkorea.co.kr/Recruit/GI_Read_Comt_Ifrm?Gno="
+FENCE_START, FENCE_END = r"^```(?:json)?\s*", r"\s*```$"
 UNIT_DAYS = {"분": 0, "시간": 0, "일": 1, "주": 7}
 REPORT_CODES = {"사업보고서": "11011", "반기보고서": "11012"}
 QUARTER_CODES = {"03": "11013", "09": "11014"}
@@ -39,13 +45,11 @@ def collapse(text: Column) -> Column:
 
 def article_date(text: Column, as_of: Column | date) -> Column:
     """The first Y.M.D in the text, else the first '3 days ago' in Korean before as_of; impossible dates and no match give null."""
-    absolute = r"(\d{4})\.(\d{1,2})\.(\d{1,2})"
-    part = lambda i: F.regexp_extract(text, absolute, i)
+    part = lambda i: F.regexp_extract(text, DATE, i)
     spelled = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")), "yyyy-MM-dd")
-    relative = r"(\d+)\s*(분|시간|일|주)\s*전"
-    days = F.regexp_extract(text, relative, 1).try_cast("int") * F.element_at(_map(UNIT_DAYS), F.regexp_extract(text, relative, 2))
+    days = F.regexp_extract(text, AGO, 1).try_cast("int") * F.element_at(_map(UNIT_DAYS), F.regexp_extract(text, AGO, 2))
     today = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    return F.when(text.rlike(absolute), spelled).when(text.rlike(relative), F.date_sub(today, days))
+    return F.when(text.rlike(DATE), spelled).when(text.rlike(AGO), F.date_sub(today, days))
 
 
 def strip_entity(name: Column) -> Column:
@@ -87,19 +91,19 @@ def verified(number: Column, person: Column, known_number: Column, known_person:
 
 def business_number(text: Column) -> Column:
     """The ten digits after the label of a business registration number, or null."""
-    found = F.regexp_extract(text, r"(?U)사업자\s*등록\s*번호\s*[:：]?\s*([0-9]{3}[-\s]?[0-9]{2}[-\s]?[0-9]{5})", 1)
+    found = F.regexp_extract(text, f"(?U){BUSINESS_NUMBER}", 1)
     return F.nullif(digits(found), F.lit(""))
 
 
 def report_code(name: Column) -> Column:
     """The code of a periodic report from its name; quarterly reports go by their month, others have none."""
-    quarter = F.try_element_at(_map(QUARTER_CODES), F.regexp_extract(name, r"\.(\d{2})\)", 1))
+    quarter = F.try_element_at(_map(QUARTER_CODES), F.regexp_extract(name, QUARTER, 1))
     out = F.when(name.contains("사업보고서"), REPORT_CODES["사업보고서"]).when(name.contains("반기보고서"), REPORT_CODES["반기보고서"])
     return out.when(name.contains("분기보고서"), quarter)
 
 
 def fiscal_year(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(name, r"\((\d{4})\.\d{2}\)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(name, FISCAL_YEAR, 1), F.lit(""))
 
 
 def to_int(text: Column) -> Column:
@@ -138,9 +142,8 @@ def has_value(*texts: Column) -> Column:
 
 def deadline(known: Column, text: Column) -> Column:
     """The known deadline, else the last date in the text as yyyy-mm-dd, else null."""
-    whole = r"20\d{2}[-./년]\s*\d{1,2}[-./월]\s*\d{1,2}"
-    last = F.get(F.reverse(F.regexp_extract_all(text, F.lit(whole), F.lit(0))), F.lit(0))
-    part = lambda i: F.regexp_extract(last, r"(20\d{2})[-./년]\s*(\d{1,2})[-./월]\s*(\d{1,2})", i)
+    last = F.get(F.reverse(F.regexp_extract_all(text, F.lit(DEADLINE), F.lit(0))), F.lit(0))
+    part = lambda i: F.regexp_extract(last, DEADLINE, i)
     found = F.when(last.isNotNull(), F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0")))
     return F.coalesce(F.nullif(known, F.lit("")), found)
 
@@ -151,9 +154,9 @@ def url_host(url: Column) -> Column:
 
 def detail_url(url: Column) -> Column:
     """The page that holds a posting's body, for URLs of exactly the known hosts and path; else null."""
-    number = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^/Recruit/GI_Read/(\d+)$", 1)
+    number = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), DETAIL_PATH, 1)
     ok = url_host(url).isin(*POSTING_HOSTS) & (number != "")
-    return F.when(ok, F.concat(F.lit("https://www.jobkorea.co.kr/Recruit/GI_Read_Comt_Ifrm?Gno="), number))
+    return F.when(ok, F.concat(F.lit(DETAIL_URL), number))
 
 
 def blocked(url: Column, domains: tuple[str, ...] = BLOCKED_DOMAINS) -> Column:
@@ -170,7 +173,7 @@ def name_appears(name: Column, text: Column) -> Column:
 
 def unfence(text: Column) -> Column:
     """A model's answer without its code fence."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(text), FENCE_START, ""), FENCE_END, "")
 
 
 def months_ago(day: Column, months: int) -> Column:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions.storage import materialise
+from newsloom.operators import scan
+from newsloom.operators.graph import connected_components, local_components
 
 #: Least similarity of near copies, and days between them; least similarity within an issue; articles of a moment and of an issue.
 NEAR, NEAR_DAYS, COHERENT, PER_MOMENT, PER_ISSUE = 0.86, 1, 0.65, 2, 5
 #: Queries that are sent to the items at once.
 QUERY_BLOCK = 10_000
+#: Rows of a subject or group that one task takes whole; of a chunk; of a run within it; pivots by whose angles runs are told apart.
+TASK_ROWS, CHUNK, RUN, PIVOTS = 20_000, 2048, 64, 16
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -29,15 +37,33 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+@dataclass
+class Clusters:
+    """What lead() knows of clusters, in the order of their first members: the first member's day, the running mean, the size."""
+
+    anchor: np.ndarray
+    mean: np.ndarray
+    size: np.ndarray
+
+
 def leaders(vectors: np.ndarray, days: np.ndarray, near: float = NEAR, window: int = NEAR_DAYS) -> np.ndarray:
     """Each row's cluster, numbered by first member. A row joins the first cluster whose running mean is near enough.
 
     days: day numbers, NaN where unknown; a cluster whose first member is more than window days away is passed over, an unknown
     day is never too far.
     """
+    return lead(vectors, days, near, window)[0]
+
+
+def lead(vectors: np.ndarray, days: np.ndarray, near: float, window: int, known: Clusters | None = None) -> tuple[np.ndarray, Clusters]:
+    """leaders(), and the clusters as they are at the end. known: clusters of earlier rows, which come first."""
     n, width = vectors.shape
-    out, anchor, mean, size, count = np.zeros(n, np.int64), np.empty(n), np.zeros((n, width)), np.zeros(n, np.int64), 0
-    norms = np.zeros(n)
+    count = len(known.size) if known else 0
+    out, anchor, mean, size = np.zeros(n, np.int64), np.empty(n + count), np.zeros((n + count, width)), np.zeros(n + count, np.int64)
+    norms = np.zeros(n + count)
+    if known:
+        anchor[:count], mean[:count], size[:count] = known.anchor, known.mean, known.size
+        norms[:count] = np.linalg.norm(known.mean, axis=1)
     for i in range(n):
         own = np.linalg.norm(vectors[i])
         dot = mean[:count] @ vectors[i]
@@ -51,59 +77,170 @@ def leaders(vectors: np.ndarray, days: np.ndarray, near: float = NEAR, window: i
         mean[c] += (vectors[i] - mean[c]) / size[c]
         norms[c] = np.linalg.norm(mean[c])
         out[i] = c
-    return out
+    return out, Clusters(anchor[:count], mean[:count], size[:count])
 
 
 def complete_link(vectors: np.ndarray, least: float = COHERENT) -> list[list[int]]:
     """Groups in which even the least similar two are similar enough; the most similar two clusters merge first.
 
-    Of equally similar pairs the first merges; the earlier cluster takes in the later, which leaves the list.
+    Similarities count to twelve digits. Of equally similar pairs the first merges; the earlier cluster takes in the later, which leaves the list. Found by
+    chains of nearest neighbours: a merged cluster is no nearer to others than its parts were, so pairs that are each other's nearest
+    can merge in any order, and a cluster without a near enough neighbour is done. Memory is the vectors and one row of similarities.
     """
     u = _unit(list(vectors))
-    groups, link = [[i] for i in range(len(u))], u @ u.T
-    while len(groups) > 1:
-        upper = np.where(np.triu(np.ones_like(link, bool), 1), link, -np.inf)
-        a, b = divmod(int(upper.argmax()), len(groups))
-        if upper[a, b] < least:
-            break
-        groups[a] += groups.pop(b)
-        row = np.minimum(link[a], link[b])
-        link[a], link[:, a] = row, row
-        link = np.delete(np.delete(link, b, 0), b, 1)
-    return groups
+    members, owner, left, chain, done = {i: [i] for i in range(len(u))}, np.arange(len(u)), list(range(len(u))), [], []
+    while left:
+        if not chain:
+            chain = [left[0]]
+        a = chain[-1]
+        near = np.full(len(u), np.inf)
+        for at in range(0, len(members[a]), 256):
+            near = np.minimum(near, np.round(u @ u[members[a][at : at + 256]].T, 12).min(axis=1))
+        own = np.full(len(u), np.inf)
+        np.minimum.at(own, owner[owner >= 0], near[owner >= 0])
+        own[np.isinf(own)], own[a] = -np.inf, -np.inf
+        b = int(own.argmax())  # of equals the first
+        if own[b] < least:
+            done.append(a)
+            owner[members[a]] = -1
+            left.remove(a)
+            chain.pop()
+        elif len(chain) > 1 and chain[-2] == b:
+            low, high = min(a, b), max(a, b)
+            owner[members[high]] = low
+            members[low] += members.pop(high)
+            left.remove(high)
+            del chain[-2:]
+        else:
+            chain.append(b)
+    return [members[i] for i in sorted(done)]
 
 
 def leader_clusters(df: DataFrame, subject: str, order: str, vector: str, day: str | None = None, near: float = NEAR, window: int = NEAR_DAYS) -> DataFrame:
-    """df's subject and order columns with cluster (long), numbered within the subject.
+    """df's subject and order columns with cluster (long), numbered within the subject by its first member. order is unique within a subject.
 
-    A null vector is a cluster of its own. The semantics depend on the order of a subject's rows, so a subject is one task's work: subjects are searches of a few
-    thousand articles, and run beside each other.
+    A null vector is a cluster of its own. A subject of TASK_ROWS rows or fewer is one task's loop. A larger one is cut where no row can join a cluster
+    across: up to the subject's first row without a day, days further apart than window split its rows into islands, which run side by side. From
+    that row on any cluster may be joined, so the loop goes on in one task, with the islands' clusters in the order of their first members.
     """
-    rows = df.select(F.col(subject), F.col(order), F.col(vector).cast("array<double>").alias("__v"), (F.col(day).cast("date") if day else F.lit(None).cast("date")).alias("__d"))
-    schema = T.StructType([*rows.select(subject, order).schema.fields, T.StructField("cluster", T.LongType())])
+    rows = df.select(F.col(subject).alias("s"), F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"), (F.col(day).cast("date") if day else F.lit(None).cast("date")).alias("d"))
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = T.StructType([T.StructField("s", kinds["s"]), T.StructField("o", kinds["o"]), T.StructField("cluster", T.LongType())])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        days = pd.to_datetime(part["__d"]).to_numpy("datetime64[D]").astype(np.float64)
-        days[part["__d"].isna().to_numpy()] = np.nan
-        return part[[subject, order]].assign(cluster=leaders(_matrix(part["__v"].tolist()), days, near, window))
+    def days_of(part: pd.DataFrame) -> np.ndarray:
+        days = pd.to_datetime(part["d"]).to_numpy("datetime64[D]").astype(np.float64)
+        days[part["d"].isna().to_numpy()] = np.nan
+        return days
 
-    return rows.groupBy(subject).applyInPandas(run, schema)
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("o", kind="stable")
+        return part[["s", "o"]].assign(cluster=leaders(_matrix(part["v"].tolist()), days_of(part), near, window))
+
+    named = lambda out: out.select(F.col("s").alias(subject), F.col("o").alias(order), "cluster")
+    large = materialise(rows.groupBy("s").agg(F.count("*").alias("n"), F.min(F.when(F.col("d").isNull(), F.col("o"))).alias("undated")).where(F.col("n") > TASK_ROWS))
+    if large.isEmpty():
+        return named(rows.groupBy("s").applyInPandas(run, schema))
+    small = rows.join(large, rows.s.eqNullSafe(large.s), "left_anti").groupBy("s").applyInPandas(run, schema)
+
+    whole = rows.join(large.select(F.col("s").alias("ls"), "undated"), rows.s.eqNullSafe(F.col("ls"))).drop("ls")
+    early, late = whole.where(F.col("undated").isNull() | (F.col("o") < F.col("undated"))).drop("undated"), whole.where(F.col("o") >= F.col("undated")).drop("undated")
+    # One row a subject and day is put in order: a calendar's days at most.
+    by = W.partitionBy("s").orderBy("d")
+    gaps = early.select("s", "d").distinct().withColumn("gap", F.coalesce(F.date_diff("d", F.lag("d").over(by)) > window, F.lit(False)))
+    islands = gaps.select(F.col("s").alias("gs"), F.col("d").alias("gd"), F.count_if("gap").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("island"))
+    placed = early.join(islands, early.s.eqNullSafe(F.col("gs")) & (early.d == F.col("gd"))).drop("gs", "gd")
+    state = T.StructType([T.StructField("s", kinds["s"]), T.StructField("o", kinds["o"]), T.StructField("first", kinds["o"]), T.StructField("day", T.DoubleType()), T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("size", T.LongType())])
+
+    def island(part: pd.DataFrame) -> pd.DataFrame:
+        """Each row's cluster by its first member; that member's row has the cluster's state at the end too."""
+        part = part.sort_values("o", kind="stable").reset_index(drop=True)
+        out, made = lead(_matrix(part["v"].tolist()), days_of(part), near, window)
+        heads = np.unique(out, return_index=True)[1]
+        first = np.zeros(len(part), bool)
+        first[heads] = True
+        means = [None] * len(part)
+        for c, i in enumerate(heads):
+            means[i] = made.mean[c].tolist()
+        return pd.DataFrame({"s": part["s"], "o": part["o"], "first": part["o"].to_numpy()[heads[out]], "day": np.where(first, made.anchor[out], np.nan), "mean": means, "size": np.where(first, made.size[out], 0)})
+
+    early_done = materialise(placed.groupBy("s", "island").applyInPandas(island, state))
+
+    def go_on(known: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        part, known = part.sort_values("o", kind="stable"), known.sort_values("first", kind="stable")
+        # Where all vectors of an island, or of these rows, are null, their width is not known there; they are zeros of any width.
+        width = max((len(x) for x in (*known["mean"], *part["v"]) if x is not None), default=1)
+        wide = lambda rows: _matrix([None if x is None or len(x) < width else x for x in rows] + [np.zeros(width)])[:-1]
+        start = Clusters(known["day"].to_numpy(np.float64), wide(known["mean"]), known["size"].to_numpy()) if len(known) else None
+        out, _ = lead(wide(part["v"]), days_of(part), near, window, start)
+        order_of = np.concatenate([known["first"].to_numpy(), part["o"].to_numpy()])
+        heads = np.full(len(known) + len(part), -1)
+        heads[: len(known)] = np.arange(len(known))
+        for i, c in enumerate(out):
+            heads[c] = heads[c] if heads[c] >= 0 else len(known) + i
+        return part[["s", "o"]].assign(first=order_of[heads[out]])
+
+    pairs = T.StructType([*schema.fields[:2], T.StructField("first", kinds["o"])])
+    late_done = early_done.where("size > 0").groupBy("s").cogroup(late.groupBy("s")).applyInPandas(go_on, pairs)
+    every = materialise(early_done.select("s", "o", "first").unionByName(late_done))
+    numbers = scan.number(every.where("o = first").select(F.col("s").alias("ns"), F.col("o").alias("no")), ["ns"], "no", "cluster")
+    return named(small.unionByName(every.join(numbers, every.s.eqNullSafe(F.col("ns")) & (every["first"] == F.col("no"))).select("s", "o", "cluster")))
 
 
 def coherent_groups(df: DataFrame, group: str, order: str, vector: str, least: float = COHERENT) -> DataFrame:
-    """df's group and order columns with part (long): the group split by complete link. A group is an issue's few articles."""
-    rows = df.select(F.col(group), F.col(order), F.col(vector).cast("array<double>").alias("__v"))
-    schema = T.StructType([*rows.select(group, order).schema.fields, T.StructField("part", T.LongType())])
+    """df's group and order columns with part (long): the group split by complete link, parts numbered by first member. order is unique within a group.
+
+    A group of TASK_ROWS rows or fewer is one task's work. Of a larger one the pairs that are similar enough are found in pairs of chunks; parts lie
+    within what these pairs hold together, so that the components are split side by side.
+    """
+    rows = df.select(F.col(group).alias("s"), F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
+    fields = rows.select("s", "o").schema.fields
+    schema = T.StructType([*fields, T.StructField("part", T.LongType())])
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(order, kind="stable")
+        own = own.sort_values("o", kind="stable")
         parts = np.zeros(len(own), np.int64)
-        for k, members in enumerate(complete_link(_matrix(own["__v"].tolist()), least)):
+        for k, members in enumerate(complete_link(_matrix(own["v"].tolist()), least)):
             parts[members] = k
-        return own[[group, order]].assign(part=parts)
-
-    return rows.groupBy(group).applyInPandas(run, schema)
+        return own[["s", "o"]].assign(part=parts)
+
+    named = lambda out: out.select(F.col("s").alias(group), F.col("o").alias(order), "part")
+    large = materialise(rows.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS))
+    if large.isEmpty():
+        return named(rows.groupBy("s").applyInPandas(run, schema))
+    small = rows.join(large, rows.s.eqNullSafe(large.s), "left_anti").groupBy("s").applyInPandas(run, schema)
+    keyed = materialise(rows.join(large.select(F.col("s").alias("ls")), rows.s.eqNullSafe(F.col("ls"))).drop("ls").withColumn("id", F.xxhash64("s", "o")))
+
+    def linked(part: pa.Table) -> pa.Table:
+        u, ids, chunk = _unit(part.column("v").to_pylist()), part.column("id").to_numpy(), part.column("own").to_numpy()
+        p, q = np.flatnonzero(chunk == part.column("p")[0].as_py()), np.flatnonzero(chunk == part.column("q")[0].as_py())
+        a, b = np.nonzero(np.round(u[p] @ u[q].T, 12) >= least)
+        node, low = local_components(ids[p][a], ids[q][b])
+        return pa.table({"src": node, "dst": low})
+
+    edges = _chunk_pairs(keyed.select("s", "id", "v"), ["s"], "id").groupBy("s", "p", "q").applyInArrow(linked, "src long, dst long")
+    label = connected_components(edges).withColumnsRenamed({"node": "__node"})
+    split = keyed.join(label, keyed.id == F.col("__node"), "left").withColumn("label", F.coalesce("component", "id")).select("s", "o", "v", "label")
+    firsts = T.StructType([*fields, T.StructField("first", fields[1].dataType)])
+
+    def within(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("o", kind="stable").reset_index(drop=True)
+        first = np.zeros(len(own), np.int64)
+        for members in complete_link(_matrix(own["v"].tolist()), least):
+            first[members] = min(members)
+        return own[["s", "o"]].assign(first=own["o"].to_numpy()[first])
+
+    every = materialise(split.groupBy("s", "label").applyInPandas(within, firsts))
+    numbers = scan.number(every.where("o = first").select(F.col("s").alias("ns"), F.col("o").alias("no")), ["ns"], "no", "part")
+    return named(small.unionByName(every.join(numbers, every.s.eqNullSafe(F.col("ns")) & (every["first"] == F.col("no"))).select("s", "o", "part")))
+
+
+def _chunk_pairs(df: DataFrame, keys: list[str], deal: str) -> DataFrame:
+    """df's rows with own (a row's chunk of its key, about CHUNK rows dealt by a hash of deal), once for each pair p <= q of chunks of which it is in one."""
+    plain = [f"__key{i}" for i in range(len(keys))]
+    sizes = df.groupBy(*(F.col(k).alias(p) for k, p in zip(keys, plain, strict=True))).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("__parts"))
+    sized = df.join(sizes, [F.col(k).eqNullSafe(F.col(p)) for k, p in zip(keys, plain, strict=True)]).drop(*plain)
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64(deal, F.lit(3)), F.col("__parts")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    return dealt.withColumns({"p": F.least("own", "__other"), "q": F.greatest("own", "__other")}).drop("__parts", "__other")
 
 
 def representatives(df: DataFrame, group: str, order: str, vector: str, press: str, most: int = PER_MOMENT) -> DataFrame:
@@ -143,16 +280,67 @@ def close_pairs(df: DataFrame, keys: list[str], order: str, day: str, days: int
 
     With a vector, only pairs at least so similar, and their similarity; else it is null. Rows without a day or vector pair
     with none. An equi-join on the key and the day's block of days + 1, in which a row has its own and the next: no pair meets twice.
+    With a vector, a block of any number of rows is dealt into chunks, and pairs of chunks are tasks' work (see near_in_chunk()).
     """
     rows = df.select(*keys, F.col(order).alias("o"), F.col(day).cast("date").alias("d"), (_normal(F.col(vector)) if vector else F.lit(None).cast("array<double>")).alias("u")).where("d is not null")
     at = F.floor(F.unix_date("d") / (days + 1))
-    a = rows.select(*keys, F.col("o").alias("oa"), F.col("d").alias("da"), F.col("u").alias("ua"), F.explode(F.array(at, at + 1)).alias("block"))
-    b = rows.select(*keys, F.col("o").alias("ob"), F.col("d").alias("db"), F.col("u").alias("ub"), at.alias("block"))
-    # The row of the earlier day asks; of one day, the one that is first in order.
-    asks = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("oa") < F.col("ob")))
-    met = a.join(b, [*keys, "block"]).where(asks & (F.date_diff("db", "da") <= days)).withColumn("similarity", _dot(F.col("ua"), F.col("ub")))
-    met = met.where(F.col("similarity") >= near) if vector else met
-    return met.select(*keys, F.least("oa", "ob").alias("first"), F.greatest("oa", "ob").alias("second"), "similarity")
+    a = rows.select(*keys, F.col("o").alias("oa"), F.col("d").alias("da"), F.explode(F.array(at, at + 1)).alias("block"))
+    b = rows.select(*keys, F.col("o").alias("ob"), F.col("d").alias("db"), at.alias("block"))
+    if not vector:
+        # The row of the earlier day asks; of one day, the one that is first in order.
+        asks = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("oa") < F.col("ob")))
+        met = a.join(b, [*keys, "block"]).where(asks & (F.date_diff("db", "da") <= days))
+        return met.select(*keys, F.least("oa", "ob").alias("first"), F.greatest("oa", "ob").alias("second"), F.lit(None).cast("double").alias("similarity"))
+    both = rows.where("u is not null").where(" and ".join(f"`{k}` is not null" for k in keys) or "true")
+    both = both.select(*keys, "o", F.unix_date("d").cast("long").alias("n"), "u", at.alias("home"), F.explode(F.array(at, at + 1)).alias("block"))
+    place = rows.select(*keys, "o").schema.fields
+    schema = T.StructType([*place[:-1], T.StructField("first", place[-1].dataType), T.StructField("second", place[-1].dataType), T.StructField("similarity", T.DoubleType())])
+
+    def pairs(part: pa.Table) -> pa.Table:
+        o, home = part.column("o").combine_chunks(), part.column("home").to_numpy() == part.column("block").to_numpy()
+        rank = pc.rank(o, tiebreaker="dense").to_numpy()
+        i, j, s, _ = near_in_chunk(_matrix(part.column("u").to_pylist()), part.column("n").to_numpy(), rank, home, part.column("own").to_numpy(), part.column("p")[0].as_py(), part.column("q")[0].as_py(), days, near)
+        i, j = np.where(rank[i] < rank[j], i, j), np.where(rank[i] < rank[j], j, i)
+        key = {k: pa.array([part.column(k)[0].as_py()] * len(i), part.schema.field(k).type) for k in keys}
+        return pa.table({**key, "first": o.take(pa.array(i)), "second": o.take(pa.array(j)), "similarity": s})
+
+    return _chunk_pairs(both, [*keys, "block"], "o").groupBy(*keys, "block", "p", "q").applyInArrow(pairs, schema)
+
+
+def near_in_chunk(u: np.ndarray, days: np.ndarray, rank: np.ndarray, home: np.ndarray, own: np.ndarray, p: int, q: int, window: int, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(i, j, similarity, products): the pairs of unit vectors at least so similar, of which i asks and j is at home in the block; products counts
+    the pairs that were multiplied.
+
+    Rows are put in order of their nearest pivot and their angle to it, and cut into runs. By the triangle inequality two runs hold no near pair if their ranges of
+    angles to one of the pivots are further apart than the angle of near: such pairs of runs are left out before any product.
+    """
+    size = np.linalg.norm(u, axis=1) > 0
+    keep = np.flatnonzero(size) if near > 0 else np.arange(len(u))
+    pivots = u[keep[np.linspace(0, len(keep) - 1, min(PIVOTS, len(keep))).astype(int)]] if len(keep) else u[:0]
+    angle = np.arccos(np.clip(u[keep] @ pivots.T, -1, 1))
+    nearest = angle.argmin(axis=1) if len(keep) else keep
+    by = np.lexsort((angle.min(axis=1), nearest)) if len(keep) else keep
+    keep, angle = keep[by], angle[by]
+    most = np.arccos(np.clip(near, -1, 1)) + 1e-6
+    starts = np.arange(0, len(keep), RUN)
+    low, high = (np.array([f(angle[s : s + RUN], axis=0) for s in starts]).reshape(len(starts), -1) for f in (np.min, np.max))
+    out, products = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0
+    for x, s in enumerate(starts):
+        open_ = np.flatnonzero((np.maximum(low[x] - high, low - high[x]) <= most).all(axis=1)) if near > 0 else np.arange(len(starts))
+        for t in starts[open_]:
+            a, b = keep[s : s + RUN], keep[t : t + RUN]
+            b = b[home[b]]
+            products += len(a) * len(b)
+            i, j = np.nonzero(u[a] @ u[b].T >= near - 1e-9)
+            i, j = a[i], b[j]
+            asks = (days[i] < days[j]) | ((days[i] == days[j]) & (rank[i] < rank[j]))
+            across = (own[i] == p) & (own[j] == q) | (own[i] == q) & (own[j] == p)
+            ok = asks & across & (days[j] - days[i] <= window)
+            i, j = i[ok], j[ok]
+            s_ = np.cumsum(u[i] * u[j], axis=1)[:, -1] if len(i) else np.empty(0)
+            ok = s_ >= near
+            out.append((i[ok], j[ok], s_[ok]))
+    return *(np.concatenate(c) for c in zip(*out, strict=True)), products
 
 
 def select_issues(df: DataFrame, group: str, order: str, vector: str, day: str, press: str) -> DataFrame:

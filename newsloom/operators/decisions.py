@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import date
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.functions.storage import materialise
 from newsloom.functions.taxonomy import FALLBACK, FALLBACK_IMPORTANCE, taxonomy, with_event
-from newsloom.operators.graph import connected_components
+from newsloom.operators import scan
+from newsloom.operators.graph import keyed_components
 from newsloom.operators.groups import last_wins
 
 #: Rows of a batch for grouping and importance, and for summaries; tokens of a request and of one text.
@@ -20,34 +22,107 @@ BATCH, SUMMARY_BATCH, REQUEST_TOKENS, TEXT_TOKENS = 25, 6, 250_000, 8192
 
 
 def batches(df: DataFrame, keys: list[str], order: str, size: int = BATCH) -> DataFrame:
-    """df with batch_id and idx (0-based within it), by order within keys."""
-    row = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
-    return df.withColumn("__n", row).withColumn("batch_id", F.floor(F.col("__n") / size).cast("long")).withColumn("idx", (F.col("__n") % size).cast("int")).drop("__n")
+    """df with batch_id and idx (0-based within it), by order within keys; without keys all rows are one list."""
+    placed = scan.number(df, keys, order, "__n")
+    return placed.withColumn("batch_id", F.floor(F.col("__n") / size).cast("long")).withColumn("idx", (F.col("__n") % size).cast("int")).drop("__n")
 
 
-def token_batches(df: DataFrame, key: str, order: str, text: str, count: Callable[[str], list[int]], cut: Callable[[list[int]], str], most: int = REQUEST_TOKENS, longest: int = TEXT_TOKENS) -> DataFrame:
-    """(key, order, text, n_tokens, batch): a batch is closed when the next text would take it over most tokens.
+def token_batches(df: DataFrame, key: str, order: str, text: str, count: Callable[[str], list], cut: Callable[[list], str], most: int = REQUEST_TOKENS, longest: int = TEXT_TOKENS) -> DataFrame:
+    """(key, order, text, n_tokens, batch): a batch is closed when the next text would take it over most tokens, unless it holds no token yet.
 
-    A text of more than longest tokens is cut to its first longest. A key's texts are taken one after the other, in order.
+    A text of more than longest tokens is cut to its first longest; null counts as empty. A key's texts are taken one after the other, in order, but no task
+    takes a key whole: texts are counted where they are, the order is cut into parts, and of each part is found where it leaves the open batch
+    for every place at which its first batch can start. Those tables are followed from part to part, and a second pass numbers the batches.
     """
-    rows = df.select(key, order, text)
-    schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("batch", T.LongType())])
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        out, batch, used = [], 0, 0
-        for t in part[text]:
-            tokens = count(t or "")
-            if len(tokens) > longest:
-                tokens = tokens[:longest]
-                t = cut(tokens)
-            if used and used + len(tokens) > most:
-                batch, used = batch + 1, 0
-            used += len(tokens)
-            out.append((t, len(tokens), batch))
-        return part[[key, order]].assign(**{text: [o[0] for o in out], "n_tokens": [o[1] for o in out], "batch": [o[2] for o in out]})
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+    rows = df.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(text).alias("t"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("n_tokens", T.LongType())])
+
+    def counted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            tokens = [count(t or "") for t in p["t"]]
+            yield p.assign(t=[cut(x[:longest]) if len(x) > longest else t for x, t in zip(tokens, p["t"], strict=True)], n_tokens=[min(len(x), longest) for x in tokens])
+
+    whole = materialise(rows.mapInPandas(counted, schema))
+    cuts = scan.bounds(whole, "o")
+    placed = whole.withColumn("at", scan.part("o", cuts))
+    dealt = lambda frame: frame.repartition("k", "at").sortWithinPartitions("k", "at", "o")
+    if cuts:
+        kind = rows.schema["k"].dataType
+        table = T.StructType([T.StructField("k", kind), T.StructField("at", T.IntegerType()), T.StructField("total", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("low", "high", "after", "closed"))])
+        tables = dealt(placed.select("k", "at", "o", "n_tokens")).select("k", "at", "n_tokens").mapInPandas(lambda parts: _ends(parts, most), table)
+        carry = T.StructType([T.StructField("ck", kind), T.StructField("cat", T.IntegerType()), T.StructField("used", T.LongType()), T.StructField("first", T.LongType())])
+        carries = tables.repartition("k").sortWithinPartitions("k", "at").mapInPandas(lambda parts: _follow(parts, most), carry)
+        placed = placed.join(carries, placed.k.eqNullSafe(carries.ck) & (placed["at"] == carries.cat), "left").drop("ck", "cat")
+    else:
+        placed = placed.withColumns({"used": F.lit(0).cast("long"), "first": F.lit(0).cast("long")})
+
+    def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, batch = None, 0, 0
+        for p in parts:
+            out = []
+            for k, at, n, before, first in zip(p["k"], p["at"], p["n_tokens"], p["used"], p["first"], strict=True):
+                if (k if k == k else None, at) != now:
+                    now, used, batch = (k if k == k else None, at), int(before), int(first)
+                if used and used + n > most:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield p[["k", "o", "t", "n_tokens"]].assign(batch=out)
+
+    made = dealt(placed).mapInPandas(numbered, T.StructType([*schema.fields, T.StructField("batch", T.LongType())]))
+    return made.select(F.col("k").alias(key), F.col("o").alias(order), F.col("t").alias(text), "n_tokens", "batch")
+
+
+def _ends(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Of each key and part (rows k, at, n_tokens in order): for every row at which a first batch can start, the tokens before it (low) and
+    with it (high), the tokens of the batch that is open at the part's end (after), and how many batches began (closed).
+
+    A row's batch ends at a next start, found in the sums of tokens; pointers to next starts are doubled until all stand on a last one.
+    """
+
+    def table(key: tuple, sizes: list) -> pd.DataFrame:
+        n = np.concatenate(sizes)
+        sums = np.concatenate([[0], np.cumsum(n)])
+        starts = np.arange(len(n))
+        ahead = np.minimum(np.maximum(np.searchsorted(sums, sums[:-1] + most, "right") - 1, np.searchsorted(sums, sums[:-1], "right")), len(n))
+        last, hops = np.where(ahead < len(n), ahead, starts), (ahead < len(n)).astype(np.int64)
+        while (last[last] != last).any():
+            hops, last = hops + hops[last], last[last]
+        low = min(int(np.searchsorted(sums, 0, "right")) - 1, len(n))
+        high = max(int(np.searchsorted(sums, most, "right")) - 1, int(np.searchsorted(sums, 0, "right")))
+        own = slice(low, high + 1)
+        return pd.DataFrame([(*key, int(sums[-1]), sums[:-1][own], sums[1:][own], sums[-1] - sums[last[own]], hops[own] + 1)], columns=["k", "at", "total", "low", "high", "after", "closed"])
+
+    now, sizes = None, []
+    for p in parts:
+        for key, rows in p.groupby(["k", "at"], sort=False, dropna=False):
+            key = (key[0] if key[0] == key[0] else None, key[1])
+            if key != now and sizes:
+                yield table(now, sizes)
+                sizes = []
+            now = key
+            sizes.append(rows["n_tokens"].to_numpy())
+    if sizes:
+        yield table(now, sizes)
+
+
+def _follow(parts: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The tokens of the open batch (used) and its number (first) before each part of a key, from _ends()' tables in order."""
+    now, used, batch = None, 0, 0
+    for p in parts:
+        out = []
+        for r in p.itertuples(index=False):
+            key = (r.k if r.k == r.k else None,)
+            if key != now:
+                now, used, batch = key, 0, 0
+            out.append((key[0], r.at, used, batch))
+            low, high = np.asarray(r.low), np.asarray(r.high)
+            start = max(int(np.searchsorted(high, most - used, "right")), 0 if used else int(np.searchsorted(low, 0, "right")))
+            if start < len(high):
+                used, batch = int(r.after[start]), batch + int(r.closed[start])
+            else:
+                used += int(r.total)
+        yield pd.DataFrame(out, columns=["ck", "cat", "used", "first"])
 
 
 def embed(df: DataFrame, text: str, out: str, provider: Callable[[list[str]], list[list[float]]]) -> DataFrame:
@@ -121,8 +196,8 @@ def merge_timelines(issues: DataFrame) -> DataFrame:
     first, then by ord. Links are read within their batch, so that a later batch's never point at the first.
     """
     place = issues.select("batch_id", F.col("idx").alias("__to"), F.col("ord").alias("dst"))
-    edges = issues.select("batch_id", F.col("ord").alias("src"), F.explode("supersedes").alias("__to")).join(place, ["batch_id", "__to"]).select("src", "dst")
-    chain = connected_components(edges)
+    edges = issues.select("batch_id", F.col("ord").alias("src"), F.explode("supersedes").alias("__to")).join(place, ["batch_id", "__to"]).select("batch_id", "src", "dst")
+    chain = keyed_components(edges, "batch_id")
     placed = issues.join(chain, issues.ord == chain.node, "left").withColumn("chain", F.coalesce("component", "ord"))
     row = F.struct(F.coalesce("occurred_month", F.lit("")).alias("m"), "ord", "issue_title", "occurred_month", "gist", "detail_summary", "event_id", "articles")
     got = placed.groupBy("chain").agg(F.array_sort(F.collect_list(row)).alias("r"), F.coalesce(F.max("company_importance"), F.lit(1)).alias("importance"))

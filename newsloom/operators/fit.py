@@ -25,7 +25,7 @@ def evidence(path: Column, excerpt: Column, profile: Column, doc_id: str) -> Col
 
     profile: a struct of the sections, arrays of (name, evidence, source). A path that names none leaves the model's excerpt.
     """
-    parts = r"^(skills|experiences|education|certifications|awards)\[([0-9]+)\]$"
+    parts = rf"^({'|'.join(SECTIONS)})\[(\d+)\]$"
     section, index = F.regexp_extract(path, parts, 1), F.regexp_extract(path, parts, 2).try_cast("int")
     found = F.lit(None)
     for s in SECTIONS:

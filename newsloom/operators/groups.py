@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.text import division, sex, to_float, to_int
+from newsloom.operators import scan
+
+#: Types whose values an aggregate replaces in place, so that it hashes instead of sorting its input.
+_FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def latest(df: DataFrame, keys: list[str], by: str, order: str) -> DataFrame:
-    """Of each key the row with the largest by, the first in order of equals; null counts as smallest. One aggregate, combined before the shuffle."""
+    """Of each key the row with the largest by, compared as what it is, the first in order of equals; null counts as smallest, and so does an empty text.
+
+    One aggregate, combined before the shuffle.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col(by).cast("string"), F.lit("")), -F.col(order)))
+    text = isinstance(df.schema[by].dataType, T.StringType)
+    value = F.coalesce(F.col(by), F.lit("")) if text else F.col(by)
+    best = F.max_by(F.struct(*rest), F.struct(value.isNotNull(), value, -F.col(order)))
     return df.groupBy(*keys).agg(best.alias("__r")).select(*keys, "__r.*")
 
 
@@ -23,8 +32,10 @@ def earliest(df: DataFrame, keys: list[str], day: str, order: str) -> DataFrame:
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows with equal keys the last in order."""
+    """Of rows with equal keys the last in order. Columns of numbers and dates are each taken by order, which hashes; others ride in one struct."""
     rest = [c for c in df.columns if c not in keys]
+    if all(isinstance(df.schema[c].dataType, _FIXED) for c in rest):
+        return df.groupBy(*keys).agg(*(F.max_by(c, order).alias(c) for c in rest))
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
@@ -111,13 +122,13 @@ def without(df: DataFrame, key: Column, own: DataFrame, own_key: Column) -> Data
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
-    """df with the last value so far that is not null."""
-    return df.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    """df with the last value so far that is not null; a key's rows are dealt out by order, so that one key may hold any number."""
+    return scan.last_so_far(df, keys, order, value, out)
 
 
 def blocks(df: DataFrame, keys: list[str], order: str, header: Column, head: Column, item: Column) -> DataFrame:
     """One row a header row: its head and the items (array, in order) of the rows up to the next header; headers without items and items before any header go."""
-    marked = df.withColumn("__h", header).withColumn("__b", F.count_if("__h").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))).where("__b > 0")
+    marked = scan.running_count(df.withColumn("__h", header), keys, order, F.col("__h"), "__b").where("__b > 0")
     got = marked.groupBy(*keys, "__b").agg(F.max(F.when(F.col("__h"), head)).alias("head"), F.array_sort(F.collect_list(F.when(~F.col("__h"), F.struct(F.col(order).alias("o"), item.alias("v"))))).alias("x"))
     return got.where(F.size("x") > 0).select(*keys, F.col("__b").alias("block"), "head", F.transform("x", lambda e: e.v).alias("items"))
 

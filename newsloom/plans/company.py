@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import clean_null, clean_nulls, name_appears, registry_key, strip_entity, unfence
+from newsloom.operators import registry
 from newsloom.operators.groups import ordered_distinct, unseen, without
 from newsloom.sources import html
 
@@ -48,6 +49,17 @@ def profiles(pages: DataFrame) -> DataFrame:
     )
 
 
+def registry_of_profiles(found: DataFrame, names: DataFrame, registry_rows: DataFrame, overview: DataFrame, name: str = "company_name") -> DataFrame:
+    """(name, corp_code) of the companies that the registry has, told apart by what their profiles say.
+
+    found: profiles()' rows; names: company_name, pos and name, as registry.candidates() tries them. The business number and the head's name count
+    only where the profile was read; a company without a profile is looked up by its name alone.
+    """
+    good = F.col("crawl_success")
+    known = found.select(name, F.when(good, F.col("biz_reg_no")).alias("biz_no"), F.when(good, F.col("ceo_name")).alias("ceo_name"))
+    return registry.resolve(names, registry_rows, known, overview, name).withColumnRenamed("subject", name)
+
+
 def filings(companies: DataFrame, audits: DataFrame, periodic: DataFrame, employees: DataFrame, indicators: DataFrame) -> DataFrame:
     """One row a company (corp_code): its audit reports where there are any, else its periodic statements, employees and indicators.
 

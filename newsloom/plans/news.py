@@ -57,9 +57,9 @@ def finalise(found: DataFrame, summary_answers: DataFrame, importance_answers: D
     found = materialise(found)
     raw = found.select("ord", "issue_title", "occurred_month", "articles")
     light = found.withColumn("articles", F.transform("articles", lambda a: a.dropFields("body")))
-    summed = decisions.summaries(decisions.batches(light.withColumn("__one", F.lit(0)), ["__one"], "ord", decisions.SUMMARY_BATCH), summary_answers)
-    ranked = decisions.importance(decisions.batches(summed.drop("batch_id", "idx"), ["__one"], "ord"), importance_answers)
-    return decisions.topics(decisions.merge_timelines(materialise(ranked.drop("__one")))), raw
+    summed = decisions.summaries(decisions.batches(light, [], "ord", decisions.SUMMARY_BATCH), summary_answers)
+    ranked = decisions.importance(decisions.batches(summed.drop("batch_id", "idx"), [], "ord"), importance_answers)
+    return decisions.topics(decisions.merge_timelines(materialise(ranked))), raw
 
 
 def report(company: str, topics: dict[str, DataFrame], sources: dict[str, bool], as_of: date) -> DataFrame:

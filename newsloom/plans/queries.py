@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import json
+import re
 import uuid
+import zipfile
+import zlib
 from collections.abc import Callable
 from datetime import date
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions import taxonomy, text
 from newsloom.functions.storage import materialise, shared_dir
-from newsloom.operators import cluster, decisions, fit, groups, incremental, registry
+from newsloom.operators import cluster, decisions, fit, graph, groups, incremental, registry
 from newsloom.plans import company, matching, news, searches
-from newsloom.sources import html, stores
+from newsloom.plans import postings as structured_postings
+from newsloom.sources import html, paged, pdf, stores
 from newsloom.streaming import collect
 
 AS_OF = date(1998, 7, 29)
@@ -195,6 +202,21 @@ def near_dup_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.close_pairs(rows, ["label"], "vec_id", "day", 2, "embedding", 0.3).select("label", "first", "second")
 
 
+@query("SELECT o_orderpriority, o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def latest_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest number wins, as a number: 10 before 9."""
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_custkey", "o_orderkey")
+    return groups.latest(orders, ["o_orderpriority"], "o_custkey", "o_orderkey")
+
+
+@query("SELECT node, min(node) OVER (PARTITION BY c) AS component FROM (SELECT l_orderkey * 100 + l_linenumber AS node, l_orderkey AS c FROM lineitem)")
+def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order, each linked to the next."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("src"))
+    edges = lines.withColumn("dst", F.coalesce(F.lead("src").over(W.partitionBy("l_orderkey").orderBy("src")), "src"))
+    return graph.keyed_components(edges, "l_orderkey")
+
+
 # Scalar functions
 
 
@@ -304,6 +326,32 @@ def evidence_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("l_orderkey", "l_linenumber", "e.field", "e.excerpt")
 
 
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def vector_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector and the next."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(other, "vec_id").select("vec_id", F.round(text.cosine(F.col("embedding"), F.col("next")), 9).alias("similarity"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 6 MONTH, '%Y-%m-%d') AS half_year_ago, abs(date_diff('day', o_orderdate, DATE '1998-07-29')) AS days FROM orders")
+def month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(text.months_ago(day, 6), "yyyy-MM-dd").alias("half_year_ago"), text.days_apart(day, F.lit(AS_OF)).cast("long").alias("days"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name END AS cleaned, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END || ',' || p_partkey AS listed,
+CASE WHEN p_partkey % 3 = 0 THEN '{"n":' || p_partkey || '}' ELSE '데이터 없음' END AS prompt, CASE WHEN p_partkey % 4 = 0 THEN p_name END IS NOT NULL AS any FROM part""")
+def cleaned_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    said = choose(key, F.col("p_name"), "null", " None ", "")
+    row = F.when(key % 3 == 0, F.struct(key.alias("n")))
+    listed = text.clean_nulls(F.array(said, F.lit("NULL"), key.cast("string")))
+    joined = F.when(F.size(listed) == 2, F.array_join(listed, ",")).otherwise(F.concat(F.lit(","), F.array_join(listed, ",")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.clean_null(said).alias("cleaned"), joined.alias("listed"), text.or_placeholder(row).alias("prompt"), text.has_value(text.clean_null(said), F.lit("")).alias("any"))
+
+
 # Taxonomy, decisions, timelines, topics
 
 
@@ -423,17 +471,22 @@ def ranked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.importance(items, said).select("o_orderkey", "company_importance", F.array_join("supersedes", ",").alias("supersedes"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE d AS (SELECT source, doc_id, least(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+')), 8192)::BIGINT AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, n, i, n AS used, 0::BIGINT AS batch FROM d WHERE i = 1
+  UNION ALL SELECT d.source, d.doc_id, d.n, d.i, CASE WHEN r.used > 0 AND r.used + d.n > 250000 THEN d.n ELSE r.used + d.n END, r.batch + CASE WHEN r.used > 0 AND r.used + d.n > 250000 THEN 1 ELSE 0 END
+  FROM r JOIN d ON d.source IS NOT DISTINCT FROM r.source AND d.i = r.i + 1)
+SELECT source, doc_id, n AS n_tokens, batch FROM r""")
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words stand for tokens; each source's documents in order of id."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
-    return decisions.token_batches(docs, "source", "doc_id", "text", str.split, " ".join).drop("text")
+    return decisions.token_batches(docs, "source", "doc_id", "text", re.compile(r"[^ \t\n\r\f\v]+").findall, " ".join).drop("text")
 
 
 # Registry
 
 
-@query("""
+REGISTRY_SQL = """
 WITH r AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey % 3 = 0 THEN 1 ELSE 0 END AS listed, CASE WHEN c_custkey % 5 = 0 THEN 'ENG ' || c_custkey ELSE '' END AS eng, c_custkey % 97 AS modified FROM customer),
 n AS (SELECT s_suppkey, unnest([0, 1]) AS pos, unnest([CASE s_suppkey % 4 WHEN 0 THEN 'nobody' WHEN 1 THEN 'Customer#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') WHEN 2 THEN '㈜customer#' ELSE 'Customer#00000' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') END, CASE WHEN s_suppkey % 4 = 0 THEN 'ENG' || s_suppkey * 5 ELSE 'x' END]) AS name FROM supplier),
 k AS (SELECT *, regexp_replace(replace(name, '㈜', ''), '[\\s().,&]', '', 'g') AS key FROM n),
@@ -441,7 +494,10 @@ m AS (SELECT s_suppkey, pos, c_custkey, listed, modified, length(c_name) AS size
   ON name = c_name OR name = eng OR key = c_name OR (eng <> '' AND key = replace(eng, ' ', '')) OR (length(key) >= 4 AND (contains(c_name, key) OR contains(replace(eng, ' ', ''), key)))),
 f AS (SELECT *, rank() OVER (PARTITION BY s_suppkey ORDER BY tier, pos) AS a, min(size) OVER (PARTITION BY s_suppkey, tier, pos) AS least FROM m),
 g AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY listed DESC, lpad(CAST(modified AS VARCHAR), 3, '0') DESC, c_custkey) AS rank, count(*) OVER (PARTITION BY s_suppkey) AS n FROM f WHERE a = 1 AND (tier < 3 OR size = least))
-SELECT s_suppkey AS subject, c_custkey AS corp_code, tier, CAST(rank AS INT) AS rank, n FROM g""")
+"""
+
+
+@query(REGISTRY_SQL + "SELECT s_suppkey AS subject, c_custkey AS corp_code, tier, CAST(rank AS INT) AS rank, n FROM g")
 def registry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, known = _names(spark, sf_dir), _registry(spark, sf_dir)
     return registry.ranked(registry.candidates(names, known), known).select("subject", "corp_code", "tier", "rank", "n")
@@ -462,12 +518,19 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(REGISTRY_SQL + """
+SELECT s_suppkey AS subject, arg_min(c_custkey, rank) AS corp_code FROM g WHERE CASE WHEN s_suppkey % 2 = 0 AND (tier = 3 OR n > 1) THEN rank <= 5 AND c_custkey = s_suppkey ELSE rank = 1 END GROUP BY s_suppkey""")
 def registry_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers looked up with what their profiles give: a business number where the profile was read, and nothing where it failed."""
     key = F.col("s_suppkey")
-    known = table(spark, sf_dir, "supplier").select(key.alias("subject"), F.when(key % 2 == 0, F.lpad(key.cast("string"), 10, "0")).alias("biz_no"), F.lit(None).cast("string").alias("ceo_name"))
+    name = F.concat(F.lit("firm "), key.cast("string"))
+    pages = table(spark, sf_dir, "supplier").select(
+        name.alias("company_name"), F.when(key % 2 == 0, "http://a").alias("url"), name.alias("text"), F.lit('{"business_description": "makes x"}').alias("answer"), F.lpad(key.cast("string"), 10, "0").alias("biz_reg_no"),
+    )
+    names = _names(spark, sf_dir).withColumn("company_name", F.concat(F.lit("firm "), F.col("subject").cast("string")))
     overview = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("corp_code"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("bizr_no"), F.lit("").alias("ceo_nm"))
-    return registry.resolve(_names(spark, sf_dir), _registry(spark, sf_dir), known, overview)
+    found = company.registry_of_profiles(company.profiles(pages), names, _registry(spark, sf_dir), overview)
+    return found.select(F.regexp_extract("company_name", r"(\d+)$", 1).cast("long").alias("subject"), "corp_code")
 
 
 # Vectors
@@ -511,17 +574,54 @@ def search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.rounds(orders, AS_OF, "day").select("o_orderkey", "round")
 
 
-@query("""
+PAGES_SQL = """
 WITH p AS (SELECT user_id, event_id, props AS url, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 + 1 AS page FROM events), r AS (SELECT * FROM p WHERE page <= 30),
 f AS (SELECT *, min(page) OVER (PARTITION BY user_id, url) < page AS old FROM r), s AS (SELECT user_id, page, avg(old::INT) AS share FROM f GROUP BY user_id, page),
 e AS (SELECT user_id, coalesce(min(page) FILTER (WHERE share >= 0.8), 31) AS last FROM s GROUP BY user_id)
-SELECT user_id, event_id FROM f JOIN e USING (user_id) WHERE page < last AND NOT old""")
+SELECT user_id, event_id FROM f JOIN e USING (user_id) WHERE page < last AND NOT old"""
+
+
+@query(PAGES_SQL)
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) / 10) + 1
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("props").alias("url"), page.cast("int").alias("page"))
     return incremental.read_pages(rows, ["user_id"], "page", "event_id", "url").select("user_id", "event_id")
 
 
+@query(PAGES_SQL)
+def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_pages() through the data source: users as queries, their events as stored articles, read page by page."""
+    path = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("query"), F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("title"), F.col("props").alias("url"), none.alias("mirror_url"), none.alias("press"),
+        none.alias("snippet"), F.lit(None).cast("date").alias("date"),
+    )
+    paged.store_articles(rows, path)
+    paged.register(spark)
+    found = spark.read.format("paged_search").options(provider="newsloom.sources.paged:stored", lister="newsloom.sources.paged:stored_queries", path=path).load()
+    return found.select(F.col("query").cast("long").alias("user_id"), F.col("title").cast("long").alias("event_id"))
+
+
+@query(PAGES_SQL)
+def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_pages() as a stream: every user's pages in files of their own, in no order, the loop's state kept from batch to batch."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    page = F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) / 10) + 1
+    rows = table(spark, sf_dir, "events").select("user_id", page.cast("int").alias("page"), F.struct("event_id", "props").alias("e")).groupBy("user_id", "page").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    pages = rows.select("user_id", "page", F.transform("e", lambda x: x.props).alias("urls"), F.transform("e", lambda x: x.event_id.cast("string")).alias("payloads"))
+    pages.repartition(4, F.xxhash64("user_id", "page")).write.parquet(f"{at}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, collect.STATE_STORE)
+    try:
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        collect.run_available(collect.pages_in_turn(stream, ["user_id"]), f"{at}/state", collect.snapshots(f"{at}/out"))
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{at}/out").select("user_id", F.col("payload").cast("long").alias("event_id"))
+
+
 @query("SELECT event_id, ts::VARCHAR AS ts FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-09'")
 def day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stores.day_window(table(spark, sf_dir, "events"), F.col("ts"), date(2024, 1, 5), date(2024, 1, 9))
@@ -582,15 +682,72 @@ def api_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.api_rows(table(spark, sf_dir, "orders").withColumn("body", body), "body", "cust bigint", ("o_orderkey",))
 
 
+@query("""
+SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS corp_code, c_name AS corp_name, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS eng_csv, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS eng_xml FROM customer""")
+def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry written as CSV and as XML, and read from both."""
+    path, key = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}", F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(
+        F.lpad(key.cast("string"), 8, "0").alias("corp_code"), F.col("c_name").alias("corp_name"), F.when(key % 3 != 0, F.col("c_mktsegment")).alias("corp_eng_name"), F.lit(None).cast("string").alias("stock_code"), F.lit("20240101").alias("modify_date"),
+    )
+    rows.write.option("header", True).csv(f"{path}/csv")
+    rows.write.format("xml").option("rowTag", "list").save(f"{path}/xml")
+    a, b = stores.read_registry_csv(spark, f"{path}/csv"), stores.read_registry_xml(spark, f"{path}/xml").select("corp_code", F.col("corp_eng_name").alias("eng_xml"))
+    return a.join(b, "corp_code").select("corp_code", "corp_name", F.col("corp_eng_name").alias("eng_csv"), "eng_xml")
+
+
+@query("""
+SELECT s_suppkey, '재무상태표' AS statement, unnest(['cash', 'debt']) AS account, unnest([CAST(s_suppkey AS VARCHAR), CAST(s_nationkey AS VARCHAR)]) AS now, unnest([NULL, '7']) AS before, CAST(s_suppkey * 2 AS VARCHAR) AS total FROM supplier WHERE s_suppkey % 5 <> 0""")
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' zipped audit reports, some of which are no archives."""
+
+    @F.pandas_udf("binary")
+    def zipped(xml: pd.Series) -> pd.Series:
+        def one(x: str) -> bytes:
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w") as z:
+                z.writestr("report.xml", x)
+            return packed.getvalue()
+
+        return xml.map(one)
+
+    key = F.col("s_suppkey").cast("string")
+    cell = lambda n, c: F.concat(F.lit(f'<TE ADELIM="{n}">'), c, F.lit("</TE>"))
+    row = lambda *cells: F.concat(F.lit("<TR>"), *cells, F.lit("</TR>"))
+    table_ = F.concat(F.lit('<TABLE-GROUP ACLASS="PBS_1">'), row(cell(1, key), cell(0, F.lit("cash"))), row(cell(0, F.lit("debt")), cell(2, F.col("s_nationkey").cast("string")), cell(3, F.lit("7"))), F.lit("</TABLE-GROUP>"))
+    xml = F.concat(F.lit('<DOC><EXTRACTION ACODE="TOT">'), (F.col("s_suppkey") * 2).cast("string"), F.lit("</EXTRACTION>"), table_, F.lit("</DOC>"))
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, F.lit("no zip").cast("binary")).otherwise(zipped(xml)).alias("content"))
+    read = stores.audit_reports(files, keep=("s_suppkey",)).select("s_suppkey", "summary", F.explode("statements").alias("statement", "a")).select("s_suppkey", "summary", "statement", F.explode("a").alias("account", "v"))
+    return read.select("s_suppkey", "statement", "account", F.col("v")["당기"].alias("now"), F.col("v")["전기"].alias("before"), F.col("summary")["TOT"].alias("total"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'b' ELSE 'c' END AS site, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' | ' || c_nationkey ELSE NULL END AS industry,
+CASE WHEN c_custkey % 2 = 0 THEN '[{"year":"20' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '","events":["one","' || c_name || '"]}]' ELSE '[{"year":"1999","events":["e ' || c_custkey || '"]}]' END AS history FROM customer""")
+def site_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' pages in the second and the third site's layout."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    year = F.concat(F.lit("20"), F.lpad((key % 100).cast("string"), 2, "0"))
+    b = F.concat(
+        F.lit('<div class="company-body-infomation"><table class="table-basic-infomation-primary"><tr class="field"><th>업종</th><td><div class="value">'), F.col("c_mktsegment"), F.lit('</div><div class="value">'), F.col("c_nationkey").cast("string"),
+        F.lit('</div></td></tr></table><div id="devJKhistory">before<br>'), year, F.lit("년<br>- one<br>- "), name, F.lit("<br>1998년</div></div>"),
+    )
+    c = F.concat(F.lit('jobkorea.co.kr/super/ <div id="wrap"><h2 class="giHd">'), name, F.lit('</h2><ul class="history_cont"><li><p>1999</p><ul><li>e '), key.cast("string"), F.lit("</li></ul></li></ul></div>"))
+    pages = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("http://www.jobkorea.co.kr/"), key.cast("string")).alias("url"), F.when(key % 2 == 0, b).otherwise(c).alias("html"))
+    read = html.profiles(pages, keep=("c_custkey",))
+    field = lambda path: F.get_json_object("profile", path)
+    return read.select("c_custkey", "site", field("$.company_name").alias("name"), field("$.basic_info.업종").alias("industry"), field("$.history").alias("history"))
+
+
 @query()
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", html.html_lines(F.col("html")).alias("lines"), html.html_flat(F.col("html")).alias("flat"))
+    return table(spark, sf_dir, "pages").select("page_id", html.parts(F.col("html"), F.lit(""), "lines", "flat").alias("p")).select("page_id", "p.lines", "p.flat")
 
 
 @query()
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", html.links(F.col("html")).alias("links"))
-    return pages.select("page_id", F.size("links").alias("n"), html.link_by_words(F.col("links"), F.col("url"), ("the", "la")).alias("by_word"), html.company_link(F.col("html"), F.col("url")).alias("company"), html.official_url(F.col("links")).alias("official"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.parts(F.col("html"), F.col("url"), "links", "company_link").alias("p")).select("page_id", "url", "p.links", "p.company_link")
+    return pages.select("page_id", F.size("links").alias("n"), html.link_by_words(F.col("links"), F.col("url"), ("the", "la")).alias("by_word"), F.col("company_link").alias("company"), html.official_url(F.col("links")).alias("official"))
 
 
 @query("SELECT d.doc_id, coalesce(p.url, d.source) AS body FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id")
@@ -646,30 +803,148 @@ def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("category_id", "category_label", "top", F.size("issues").alias("n"))
 
 
-@query(f"""
-SELECT category_id, category_label, (SELECT count(*) FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-01-29' AND DATE '1998-07-29' AND o_orderkey % 2 = 0) AS n
-FROM {EVENTS_SQL} WHERE event_id = 'tech_rnd.patent_filing'""")
+ROUNDS = [(n, a, b) for n, (a, b) in enumerate(incremental.search_rounds(AS_OF))]
+#: Orders as articles: the newest first, of which 30 pages of 10 are read a window and the days before once more; those of every 25th key are
+#: relevant. All are alike, so that those of a day and the day before are near copies; two neighbouring copies' firsts are one issue, if a mirror of
+#: one of its articles names the company. Rounds end with 15 issues; the first two issues of each batch are one timeline.
+SEARCH_SQL = f"""
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS press FROM orders),
+w AS (SELECT * FROM (VALUES {", ".join(f"({n}, DATE '{a}', DATE '{b}')" for n, a, b in ROUNDS)}) AS x(n, a, b)),
+f AS (SELECT n, k, d, press, row_number() OVER (PARTITION BY n ORDER BY d DESC, k) AS r FROM o JOIN w ON d BETWEEN a AND b),
+g AS (SELECT n, min(d) AS oldest FROM f WHERE r <= 300 GROUP BY n),
+l AS (SELECT f.n, k, d, press, row_number() OVER (PARTITION BY f.n ORDER BY d DESC, k) AS r FROM f JOIN g ON g.n = f.n AND d < oldest),
+z AS (SELECT n, k, d, press FROM f WHERE r <= 300 UNION ALL SELECT n, k, d, press FROM l WHERE r <= 300),
+p AS (SELECT k, d, press, n, row_number() OVER (ORDER BY n, d DESC, k) AS ord FROM z WHERE k % 25 = 0),
+c(a) AS (SELECT max(d) FROM p UNION ALL SELECT (SELECT max(d) FROM p WHERE d < c.a - 1) FROM c WHERE c.a IS NOT NULL),
+q AS (SELECT p.*, (SELECT min(a) FROM c WHERE a >= p.d) AS anchor FROM p),
+s AS (SELECT *, min(ord) OVER (PARTITION BY anchor) AS head, min(n) OVER (PARTITION BY anchor) AS since FROM q),
+u AS (SELECT *, dense_rank() OVER (ORDER BY head) - 1 AS cluster FROM s),
+v AS (SELECT *, (cluster // 25) * 25 + cluster % 25 // 2 AS issue FROM u),
+m AS (SELECT v.n AS upto, x.* FROM (SELECT DISTINCT n FROM p) AS v JOIN v AS x ON x.n <= v.n),
+h AS (SELECT upto, issue FROM m GROUP BY upto, issue HAVING bool_or(k % 50 = 0)),
+e AS (SELECT coalesce(min(upto) FILTER (WHERE issues >= {incremental.ENOUGH}), max(upto)) AS upto FROM (SELECT upto, count(*) AS issues FROM h GROUP BY upto)),
+t AS (SELECT m.* FROM m JOIN e USING (upto) JOIN h USING (upto, issue)),
+first AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ord) AS pick FROM t),
+second AS (SELECT x.*, row_number() OVER (PARTITION BY x.cluster ORDER BY x.press <> y.press DESC, x.ord) AS place FROM first AS x JOIN first AS y ON x.cluster = y.cluster AND y.pick = 1 AND x.pick > 1),
+picked AS (SELECT issue, ord, k, d FROM first WHERE pick = 1 UNION ALL SELECT issue, ord, k, d FROM second WHERE place = 1),
+issues AS (SELECT issue, min(ord) AS ord, arg_min(k, (d, ord)) AS title, strftime(min(d), '%Y-%m') AS month, count(*) AS n FROM picked GROUP BY issue),
+numbered AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS i FROM issues),
+chained AS (SELECT *, CASE WHEN i % 25 < 2 THEN i // 25 * 25 ELSE i END AS chain FROM numbered)
+SELECT 'order ' || arg_max(title, (month, ord)) AS issue_title, max(month) AS occurred_month, CAST(sum(n) AS INT) AS n, CAST(count(*) AS INT) AS members,
+  CAST(max(i % 25 % 10 + 1) AS INT) AS importance, (SELECT category_id FROM {EVENTS_SQL} WHERE event_id = 'tech_rnd.patent_filing') AS category_id FROM chained GROUP BY chain"""
+
+
+@query(SEARCH_SQL)
 def company_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A company's search from end to end: orders as articles of all days, of which those of even keys are relevant and no two alike."""
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("ord"), F.concat(F.lit("Acme "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("").alias("snippet"), F.col("o_orderkey").cast("string").alias("url"),
-        F.col("o_orderstatus").alias("press"), F.col("o_orderdate").cast("date").alias("date"), F.lit(None).cast("string").alias("mirror_url"),
-    )
-    placed = lambda found, size: decisions.batches(found.withColumn("one", F.lit(0)), ["one"], "ord", size).select("batch_id", F.lit(0).alias("pos"), "idx")
+    """A company's search from end to end, through the paged source: see SEARCH_SQL for what decides its rows."""
+    path, none = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}", F.lit(None).cast("string")
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date")).withColumn("ord", -F.unix_date("day") * 10_000_000_000 + key)
+    text = key.cast("string")
+    paged.store_articles(orders.select(
+        F.lit('"Acme"').alias("query"), "ord", F.concat(F.lit("order "), text).alias("title"), F.concat(F.lit("http://articles/"), text).alias("url"), F.concat(F.lit("http://mirrors/"), text).alias("mirror_url"),
+        F.col("o_orderstatus").alias("press"), F.lit("an order").alias("snippet"), F.col("day").alias("date"),
+    ), path)
+    name = F.when(key % 50 == 0, "Acme").otherwise("a company")
+    mirrors = table(spark, sf_dir, "orders").where(key % 25 == 0).select(F.concat(F.lit("http://mirrors/"), text).alias("url"), F.concat(F.lit('<article id="dic_area">Order of '), name, F.lit("</article>")).alias("html"))
+    placed = lambda found, size: decisions.batches(found, [], "ord", size).select("batch_id", F.lit(0).alias("pos"), "idx")
 
     def relevant(items: DataFrame) -> DataFrame:
-        even = items.where("ord % 2 = 0").select("batch_id", F.col("idx").alias("pos"), "idx")
-        return even.unionByName(items.select("batch_id", F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("idx")).distinct())
+        good = items.where(F.regexp_extract("title", r"order (\d+)", 1).cast("long") % 25 == 0).select("batch_id", F.col("idx").alias("pos"), "idx")
+        return good.unionByName(items.select("batch_id", F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("idx")).distinct())
 
     p = searches.Providers(
-        search=lambda _, a, b: orders.where(F.col("date").between(F.lit(a), F.lit(b))), relevant=relevant, mirrors=spark.createDataFrame([], "url string, html string"),
-        vectors=lambda texts: [[0.0] * 4 for _ in texts], grouping=lambda _: spark.createDataFrame([], "batch_id long, group_no int, idx int"),
+        search=lambda q, a, b: paged.search(spark, "newsloom.sources.paged:stored", q, a, b, AS_OF, path=path), relevant=relevant, mirrors=mirrors, vectors=lambda texts: [[1.0, 0.0] for _ in texts],
+        grouping=lambda items: items.select("batch_id", F.floor(F.col("idx") / 2).cast("int").alias("group_no"), "idx"),
         summaries=lambda found: placed(found, decisions.SUMMARY_BATCH).select("*", F.lit("gist").alias("gist"), F.lit("detail").alias("detail_summary"), F.lit("tech_rnd.patent_filing").alias("event_id")),
-        importance=lambda found: placed(found, decisions.BATCH).select("*", F.lit(5).alias("company_importance"), F.array().cast("array<int>").alias("supersedes")),
+        importance=lambda found: placed(found, decisions.BATCH).select("*", (F.col("idx") % 10 + 1).alias("company_importance"), F.when(F.col("idx") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("supersedes")),
         snapshot=lambda articles, number: None,
     )
     topics, _ = searches.recent_issues(spark, "㈜Acme", None, AS_OF, p)
-    return topics.select("category_id", "category_label", F.size("issues").cast("long").alias("n"))
+    flat = topics.select("category_id", F.explode("issues").alias("i"))
+    return flat.select("i.issue_title", "i.occurred_month", F.size("i.articles").alias("n"), F.size("i.members").alias("members"), "i.importance", "category_id")
+
+
+def _posting(prompt: str) -> str:
+    """An answer by the order's number: fine, with one track twice, without a name at first, and never without fault."""
+    key = int(re.search(r"order (\d+)", prompt)[1])
+    track = {"requirements": [f"r{key}"], "preferred": None, "responsibilities": []}
+    jobs = [{"job_name": f"job {key}", "locations": ["here", "there"]}, {"job_name": "two", "tracks": {"newcomer": track, "experienced": track if key % 4 == 1 else None}}]
+    if key % 4 == 2 and "missing" not in prompt or key % 4 == 3:
+        del jobs[0]["job_name"]
+    if key % 4 == 3:
+        jobs[1]["locations"] = "nowhere"
+    said = json.dumps({"common": {}, "jobs": jobs, "work_conditions": {"deadline": "2001-02-03" if key % 8 == 0 else None}, "raw_meta": {"vision_used": True}, "preprocess_log": {}})
+    return f"```json\n{said}\n```" if key % 3 == 0 else said
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 >= 2 THEN 2 ELSE 1 END AS tries, CASE WHEN o_orderkey % 4 = 3 THEN '$.jobs[0].job_name: missing; $.jobs[1].locations: not a list' ELSE '' END AS violations,
+CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 8 = 0 THEN '2001-02-03' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS deadline, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'two' ELSE '' END AS warned,
+CASE WHEN o_orderkey % 4 <> 3 THEN 'job ' || o_orderkey || ',two' END AS jobs, CASE WHEN o_orderkey % 4 <> 3 THEN 'http://orders/' || o_orderkey END AS source_url FROM orders""")
+def posting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as postings whose text a page holds, structured by answers that hold to the schema, do so when asked again, or never do."""
+    key = F.col("o_orderkey").cast("string")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("http://orders/"), key).alias("url"), F.date_format("o_orderdate", "yyyy.M.d").alias("day"))
+    body = F.concat(F.lit("<p>order "), F.col("o_orderkey").cast("string"), F.lit("</p><p>"), F.repeat(F.lit("text "), F.lit(50)), F.lit("1999-1-1 ~ "), F.col("day"), F.lit("</p>"))
+    pages = orders.select("url", F.lit(None).cast("string").alias("final_url"), body.alias("html"))
+    found = structured_postings.posting_texts(orders.select("o_orderkey", "url", F.lit(None).cast("string").alias("job_title"), F.lit(None).cast("string").alias("screenshot_text")), pages)
+    path = f"{shared_dir(spark)}/raw-{uuid.uuid4().hex}"
+    keep = lambda raw: stores.save_raw(raw.select(F.lit("job_posting").alias("kind"), F.col("url").alias("key"), F.lit("site").alias("source"), F.lit("raw_text.txt").alias("filename"), F.col("posting_text").alias("content"), F.lit(0).alias("at")), path, "at")
+    made = structured_postings.postings(found, lambda texts: [_posting(t) for t in texts], keep)
+    value = F.col("value")
+    return made.select(
+        "o_orderkey", "tries", F.array_join("violations", "; ").alias("violations"), value["work_conditions"]["deadline"].alias("deadline"), F.array_join("warnings", ",").alias("warned"),
+        F.array_join(F.transform(value["jobs"], lambda j: j["job_name"]), ",").alias("jobs"), value["raw_meta"]["source_url"].alias("source_url"),
+    )
+
+
+def _resume(prompt: str) -> str:
+    key = int(prompt.split()[1])
+    if key % 5 == 1:
+        return json.dumps({"response_type": "fail", "reason": f"no resume {key}", "suggestion": "send one"})
+    entry = {"name": f"school {key}", "graduate": None} | ({"rank": 1} if key % 5 == 2 else {})
+    return json.dumps({"response_type": "success" if key % 5 != 3 else "perhaps", "resume": {"school": [entry], "tools_skills": [{"name": t} for t in ("a", "b", "c")[: key % 3]]}})
+
+
+@query("""
+SELECT c_custkey, ['success', 'fail', 'invalid', 'invalid', 'no_text'][c_custkey % 5 + 1] AS outcome,
+CASE c_custkey % 5 WHEN 1 THEN '이력서로 인식할 수 없는 문서입니다: no resume ' || c_custkey WHEN 2 THEN '$.resume.school[0].rank: not known' WHEN 3 THEN '$.response_type: none of success, fail' WHEN 4 THEN '텍스트를 추출하지 못했습니다. 스캔 이미지형 PDF는 지원하지 않습니다.' END AS reason,
+CASE WHEN c_custkey % 5 = 0 THEN 'school ' || c_custkey END AS school, CASE WHEN c_custkey % 5 = 0 THEN CAST(c_custkey % 3 AS INT) END AS skills, CASE WHEN c_custkey % 5 = 0 THEN '1998-07-29 00:00:00' END AS created FROM customer""")
+def resume_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as resume texts: structured, said to be none, answered wrongly, or without text."""
+    key = F.col("c_custkey")
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 5 == 4, " \n").otherwise(F.concat(F.lit("resume "), key.cast("string"), F.lit(" of "), F.col("c_name"))).alias("text"))
+    made = structured_postings.resumes(files, lambda texts: [_resume(t) for t in texts], F.lit(AS_OF).cast("timestamp"))
+    resume = F.col("resume")
+    return made.select("c_custkey", "outcome", "reason", F.get(resume["school"], F.lit(0))["name"].alias("school"), F.size(resume["tools_skills"]).alias("skills"), resume["created_datetime"].alias("created"))
+
+
+def _pdf(text: str) -> bytes:
+    """A file of two pages, the first packed and shown through a map to Unicode, the second plain."""
+    shown = b"".join(b"<%04X> Tj " % (ord(c) + 1) for c in text)
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0001> <FFFF> <0000> endbfrange"
+    packed = zlib.compress(b"BT /K 9 Tf 50 700 Td " + shown + b"ET")
+    bodies = (
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /K 7 0 R >> >> >>", b"<< /Type /Page /Contents 5 0 R >>", b"<< /Type /Page /Contents 6 0 R >>",
+        b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), packed), b"<< /Length 38 >>\nstream\nBT (page) Tj 0 -9 Td [(t) (wo)] TJ ET   \nendstream",
+        b"<< /Subtype /Type0 /ToUnicode 8 0 R >>", b"<< /Length %d >>\nstream\n%s\nendstream" % (len(cmap), cmap),
+    )
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, b) for i, b in enumerate(bodies, 1)) + b"trailer << /Root 1 0 R >>"
+
+
+@query("""
+SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN '이력서 ' || s_name || chr(10) || 'page' || chr(10) || 'two' ELSE '' END AS text, CASE WHEN s_suppkey % 7 <> 0 THEN 2 ELSE 0 END AS pages, CASE WHEN s_suppkey % 7 = 0 THEN 'not a PDF file' END AS error FROM supplier""")
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as resumes in files, some of which are none."""
+
+    @F.pandas_udf("binary")
+    def made(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: b"nothing" if n is None else _pdf(n))
+
+    name = F.when(F.col("s_suppkey") % 7 != 0, F.concat(F.lit("이력서 "), F.col("s_name")))
+    files = table(spark, sf_dir, "supplier").select("s_suppkey", made(name).alias("content"))
+    return pdf.pdf_texts(files, F.col("content"), ("s_suppkey",)).select("s_suppkey", "text", F.size("pages").alias("pages"), "error")
 
 
 KINDS = tuple(fit.CATEGORIES)

@@ -44,15 +44,15 @@ class Providers:
 
 
 def _relevant(new: DataFrame, p: Providers, number: int) -> DataFrame:
-    """The relevant articles with their bodies, in the order the model gave. One search's pages of one range of days, so the window is small."""
-    items = materialise(decisions.batches(new.withColumn("subject", F.lit("")), ["subject"], "ord"))
+    """The relevant articles with their bodies, in the order the model gave."""
+    items = materialise(decisions.batches(new.withColumn("subject", F.lit("")), [], "ord"))
     kept = decisions.keep_relevant(items, p.relevant(items))
     place = F.lit(number * ROUND) + F.col("batch_id") * BATCH + F.col("pos")
     return with_body(kept.select("subject", place.alias("ord"), *ARTICLE), p.mirrors)
 
 
 def collect_issues(query: str, as_of: date, p: Providers, keyword: str | None = None, first: DataFrame | None = None, enough: int = incremental.ENOUGH) -> tuple[DataFrame | None, bool]:
-    """(issues, noisy) of one query; issues is None where nothing was found.
+    """(issues, noisy) of one query; issues is None, and the search not noisy, where no issue was found, by whatever step.
 
     Rounds go back in time until there are enough issues, or none found at all. Each takes articles of new URLs, searches the days
     before its oldest once more, keeps the relevant, fetches their bodies and stores all collected so far before
@@ -60,7 +60,7 @@ def collect_issues(query: str, as_of: date, p: Providers, keyword: str | None =
     issues that do not name it go. The loop runs over at most five rounds, and only counts reach the driver.
     """
     pool = seen = issues = None
-    found = relevant = 0
+    found = relevant = selected = 0
 
     def add(new: DataFrame, number: int) -> int:
         nonlocal pool
@@ -87,8 +87,11 @@ def collect_issues(query: str, as_of: date, p: Providers, keyword: str | None =
         if relevant:
             embedded = decisions.embed(pool.withColumn("__text", news.article_text()), "__text", "embedding", p.vectors).drop("__text")
             issues = materialise(news.issues(news.issue_groups(materialise(embedded), p.grouping, keyword)))
-            if issues.count() >= enough:
+            selected = issues.count()
+            if selected >= enough:
                 break
+    if not selected:
+        return None, False
     return issues, found >= LEAST_FOUND and 1 - relevant / found > NOISE_SHARE
 
 

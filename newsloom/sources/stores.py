@@ -6,9 +6,11 @@ import io
 import zipfile
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.storage import materialise
 from newsloom.sources.dom import Node, parse
 
 REGISTRY_SCHEMA = "corp_code string, corp_name string, corp_eng_name string, stock_code string, modify_date string"
@@ -37,18 +39,35 @@ def latest_reports(reports: DataFrame) -> DataFrame:
 
 
 RAW = ["kind", "key", "source", "filename"]
+#: Folders that raw content is dealt into, whatever the number of names.
+RAW_BUCKETS = 64
 
 
-def save_raw(df: DataFrame, path: str, order: str) -> None:
+def save_raw(df: DataFrame, path: str, order: str, buckets: int = RAW_BUCKETS) -> None:
     """Raw content (kind, key, source, filename, content), one of a name for each kind, key and source: written again, it replaces
-    that name's alone. Of rows of one name the last in order stays, of equals the largest content."""
+    that name's alone. Of rows of one name the last in order stays, of equals the largest content. Empty and null parts of a name are unlike.
+
+    Names are dealt by a hash into so many folders (the same number each time). The folders that new names fall in are
+    written anew with what else they hold, and no others; one writer at a time.
+    """
     last = df.groupBy(*RAW).agg(F.max_by("content", F.struct(order, "content")).alias("content"))
-    last.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RAW).parquet(path)
+    last = materialise(last.withColumn("bucket", F.pmod(F.xxhash64(*(F.struct(c) for c in RAW)), F.lit(buckets)).cast("int")))
+    touched = [r["bucket"] for r in last.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    try:
+        old = df.sparkSession.read.schema(last.schema).parquet(path).where(F.col("bucket").isin(touched))
+    except AnalysisException:
+        old = last.limit(0)
+    new = last.select(*(F.col(c).alias(f"new_{c}") for c in RAW))
+    kept = old.join(new, [old[c].eqNullSafe(new[f"new_{c}"]) for c in RAW], "left_anti")
+    # The folders are read before they are replaced.
+    materialise(last.unionByName(kept)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def read_raw(spark: SparkSession, path: str, content: str = "string") -> DataFrame:
     """What save_raw() has written; content: its type."""
-    return spark.read.schema(", ".join(f"{c} string" for c in RAW) + f", content {content}").parquet(path).select(*RAW, "content")
+    return spark.read.schema(", ".join(f"{c} string" for c in RAW) + f", content {content}, bucket int").parquet(path).select(*RAW, "content")
 
 
 def read_registry_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,20 @@
-"""Collection as a stream: new articles by key, snapshots before later stages, counts by time window."""
+"""Collection as a stream: new articles by key, pages read until a window ends, snapshots before later stages, counts by time window."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from newsloom.operators.incremental import OVERLAP, PAGES
+
+#: Milliseconds after a window's last page at which its state is let go.
+QUIET_MS = 24 * 3600 * 1000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def new_by_key(stream: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
@@ -34,3 +43,65 @@ def snapshots(path: str, then: Callable[[DataFrame, int], None] | None = None) -
             then(batch.sparkSession.read.parquet(f"{path}/batch={number}"), number)
 
     return step
+
+
+class PageLoop(StatefulProcessor):
+    """A window's pages in turn: its known URLs, the next page it waits for, pages that came early, and whether it has ended."""
+
+    def __init__(self, schema: T.StructType, quiet_ms: int):
+        self.schema, self.quiet_ms = schema, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next int, ended boolean")
+        self.known = handle.getMapState("known", "url string", "page int")
+        self.early = handle.getMapState("early", "page int", "urls array<string>, payloads array<string>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        turn, ended = self.place.get() if self.place.exists() else (1, False)
+        for part in rows:
+            for page, urls, payloads in zip(part["page"], part["urls"], part["payloads"], strict=True):
+                if not ended and page >= turn and not self.early.containsKey((int(page),)):
+                    self.early.updateValue((int(page),), (list(urls), list(payloads)))
+        out = []
+        while not ended and self.early.containsKey((turn,)):
+            urls, payloads = self.early.getValue((turn,))
+            self.early.removeKey((turn,))
+            old = [self.known.containsKey((u,)) for u in urls]
+            ended = not urls or sum(old) / len(old) >= OVERLAP - 1e-12
+            if not ended:
+                out += [(*key, turn, i, u, p) for i, (u, p, o) in enumerate(zip(urls, payloads, old, strict=True)) if not o]
+                for u in urls:
+                    self.known.updateValue((u,), (turn,))
+                turn += 1
+                ended = turn > PAGES
+        if ended:
+            self.known.clear()
+            self.early.clear()
+        self.place.update((turn, ended))
+        for t in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield pd.DataFrame(out, columns=self.schema.names)
+
+    def handleExpiredTimer(self, key: tuple, timer_values: object, expired: object) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for state in (self.place, self.known, self.early):
+            state.clear()
+        yield pd.DataFrame([], columns=self.schema.names)
+
+    def close(self) -> None:
+        pass
+
+
+def pages_in_turn(stream: DataFrame, keys: list[str], quiet_ms: int = QUIET_MS) -> DataFrame:
+    """(keys, page, pos, url, payload): the articles that reading a window's pages in turn collects, as read_pages() does over a table.
+
+    stream: keys (which name a window), page (from 1), urls and payloads (arrays of one length, a place an article). Pages may come in any order and
+    batch; one that comes early waits, one that comes again or after the end is passed over. A page of no article, or of which 80 % are known, ends the
+    window, as does the last of 30. A window that hears nothing for quiet_ms is forgotten. The state needs STATE_STORE as the
+    session's state store (spark.sql.streaming.stateStore.providerClass) and outlives restarts with the checkpoint.
+    """
+    fields = [stream.schema[k] for k in keys]
+    schema = T.StructType([*fields, *(T.StructField(n, T._parse_datatype_string(k)) for n, k in (("page", "int"), ("pos", "int"), ("url", "string"), ("payload", "string")))])
+    rows = stream.select(*keys, F.col("page").cast("int").alias("page"), "urls", "payloads")
+    return rows.groupBy(*keys).transformWithStateInPandas(PageLoop(schema, quiet_ms), schema, "Append", "processingTime")

@@ -77,6 +77,20 @@ def test_noisy_variant_is_refined(spark):
     assert snapshots[0] == (0, 1)
 
 
+def test_nothing_relevant_is_not_noisy(spark):
+    """Articles of which none is relevant, or of which the net of names leaves no issue, ask no stricter query."""
+    for titles, keyword in ((["other x"] * 12, "㈜Acme"), (["other"] * 12, "㈜Acme")):
+        asked, snapshots = [], []
+        rows = articles(spark, [(t, f"u{i}", AS_OF, None) for i, t in enumerate(titles)])
+
+        def search(query, start, end, asked=asked, rows=rows):
+            asked.append(query)
+            return rows.where(F.col("date").between(F.lit(start), F.lit(end)))
+
+        assert searches.recent_issues(spark, keyword, "Kim", AS_OF, providers(spark, search, snapshots)) is None
+        assert set(asked) == {'"Acme"'} and len(asked) == len(incremental.search_rounds(AS_OF))
+
+
 def test_nothing_found_ends_the_search(spark):
     asked, snapshots = [], []
     empty = articles(spark, [("t", "u", AS_OF, None)]).limit(0)

@@ -61,6 +61,19 @@ def test_links(spark):
     assert tuple(got) == ("http://h.kr/About", "http://ok.kr/ceo", "http://ok.kr/ceo", "http://h.kr/co?1", "회사소개 us b c n")
 
 
+def test_one_parse_gives_all_parts(spark):
+    page = '<p> a <b>b</b></p><a href="/About">company</a><article id="dic_area">body</article><p id="notfound" class="api_noresult_wrap">'
+    df = spark.createDataFrame([(1, page, "http://h.kr/d"), (2, None, None), (3, SEARCH, None), (4, "", "u")], "n int, html string, url string")
+    got = {r.n: r.p for r in df.select("n", html.parts(F.col("html"), F.col("url"), *html.PARTS).alias("p")).collect()}
+    assert tuple(got[1]) == ("a\nb\ncompany\nbody", "a b company body", [("/About", "company")], "http://h.kr/About", "body", [], True)
+    assert set(got[2]) == {None} and [a.title for a in got[3].articles] == ["First", "Second"] and got[3].no_results is False
+    assert tuple(got[4]) == ("", "", [], None, "", [], False)
+    spark.udtf.register("page_links", html.PageLinks)
+    df.createOrReplaceTempView("some_pages")
+    rows = spark.sql("select n, l.pos, l.href, l.text from some_pages, lateral page_links(html) l order by n, l.pos").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "/About", "company"), (3, 0, "http://n/1", "Firsthidden"), (3, 1, "https://n.news.naver.com/m/1", "mirror"), (3, 2, "http://n/2", "Second")]
+
+
 def test_profiles(spark):
     a = '<h1 class="corpName"> Acme  Inc </h1><div class="corpInfo"><dl><dt>대표</dt><dd>Kim</dd><dt>빈</dt></dl></div><div id="infoTab"><article class="corpDesc"><h4 class="corpTit">•소개</h4><div class="contArea">x<br>y</div></article></div><div id="newsTab"><ul class="newslist"><li><b class="tit">t</b></li></ul></div>'
     rows = [("http://gamejob.co.kr/1", a), ("http://www.jobkorea.co.kr/2", B), ("http://www.jobkorea.co.kr/3", C), ("http://www.jobkorea.co.kr/4", "<p>no container</p>"), ("http://other", "<p>x</p>"), ("http://gamejob", None)]
@@ -87,6 +100,12 @@ def test_reports(spark, tmp_path):
         stores.save_raw(raw(*own), f"{tmp_path}/raw", "at")
     got = {(r.key, r.source, r.filename): bytes(r.content) for r in stores.read_raw(spark, f"{tmp_path}/raw", "binary").collect()}
     assert got == {("007", "one", "f/1"): b"3", ("007", "two", "f/1"): b"2", ("007", "one", "g"): b"4", ("007", "one", None): b"5"}
+    many = spark.range(500).select(F.lit("").alias("kind"), F.lit(None).cast("string").alias("key"), F.lit("").alias("source"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"), F.col("id").cast("string").cast("binary").alias("content"), F.lit(0).alias("at"))
+    stores.save_raw(many.unionByName(many.limit(1).withColumn("filename", F.lit(""))), f"{tmp_path}/many", "at", buckets=4)
+    stores.save_raw(many.where("filename = 'f7'").withColumn("content", F.lit("new").cast("binary")), f"{tmp_path}/many", "at", buckets=4)
+    back = {(r.kind, r.key, r.filename): bytes(r.content) for r in stores.read_raw(spark, f"{tmp_path}/many", "binary").collect()}
+    assert len(back) == 501 and back["", None, "f7"] == b"new" and back["", None, "f8"] == b"8" and ("", None, "") in back
+    assert len([p for p in (tmp_path / "many").iterdir() if p.name.startswith("bucket=")]) == 4
 
 
 def test_registry_files(spark, tmp_path):
@@ -126,6 +145,35 @@ def test_streams(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(f"{tmp_path}/n").collect()] == [3, 3, 3, 3]
 
 
+def test_pages_in_turn_outlive_a_restart(spark, tmp_path):
+    """Pages in no order over several runs from one checkpoint give what the batch loop gives, also where windows end at unlike pages."""
+    import random
+
+    from newsloom.operators.incremental import read_pages
+
+    rng = random.Random(3)
+    pages = [(w, p, [f"{w}-{rng.randrange(4 * p + 3)}" for _ in range(rng.choice([3, 5, 8]))]) for w in range(6) for p in range(1, 34)]
+    pages += [(7, 1, ["a", "a", "b"]), (7, 2, []), (7, 3, ["c"]), (8, 2, ["late"])]
+    rows = [(w, p, i, u) for w, p, us in pages for i, u in enumerate(us)]
+    want = read_pages(spark.createDataFrame(rows, "w int, page int, pos int, url string"), ["w"], "page", "pos", "url").collect()
+    rng.shuffle(pages)
+    schema = "w int, page int, urls array<string>, payloads array<string>"
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, collect.STATE_STORE)
+    try:
+        for run in range(3):
+            own = [(w, p, us, [f"{w}/{p}/{i}" for i in range(len(us))]) for w, p, us in pages[run::3]]
+            spark.createDataFrame(own + own[:2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            collect.run_available(collect.pages_in_turn(stream, ["w"]), f"{tmp_path}/state", collect.snapshots(f"{tmp_path}/out"))
+    finally:
+        spark.conf.set(key, before)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.w, r.page, r.pos, r.url) for r in got) == sorted((r.w, r.page, r.pos, r.url) for r in want)
+    assert all(r.payload == f"{r.w}/{r.page}/{r.pos}" for r in got) and {r.w for r in got} == {*range(6), 7}
+
+
 def test_news_pipeline(spark):
     schema = "subject string, ord long, title string, snippet string, body string, url string, press string, date date, embedding array<double>"
     rows = [
