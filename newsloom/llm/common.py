@@ -31,6 +31,22 @@ def fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1)).cast("int")
 
 
+class Kept:
+    """Columns that an operator hands on: under inner names while it works, and under their own at the end.
+
+    Raises ValueError where two of them, or one of them and a column that the operator makes, have one name.
+    """
+
+    def __init__(self, df: DataFrame, keep: tuple[Column, ...], made: tuple[str, ...]):
+        self.names = df.select(*keep).columns if keep else []
+        if twice := sorted({n for n in self.names if n in made or self.names.count(n) > 1}):
+            raise ValueError(f"kept columns {twice} are named like others of the result")
+        self.columns = [c.alias(f"__kept{i}") for i, c in enumerate(keep)]
+
+    def named(self, out: DataFrame) -> DataFrame:
+        return out.withColumnsRenamed({f"__kept{i}": n for i, n in enumerate(self.names)})
+
+
 def word_blocks(data: bytes, block: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of data in order, as lists from slices of about block bytes, cut between words."""
     at = 0
@@ -60,9 +76,13 @@ def release() -> None:
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow(), after which the worker's free memory is released. Rows are whole texts, so the session's batches have ROWS rows at most."""
+    """df.mapInArrow(), after which the worker's free memory is released.
+
+    Rows are whole texts, so the session's batches get ROWS rows at most, also where they had no limit; a lower limit stays. The setting stays with the
+    session, as plans read it when they run.
+    """
     conf = df.sparkSession.conf
-    if int(conf.get(_BATCH)) > ROWS:
+    if not 0 < int(conf.get(_BATCH)) <= ROWS:
         conf.set(_BATCH, str(ROWS))
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch, in_arrow
+from newsloom.llm.common import Kept, batch, in_arrow
 
 #: n-grams in a profile; the longest n-gram; most labelled documents learned from for a language.
 TOP, LONGEST, SAMPLE = 300, 3, 500
@@ -77,7 +77,9 @@ def out_of_place(doc: np.ndarray, known: np.ndarray, ranks: np.ndarray, top: int
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, top: int = TOP) -> dict[str, np.ndarray]:
     """A profile for each non-null value of lang_col, from about sample documents of each at most, drawn by a hash of the id.
 
-    N-grams are counted on the executors; top rows a language reach the driver. Rows with null text or language teach nothing.
+    N-grams are counted on the executors; top rows a language reach the driver. Rows with null text or language teach nothing. Rows of one id, or
+    without one, are drawn together or not at all, so that the number drawn is about sample where ids are unlike. Raises ValueError beyond
+    MOST_LANGUAGES languages.
     """
     rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(9)).alias("h"))
@@ -114,10 +116,11 @@ def identify(text: str | None, profiles: dict[str, tuple[np.ndarray, np.ndarray]
 def predict(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = (), top: int = TOP, keep_text: bool = False) -> DataFrame:
     """df's id as doc_id, kept columns, text if asked for, lang_pred and score, a row for each row.
 
-    Null, empty and letterless texts give und with score 0, as does everything if nothing was learned.
+    Null, empty and letterless texts give und with score 0, as does everything if nothing was learned. Raises ValueError where a kept column is named like one of the result's.
     """
+    kept = Kept(df, keep, ("doc_id", "lang_pred", "score", *["text"] * keep_text))
     ready = {lang: (np.sort(p), np.argsort(p)) for lang, p in profiles.items() if len(p)}
-    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), *kept.columns, F.col(text_col).cast("string").alias("text"))
     left = [] if keep_text else ["text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,4 +132,4 @@ def predict(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_i
                 names=[*own.schema.names, "lang_pred", "score"],
             )
 
-    return in_arrow(rows, score, rows.drop(*left).schema.add("lang_pred", "string").add("score", "double"))
+    return kept.named(in_arrow(rows, score, rows.drop(*left).schema.add("lang_pred", "string").add("score", "double")))

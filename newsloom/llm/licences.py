@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import Kept
+
 #: Known licence sentences as normalised, with # for a version, and their identifiers.
 SENTENCES = {
     "mit license": "MIT_TITLE",
     "the mit license": "MIT_TITLE",
     "the mit license mit": "MIT_TITLE",
-    "released under the mit license": "MIT_SHORT",
-    "licensed under the mit license": "MIT_SHORT",
-    "this project is licensed under the mit license": "MIT_SHORT",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT_GRANT",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
     "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT_NOTICE",
@@ -26,7 +27,6 @@ SENTENCES = {
     "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSD_WARRANTY",
     "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSD_LIABILITY",
     "in no event shall the copyright owner or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BSD_LIABILITY",
-    "licensed under the apache license version #": "APACHE_SHORT",
     "apache license version # january 2004": "APACHE_TITLE",
     "licensed under the apache license version # the license": "APACHE_HEAD",
     "the asf licenses this file to you under the apache license version # the license": "APACHE_HEAD",
@@ -34,8 +34,6 @@ SENTENCES = {
     "you may obtain a copy of the license at": "APACHE_COPY",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "APACHE_BASIS",
     "see the license for the specific language governing permissions and limitations under the license": "APACHE_SEE",
-    "this work is licensed under the gnu general public license version #": "GPL_SHORT",
-    "licensed under the gnu general public license version #": "GPL_SHORT",
     "gnu general public license version # june 1991": "GPL_TITLE",
     "gnu general public license version # 29 june 2007": "GPL_TITLE",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version": "GPL_LATER",
@@ -48,33 +46,23 @@ SENTENCES = {
     "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version # of the license or at your option any later version": "LGPL_LATER",
     "see the gnu lesser general public license for more details": "LGPL_SEE",
     "see the gnu library general public license for more details": "LGPL_SEE",
-    "licensed under the gnu lesser general public license version #": "LGPL_SHORT",
     "gnu lesser general public license version # february 1999": "LGPL_TITLE",
     "gnu lesser general public license version # 29 june 2007": "LGPL_TITLE",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version # of the license or at your option any later version": "AGPL_LATER",
     "see the gnu affero general public license for more details": "AGPL_SEE",
-    "licensed under the gnu affero general public license version #": "AGPL_SHORT",
     "gnu affero general public license version # 19 november 2007": "AGPL_TITLE",
     "this source code form is subject to the terms of the mozilla public license v #": "MPL_HEAD",
-    "licensed under the mozilla public license version #": "MPL_SHORT",
     "mozilla public license version #": "MPL_TITLE",
     "this program and the accompanying materials are made available under the terms of the eclipse public license v #": "EPL_HEAD",
     "this program and the accompanying materials are made available under the terms of the eclipse public license # which is available at https www eclipse org legal epl #": "EPL_HEAD",
     "this program and the accompanying materials are made available under the terms of the eclipse public license v # which accompanies this distribution and is available at http www eclipse org legal epl v # html": "EPL_HEAD",
     "eclipse public license v #": "EPL_TITLE",
-    "licensed under cc by #": "CC_BY",
-    "licensed under cc by sa #": "CC_BY_SA",
-    "licensed under cc by nc #": "CC_BY_NC",
-    "licensed under cc by nc sa #": "CC_BY_NC_SA",
-    "licensed under cc by nd #": "CC_BY_ND",
-    "licensed under cc by nc nd #": "CC_BY_NC_ND",
     "this work is licensed under a creative commons attribution # international license": "CC_BY",
     "this work is licensed under a creative commons attribution sharealike # international license": "CC_BY_SA",
     "this work is licensed under a creative commons attribution noncommercial # international license": "CC_BY_NC",
     "this work is licensed under a creative commons attribution noncommercial sharealike # international license": "CC_BY_NC_SA",
     "this work is licensed under a creative commons attribution noderivatives # international license": "CC_BY_ND",
     "this work is licensed under a creative commons attribution noncommercial noderivatives # international license": "CC_BY_NC_ND",
-    "licensed under cc0 #": "CC_ZERO",
     "cc0 # universal": "CC_ZERO",
     "this is free and unencumbered software released into the public domain": "UNLICENSE",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
@@ -92,8 +80,81 @@ SENTENCES = {
     "distributed under the boost software license version #": "BOOST_HEAD",
     "boost software license version # august 17th 2003": "BOOST_TITLE",
     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BOOST_GRANT",
+    "the artistic license #": "ARTISTIC_TITLE",
+    "artistic license #": "ARTISTIC_TITLE",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "VERBATIM",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "GPL3_PREAMBLE",
+    "the licenses for most software are designed to take away your freedom to share and change it": "GPL2_PREAMBLE",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "AGPL3_PREAMBLE",
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "APACHE_DEFINES",
+    "terms and conditions for use reproduction and distribution": "APACHE_TERMS",
+    "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software": "MPL_DEFINES",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "EPL_PROVIDED",
+    "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement": "EPL_ACCEPTS",
+    "do what the fuck you want to public license": "WTFPL_TITLE",
+    "you just do what the fuck you want to": "WTFPL_TERM",
+    "common development and distribution license cddl version #": "CDDL_TITLE",
+    "european union public licence v #": "EUPL_TITLE",
+    "openssl license": "OPENSSL_TITLE",
+    "python software foundation license version #": "PSF_TITLE",
     "all rights reserved": "ALL_RIGHTS",
 }
+#: How short notices call a licence, as normalised, by identifier. v stands for each way to write a version.
+CALLED = {
+    "MIT_SHORT": ("mit", "mit license", "mit licence", "mit x11 license"),
+    "APACHE_SHORT": ("apache license v", "apache v", "apache software license v", "apache public license v"),
+    "GPL_SHORT": ("gnu general public license v", "gnu gpl v", "gpl v", "gnu public license v"),
+    "LGPL_SHORT": ("gnu lesser general public license v", "gnu lgpl v", "lgpl v"),
+    "AGPL_SHORT": ("gnu affero general public license v", "gnu agpl v", "agpl v"),
+    "MPL_SHORT": ("mozilla public license v", "mpl v"),
+    "EPL_SHORT": ("eclipse public license v", "epl v"),
+    "ARTISTIC_SHORT": ("artistic license v", "perl artistic license v"),
+    "EUPL_SHORT": ("european union public licence v", "european union public license v", "eupl v"),
+    "CDDL_SHORT": ("common development and distribution license v", "cddl v"),
+    "PSF_SHORT": ("python software foundation license v", "psf license v"),
+    "BOOST_SHORT": ("boost software license v", "boost license v"),
+    "BSD2_SHORT": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license"),
+    "BSD3_SHORT": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license"),
+    "BSD_CLAUSE": ("bsd # clause license", "bsd # clause"),
+    "BSD_SHORT": ("bsd license", "bsd style license"),
+    "ISC_SHORT": ("isc license",),
+    "ZLIB_SHORT": ("zlib license", "zlib libpng license"),
+    "WTFPL_SHORT": ("wtfpl", "wtfpl license", "do what the fuck you want to public license"),
+    "OPENSSL_SHORT": ("openssl license",),
+    "UNLICENSE": ("unlicense", "unlicense license"),
+    "CC_ZERO": ("cc0 #", "cc0 # universal", "creative commons zero v"),
+    "CC_BY": ("cc by #", "creative commons attribution # license"),
+    "CC_BY_SA": ("cc by sa #", "creative commons attribution sharealike # license"),
+    "CC_BY_NC": ("cc by nc #",),
+    "CC_BY_NC_SA": ("cc by nc sa #",),
+    "CC_BY_ND": ("cc by nd #",),
+    "CC_BY_NC_ND": ("cc by nc nd #",),
+}
+VERSIONS = ("#", "v #", "version #")
+#: Characters of a short notice at most.
+NOTICE_CHARS = 200
+#: What stands before and after a licence's name in a short notice, as normalised: up to so many words, a verb, and where the text is.
+BEFORE = "(?:[a-z0-9]+ ){0,7}?(?:licensed|licenced|released|distributed|available|provided|published|offered|covered|governed) (?:under|by|with) (?:either (?:of )?|both )?(?:the |a |an )?(?:terms of (?:either (?:of )?|both )?(?:the |a |an )?)?"
+AFTER = "(?: license| licence)?(?: only)?(?: (?:at your option|that can be found in .{1,80}|which can be found in .{1,80}|as found in .{1,80}|see .{1,80}|in the license file))?"
+NOTICE = "licensed under "
+
+
+def _called() -> dict[str, str]:
+    """Short notices and their identifiers; of two licences, which an or or an and joins, those of the two that are commonly so offered."""
+    bare = lambda name: re.sub(f"{AFTER}$", "", name)
+    spelled = {i: [n[:-1] + v if n.endswith(" v") else n for n in names for v in (VERSIONS if n.endswith(" v") else ("",))] for i, names in CALLED.items()}
+    out = {NOTICE + bare(n): i for i, names in spelled.items() for n in names}
+    out |= {n.replace(" v #", "v #"): i for n, i in out.items()}  # gplv3
+    for joint in ("or", "and"):
+        for a in spelled["APACHE_SHORT"]:
+            for the in ("", "the "):
+                out |= {NOTICE + bare(f"{x} {joint} {the}{y}"): f"MIT_APACHE_{joint.upper()}" for m in ("mit", "mit license") for x, y in ((a, m), (m, a))}
+    return out
+
+
+#: Sentences that are read as they are.
+KNOWN_WHOLE = tuple(SENTENCES)
+SENTENCES |= _called()
 #: Sequences of identifiers and the licence each stands for, in the order they are tried. An identifier with ?
 #: may be missing; # is the version (of an SPDX tag: the expression) found in the first sentence of the match.
 RULES = (
@@ -106,21 +167,49 @@ RULES = (
     ("GPL_LATER GPL_WARRANTY? GPL_SEE?", "GPL-#-or-later"),
     ("GPL_ONLY GPL_WARRANTY? GPL_SEE?", "GPL-#-only"),
     ("GPL_SHORT", "GPL-#"),
-    ("GPL_TITLE", "GPL-#"),
+    ("GPL_TITLE VERBATIM? GPL2_PREAMBLE? GPL3_PREAMBLE?", "GPL-#"),
+    ("GPL2_PREAMBLE", "GPL-2"),
+    ("GPL3_PREAMBLE", "GPL-3"),
     ("LGPL_LATER GPL_WARRANTY? LGPL_SEE?", "LGPL-#-or-later"),
     ("LGPL_SHORT", "LGPL-#"),
     ("LGPL_TITLE", "LGPL-#"),
     ("AGPL_LATER GPL_WARRANTY? AGPL_SEE?", "AGPL-#-or-later"),
     ("AGPL_SHORT", "AGPL-#"),
-    ("AGPL_TITLE", "AGPL-#"),
+    ("AGPL_TITLE VERBATIM? AGPL3_PREAMBLE?", "AGPL-#"),
+    ("AGPL3_PREAMBLE", "AGPL-3"),
     ("MPL_HEAD", "MPL-#"),
     ("MPL_SHORT", "MPL-#"),
-    ("MPL_TITLE", "MPL-#"),
+    ("MPL_TITLE MPL_DEFINES?", "MPL-#"),
+    ("MPL_DEFINES", "MPL-2.0"),
     ("EPL_HEAD", "EPL-#"),
     ("EPL_TITLE", "EPL-#"),
+    ("EPL_SHORT", "EPL-#"),
+    ("EPL_PROVIDED EPL_ACCEPTS?", "EPL"),
+    ("MIT_APACHE_OR", "Apache-# OR MIT"),
+    ("MIT_APACHE_AND", "Apache-# AND MIT"),
+    ("APACHE_TITLE APACHE_TERMS? APACHE_DEFINES?", "Apache-#"),
+    ("APACHE_TERMS? APACHE_DEFINES", "Apache-2.0"),
     ("APACHE_SHORT", "Apache-#"),
-    ("APACHE_TITLE", "Apache-#"),
     ("MIT_SHORT", "MIT"),
+    ("ARTISTIC_TITLE", "Artistic-#"),
+    ("ARTISTIC_SHORT", "Artistic-#"),
+    ("EUPL_TITLE", "EUPL-#"),
+    ("EUPL_SHORT", "EUPL-#"),
+    ("CDDL_TITLE", "CDDL-#"),
+    ("CDDL_SHORT", "CDDL-#"),
+    ("PSF_TITLE", "PSF-#"),
+    ("PSF_SHORT", "PSF-#"),
+    ("WTFPL_TITLE VERBATIM? WTFPL_TERM?", "WTFPL"),
+    ("WTFPL_SHORT", "WTFPL"),
+    ("OPENSSL_TITLE", "OpenSSL"),
+    ("OPENSSL_SHORT", "OpenSSL"),
+    ("BSD2_SHORT", "BSD-2-Clause"),
+    ("BSD3_SHORT", "BSD-3-Clause"),
+    ("BSD_CLAUSE", "BSD-#-Clause"),
+    ("BSD_SHORT", "BSD"),
+    ("ISC_SHORT", "ISC"),
+    ("ZLIB_SHORT", "Zlib"),
+    ("BOOST_SHORT", "BSL-#"),
     ("SPDX_TAG", "#"),
     ("CC_BY", "CC-BY-#"),
     ("CC_BY_SA", "CC-BY-SA-#"),
@@ -155,11 +244,18 @@ _CUT, _TAGGED = "\x01", "spdx license identifier "
 
 
 def normalise(sentence: Column) -> Column:
-    """Lower case, versions as #, and single blanks between words. Comment marks, quotes and brackets go with the punctuation."""
+    """Lower case, versions as #, and single blanks between words. Comment marks, quotes and brackets go with the punctuation.
+
+    A short notice is its licence's name after NOTICE: what has and does it before the name, and where the text is, is left out.
+    """
     plain = F.translate(F.lower(sentence), "#", " ")
-    plain = F.regexp_replace(plain, rf"(version{SPACE}+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives )({VERSION})", "$1 # ")
+    plain = F.regexp_replace(plain, rf"(version{SPACE}+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives |apache |gpl |mpl |epl |eupl |cddl )({VERSION})", "$1 # ")
     plain = F.trim(F.regexp_replace(plain, OTHER, " "))
-    return F.when(plain.startswith("neither the name of "), F.regexp_replace(plain, HOLDER, "neither the name of the copyright holder nor the names of ")).otherwise(plain)
+    short = F.regexp_replace(F.regexp_replace(plain, f"^{BEFORE}", NOTICE), f"{AFTER}$", "")
+    maybe = (F.length(plain) < NOTICE_CHARS) & (plain.contains(" under ") | plain.contains(" by ") | plain.contains(" with "))
+    notice = maybe & plain.rlike(f"^{BEFORE}") & ~plain.isin(*KNOWN_WHOLE)
+    named = F.when(plain.startswith("neither the name of "), F.regexp_replace(plain, HOLDER, "neither the name of the copyright holder nor the names of "))
+    return F.when(notice, short).otherwise(F.coalesce(named, plain))
 
 
 def sentences(text: Column) -> Column:
@@ -233,7 +329,9 @@ def scan(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = ()) -
     """Kept columns and identifiers (array), licences (array, in order of name) of every whole text.
 
     Null and empty texts, and those without a known sentence, have empty arrays. An SPDX tag's licence is its
-    whole expression. Repeated rows stay. Nothing is shuffled and no Python runs.
+    whole expression. Repeated rows stay. Nothing is shuffled and no Python runs. Raises ValueError where a kept column is named like one of the result's.
     """
-    found = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__found", identifiers(F.col("__text")))
-    return found.withColumn("identifiers", F.transform("__found", lambda x: x.id)).withColumn("licences", F.when(F.size("__found") > 0, match(F.col("__found"))).otherwise(F.array().cast("array<string>"))).drop("__text", "__found")
+    kept = Kept(df, keep, ("identifiers", "licences"))
+    found = df.select(*kept.columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")).withColumn("__found", identifiers(F.col("__text")))
+    made = found.withColumn("identifiers", F.transform("__found", lambda x: x.id)).withColumn("licences", F.when(F.size("__found") > 0, match(F.col("__found"))).otherwise(F.array().cast("array<string>"))).drop("__text", "__found")
+    return kept.named(made)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import in_arrow, utf8
+from newsloom.llm.common import Kept, in_arrow, utf8
 
 # Fixed values of the format.
 EBML, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -256,9 +256,11 @@ def _type(ddl: str) -> T.DataType:
 def packets(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> DataFrame:
     """Kept columns and, of each file, packets (an array; explode it for a table), cues, duration_ms and error.
 
-    Null and empty files have no packets; a file that breaks off has those before the fault, and error says why.
+    Null and empty files have no packets; a file that breaks off has those before the fault, and error says why. Raises ValueError where a
+    kept column is named like one of the result's.
     """
-    rows = df.select(*keep, F.col(media_col).cast("binary").alias("__media"))
+    kept = Kept(df, keep, ("packets", "cues", "duration_ms", "error"))
+    rows = df.select(*kept.columns, F.col(media_col).cast("binary").alias("__media"))
     kind = pa.list_(pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.int32()), ("cluster", pa.int32())]))
     cue_kind = pa.list_(pa.struct([("timestamp_ns", pa.int64()), ("track", pa.int64()), ("offset", pa.int64())]))
 
@@ -275,12 +277,16 @@ def packets(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> Dat
             yield pa.RecordBatch.from_arrays([*own.columns, *tables], names=[*own.schema.names, "packets", "cues", "duration_ms", "error"])
 
     schema = rows.drop("__media").schema.add("packets", _type(PACKETS)).add("cues", _type(CUE_LIST))
-    return in_arrow(rows, run, schema.add("duration_ms", "double").add("error", "string"))
+    return kept.named(in_arrow(rows, run, schema.add("duration_ms", "double").add("error", "string")))
 
 
 def store(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Kept columns, n_bytes and media: the text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a file."""
-    rows = df.select(*keep, F.coalesce(utf8(text_col), F.lit(b"")).alias("__data"))
+    """Kept columns, n_bytes and media: the text's UTF-8 bytes, filled with zeros to a positive multiple of 64, as a file.
+
+    Raises ValueError where a kept column is named like one of the result's.
+    """
+    kept = Kept(df, keep, ("n_bytes", "media"))
+    rows = df.select(*kept.columns, F.coalesce(utf8(text_col), F.lit(b"")).alias("__data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -291,12 +297,17 @@ def store(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = ())
                 own = b.drop_columns(["__data"])
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(map(len, data), pa.int64()), pa.array(files, pa.binary())], names=[*own.schema.names, "n_bytes", "media"])
 
-    return in_arrow(rows, run, rows.drop("__data").schema.add("n_bytes", "long").add("media", "binary"))
+    return kept.named(in_arrow(rows, run, rows.drop("__data").schema.add("n_bytes", "long").add("media", "binary")))
 
 
 def describe(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> DataFrame:
-    """Kept columns and payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of what the files of track 1 hold."""
-    rows = df.select(*keep, F.col(media_col).cast("binary").alias("__media"))
+    """Kept columns and payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_packets of what the files of track 1 hold.
+
+    Raises ValueError where a kept column is named like one of the result's.
+    """
+    made = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "n_packets": "long"}
+    kept = Kept(df, keep, (*made,))
+    rows = df.select(*kept.columns, F.col(media_col).cast("binary").alias("__media"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,9 +320,9 @@ def describe(df: DataFrame, media_col: str, keep: tuple[Column, ...] = ()) -> Da
             own = b.drop_columns(["__media"])
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             columns = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*own.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_packets"])
+            yield pa.RecordBatch.from_arrays([*own.columns, *columns], names=[*own.schema.names, *made])
 
     schema = rows.drop("__media").schema
-    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("n_packets", "long")):
+    for name, kind in made.items():
         schema = schema.add(name, kind)
-    return in_arrow(rows, run, schema)
+    return kept.named(in_arrow(rows, run, schema))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm.common import in_arrow, slices
+from newsloom.llm.common import Kept, in_arrow, slices
 
 BLANK = "▁"
 #: Units longer than this advance alone, without tables for a group. Characters of texts handled at once. What a process
@@ -244,8 +244,10 @@ class Pieces:
         self._met, self._met_stand = np.empty(0, np.int64), np.empty(0, bool)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
-        """The text of ids, without the blank put before it. Control pieces are silent; the unknown piece is U+2047."""
-        text = b"".join(map(self.plain.__getitem__, np.asarray(ids, np.int64).tolist())).decode("utf-8", "replace")
+        """The text of ids, without the blank put before it. Control pieces are silent; the unknown piece is U+2047, and so is an id beyond the vocabulary."""
+        own, n = np.asarray(ids, np.int64), len(self.plain)
+        own = np.where((own >= 0) & (own < n), own, self.unknown)
+        text = b"".join(map(self.plain.__getitem__, own.tolist())).decode("utf-8", "replace")
         return text[1:] if self.add_blank and text.startswith(" ") else text
 
 
@@ -272,9 +274,11 @@ def default_model() -> str:
 def encode(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (), model: str | None = None, decoded: bool = False) -> DataFrame:
     """Kept columns and ids array<int> of every whole text, with decoded string if asked for; null and empty texts have no ids.
 
-    model: the path of the model's file, on every machine; None: the public one of the tokenizers package.
+    model: the path of the model's file, on every machine; None: the public one of the tokenizers package. Raises ValueError where
+    a kept column is named like one of the result's.
     """
-    rows = df.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    kept = Kept(df, keep, ("ids", *["decoded"] * decoded))
+    rows = df.select(*kept.columns, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model or default_model())
@@ -288,18 +292,22 @@ def encode(df: DataFrame, text_col: str = "text", keep: tuple[Column, ...] = (),
             pieces.forget()
 
     schema = rows.drop("__text").schema.add("ids", T.ArrayType(T.IntegerType()))
-    return in_arrow(rows, run, schema.add("decoded", "string") if decoded else schema)
+    return kept.named(in_arrow(rows, run, schema.add("decoded", "string") if decoded else schema))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", keep: tuple[Column, ...] = (), model: str | None = None) -> DataFrame:
-    """Kept columns and text of every list of ids; null gives null."""
-    rows = df.select(*keep, F.col(ids_col).cast("array<int>").alias("__ids"))
+    """Kept columns and text of every list of ids; null gives null. Null ids, and ids beyond the vocabulary, read as the unknown piece.
+
+    Raises ValueError where a kept column is named text.
+    """
+    kept = Kept(df, keep, ("text",))
+    rows = df.select(*kept.columns, F.col(ids_col).cast("array<int>").alias("__ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model or default_model())
         for b in slices(batches, 2048):
             own = b.drop_columns(["__ids"])
-            texts = [None if x is None else pieces.decode([i for i in x if i is not None]) for x in b.column("__ids").to_pylist()]
+            texts = [None if x is None else pieces.decode([-1 if i is None else i for i in x]) for x in b.column("__ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.string())], names=[*own.schema.names, "text"])
 
-    return in_arrow(rows, run, rows.drop("__ids").schema.add("text", "string"))
+    return kept.named(in_arrow(rows, run, rows.drop("__ids").schema.add("text", "string")))

@@ -14,12 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.llm.common import in_arrow, utf8
+from newsloom.llm.common import Kept, in_arrow, utf8
 
 FILTERS, WIDTH, CHUNK = 16, 6, 4096
-#: Labelled documents of each label learned from at most (drawn by a hash of the id), and passes over them.
-SAMPLE, EPOCHS, RATE, DECAY = 1500, 12, 0.02, 1e-4
+#: Labelled documents of each label learned from at most (drawn by a hash of the id), bytes of their texts together at most, and passes over them.
+SAMPLE, SAMPLE_BYTES, EPOCHS, RATE, DECAY = 1500, 64 << 20, 12, 0.02, 1e-4
 #: Byte classes: the first byte of each range of values; a range lasts to the next.
 _RANGES = (0, 1, 9, 14, 32, 33, 48, 58, 65, 91, 97, 123, 128, 160, 192)
 
@@ -97,27 +98,39 @@ def train(texts: list[bytes], labels: list[int], prior: float | None = None, see
     return {"table": model["filters"] + model["classes"][:, _CLASS]} | {k: model[k] for k in ("shift", "weights", "bias")}
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from at most sample documents of each label (0 and others), the first by a hash of the id, at the labels' share.
 
-    Of labels only ids and labels are read; the at most 2 * sample ids drawn are sent to the documents, and the driver gets
-    those documents' whole texts. Null ids and labels teach nothing, of one id's
-    labels the largest counts, null texts are empty. Without labels every text scores alike.
+    Of labels only ids and labels are read; the at most 2 * sample ids drawn are sent to the documents. Of rows of one id one text counts, the first
+    by a hash. The driver gets the drawn documents' sizes, and then whole texts, label by label in the order of the draw, as long as they have sample_bytes / 2
+    together; texts are never cut. Null ids and labels teach nothing, of one id's labels the largest counts, null texts are empty. Without labels every text scores alike.
     """
     own = labels.select(F.col(id_col).alias("id"), (F.col(label_col) != 0).cast("int").alias("y")).where("id is not null and y is not null")
     own = own.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64(F.col("id").cast("string"), F.lit(4)))
     share = own.agg(F.avg("y")).first()[0]
     drawn = own.where("y = 0").orderBy("h", "id").limit(sample).union(own.where("y = 1").orderBy("h", "id").limit(sample))
     text = F.coalesce(utf8(text_col), F.lit(b""))
-    got = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(drawn), "id").select("h", "y", "text").collect()
-    got = sorted((r["h"], r["y"], bytes(r["text"])) for r in got)[: 2 * sample]
+    found = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(drawn), "id")
+    one = found.groupBy("id", "h", "y").agg(F.min(F.struct(F.xxhash64("text").alias("t"), F.octet_length("text").alias("n"))).alias("x")).select("id", "h", "y", "x.t", "x.n")
+    left, wanted = [sample_bytes // 2] * 2, []
+    for r in sorted(one.collect(), key=lambda r: (r["h"], r["y"])):
+        left[r["y"]] -= r["n"]
+        if left[r["y"]] >= 0:
+            wanted.append((r["id"], r["t"]))
+    few = docs.sparkSession.createDataFrame(wanted, T.StructType([T.StructField("w", docs.schema[id_col].dataType), T.StructField("t", T.LongType())]))
+    met = found.join(F.broadcast(few), (F.col("id") == F.col("w")) & (F.xxhash64("text") == F.col("t")))
+    got = sorted((r["h"], r["y"], bytes(r["text"])) for r in met.groupBy("id", "h", "y").agg(F.first("text").alias("text")).collect())
     prior = min(max(share, 0.01), 0.99) if got else None
     return train([t for _, _, t in got], [y for _, y, _ in got], prior)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
-    """df's id, kept columns and score, the probability of label 1, a row for each row; null text counts as empty."""
-    rows = df.select(F.col(id_col).alias("doc_id"), *keep, utf8(text_col).alias("text"))
+    """df's id, kept columns and score, the probability of label 1, a row for each row; null text counts as empty.
+
+    Raises ValueError where a kept column is named like one of the result's.
+    """
+    kept = Kept(df, keep, ("doc_id", "score"))
+    rows = df.select(F.col(id_col).alias("doc_id"), *kept.columns, utf8(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,4 +138,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             own = b.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(scores, pa.float64())], names=[*own.schema.names, "score"])
 
-    return in_arrow(rows, score, rows.drop("text").schema.add("score", "double"))
+    return kept.named(in_arrow(rows, score, rows.drop("text").schema.add("score", "double")))

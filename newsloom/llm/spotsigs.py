@@ -35,8 +35,10 @@ def with_signatures(df: DataFrame, text: Column, out: str, chain: int = CHAIN) -
 
     Words are runs of letters and digits, in lower case. A chain is an anchor and the next content words after it, other
     anchors between them left out. A text without a chain has its content words for signatures, and without those its
-    words; no word, no signature. The steps are columns of their own, so that none is computed twice.
+    words; no word, no signature. The steps are columns of their own, so that none is computed twice. A column out of df's is replaced;
+    raises ValueError where df has a column __marked or __found.
     """
+    _free(df, "__marked", "__found")
     plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     # Each anchor becomes a mark and itself; no mark is a letter or a digit.
     marked = F.regexp_replace(F.concat(F.lit(" "), F.trim(plain), F.lit(" ")), rf" (?={_branches(list(WORDS))} )", f" {_MARK}")
@@ -50,6 +52,11 @@ def with_signatures(df: DataFrame, text: Column, out: str, chain: int = CHAIN) -
     return made.withColumn(out, F.array_sort(F.array_distinct(F.when(F.size("__found") > 0, chains).otherwise(other)))).drop("__marked", "__found")
 
 
+def _free(df: DataFrame, *names: str) -> None:
+    if taken := sorted({*names} & {*df.columns}):
+        raise ValueError(f"columns {taken} are taken")
+
+
 def fingerprint(signature_set: Column) -> Column:
     """A string for a set: its length, by which sets are partitioned, and a digest of its signatures."""
     return F.concat(F.size(signature_set).cast("string"), F.lit("-"), F.md5(F.array_join(F.transform(signature_set, lambda x: F.hex(x)), ",")))
@@ -81,14 +88,16 @@ def with_next(df: DataFrame, id_col: str, text_col: str, out: str, sigs: str | N
     """df with the text of the next row by id (a long) in out; the last row has the first's. Null ids come last, and rows of one id go by text.
 
     With sigs, that column has the signatures of a row's text and out + "_sigs" those of the next; each row's are made once.
+    Raises ValueError where df has a column of one of the new names, or __b, __last, __first or __head_*.
     Rows are dealt out once, in buckets that rise with the id, to as many tasks as there are times TASK_ROWS rows. Each bucket
     finds its rows' successors; its last row takes the first of the next bucket that has any. Those first rows are found by
     their ids, which are one a bucket.
     """
+    carried = {out: text_col} | ({f"{out}_sigs": sigs} if sigs else {})
+    _free(df, "__b", "__last", "__first", "__next", *carried, *(f"__head_{k}" for k in carried), *[sigs] * bool(sigs))
     bucket, rows = _bucket(df, id_col)
     numbered = df.withColumn("__b", bucket)
     made = (lambda d: with_signatures(d, F.col(text_col), sigs)) if sigs else (lambda d: d)
-    carried = {out: text_col} | ({f"{out}_sigs": sigs} if sigs else {})
     dealt = made(numbered.repartition(max(1, -(-rows // TASK_ROWS)), "__b"))
     order = W.partitionBy("__b").orderBy(F.col(id_col).asc_nulls_last(), text_col)
     followed = dealt.withColumns({k: F.lead(v).over(order) for k, v in carried.items()} | {"__last": F.lead(F.lit(True)).over(order).isNull()})

@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.storage import materialise
@@ -24,36 +24,52 @@ def decide(df: DataFrame, key_col: str, payload_col: str, least_bytes: int = LEA
 
     Of rows with equal payloads of at least least_bytes the one with the largest key is the response and the others revisit it;
     smaller payloads are all responses. Null payloads are empty. Rows that repeat the largest key are responses all; rows
-    with a null key revisit a keyed row, and without one are responses. Digests are counted with partial sums, and those that
+    with a null key revisit a keyed row, and without one are responses. Raises ValueError where df has a column of one of the four new names.
+    Digests are counted with partial sums, and those that
     repeat are written with their winners: payloads are shuffled by digest once, or not at all where these are few, and a
     crowded digest is split.
     """
+    if taken := sorted({"payload_bytes", "payload_digest", "record_type", "refers_to"} & {*df.columns}):
+        raise ValueError(f"columns {taken} are taken")
     own = df.withColumn("payload_bytes", F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long")).withColumn("payload_digest", F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary")))
-    heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("__digest")).agg(F.max(key_col).alias("__winner"), F.count("*").alias("__n"))
-    heads = materialise(heads.where("__n > 1 and __winner is not null").drop("__n"))
-    found = own.join(heads, (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") >= least_bytes), "left")
-    revisit = F.col("__winner").isNotNull() & ~F.col(key_col).eqNullSafe(F.col("__winner"))
-    return found.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("__winner"))).drop("__digest", "__winner")
+    heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("digest")).agg(F.max(key_col).alias("winner"), F.count("*").alias("n"))
+    heads = materialise(heads.where("n > 1 and winner is not null").drop("n"))
+    found = own.join(heads, (own.payload_digest == heads.digest) & (own.payload_bytes >= least_bytes), "left")
+    revisit = heads.winner.isNotNull() & ~own[key_col].eqNullSafe(heads.winner)
+    return found.select(*(own[c] for c in own.columns), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, heads.winner).alias("refers_to"))
 
 
-def _urn(col) -> F.Column:
-    h = F.md5(F.concat(F.lit("newsloom:"), F.coalesce(col.cast("string"), F.lit("null"))))
+def _urn(col: Column) -> Column:
+    """A record's id: of a key always the same, without one unlike any other."""
+    h = F.md5(F.concat(F.lit("newsloom:"), F.coalesce(col.cast("string"), F.concat(F.lit("without a key "), F.uuid()))))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def write(decided: DataFrame, path: str, key_col: str, uri_col: str, payload_col: str, date: str = "2024-01-01T00:00:00Z") -> None:
+def escaped(uri: Column) -> Column:
+    """A URI whose blanks, line breaks and control characters are percent-encoded, as none may stand in a header."""
+    out = uri
+    for code in (*range(33), 127):
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(uri.rlike("[\\x00-\\x20\\x7F]"), out).otherwise(uri)
+
+
+def write(decided: DataFrame, path: str, key_col: str, uri_col: str, payload_col: str, date: Column | None = None) -> None:
     """Write decide()'s rows as gzip-compressed WARC/1.1 files under path, with fresh headers; revisits carry no payload.
 
+    date: when a row was captured (a timestamp); without one, or where it is null, the time of writing.
+
     A record ends in CR LF CR LF, which is the line separator of Spark's text writer: it commits files task by task on any
-    file system, so a lost executor leaves no half file. Line breaks and control characters in a URI are percent-encoded.
+    file system, so a lost executor leaves no half file. Blanks, line breaks and control characters in a URI are percent-encoded.
     """
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("record_type") == "revisit"
-    uri = F.coalesce(F.regexp_replace(F.regexp_replace(F.col(uri_col).cast("string"), "\r", "%0D"), "\n", "%0A"), F.lit(""))
+    uri = F.coalesce(escaped(F.col(uri_col).cast("string")), F.lit(""))
+    at = F.coalesce(date, F.current_timestamp()) if date is not None else F.current_timestamp()
+    stamp = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     body = F.when(revisit, "").otherwise(F.coalesce(F.col(payload_col), F.lit("")))
     record = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _urn(F.col(key_col))), line("WARC-Date", F.lit(date)),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", _urn(F.col(key_col))), line("WARC-Date", stamp),
         line("WARC-Target-URI", uri), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Refers-To", _urn(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         F.coalesce(line("X-Record-Key", F.col(key_col).cast("string")), F.lit("")), line("Content-Type", F.lit("text/html; charset=utf-8")),

@@ -257,15 +257,73 @@ def test_notices_of_more_families(spark):
     assert {r.doc_id: r.licences for r in got} == {i: sorted(x) for i, (_, x) in enumerate(cases)}
 
 
+def test_short_notices(spark):
+    """The usual sentences of READMEs and headers, whatever stands before and after the licence's name."""
+    cases = [
+        ("This code is released under the MIT license.", ["MIT"]), ("Distributed under the MIT License. See `LICENSE` for more information.", ["MIT"]), ("The project is available under the Apache License 2.0", ["Apache-2.0"]),
+        ("It is licensed under GPLv3.", ["GPL-3"]), ("This package is licensed under the GPL v2.", ["GPL-2"]), ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", ["BSD"]),
+        ("This project is dual licensed under MIT and Apache 2.0.", ["Apache-2.0 AND MIT"]), ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0 OR MIT"]),
+        ("Licensed under the Artistic License 2.0.", ["Artistic-2.0"]), ("Published under the terms of the European Union Public Licence v1.2.", ["EUPL-1.2"]), ("Covered by the WTFPL.", ["WTFPL"]),
+        ("Licensed under the Common Development and Distribution License, version 1.1.", ["CDDL-1.1"]), ("Distributed under the OpenSSL License.", ["OpenSSL"]), ("Provided under the PSF License Version 2.", ["PSF-2"]),
+        ("All files are licensed under the 3-Clause BSD License.", ["BSD-3-Clause"]), ("licensed under BSD-2-Clause", ["BSD-2-Clause"]), ("Licensed under the ISC license, see the LICENSE file.", ["ISC"]),
+        ("The library is provided under the terms of the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]), ("This work is licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Released under the Unlicense.", ["Unlicense"]),
+        ("The MPL 2.0 is a licence.", []), ("We were under the MIT bridge.", []), ("The talk was given by the author of the MIT license.", []), ("licensed under", []), ("covered by insurance", []),
+    ]
+    got = licences.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)]), keep=(F.col("doc_id"),)).collect()
+    assert {cases[r.doc_id][0]: r.licences for r in got} == dict(cases)
+
+
+def test_whole_texts(spark):
+    cases = [
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Somebody\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The licenses for most software are designed to take away your\nfreedom to share and change it.  By contrast,", ["GPL-2"]),
+        ("  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.\n\n", ["GPL-3"]),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007\n\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n Preamble\n\n  The GNU Affero General Public License is a free, copyleft license for\nsoftware and other kinds of works, specifically designed to ensure\ncooperation with the community in the case of network server software.", ["AGPL-3"]),
+        ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.", ["Apache-2.0"]),
+        ("1.1. Definitions\n\n\"Contributor\"\n means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.", ["MPL-2.0"]),
+        ("Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION\n    OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.", ["EPL", "EPL-2.0"]),
+        ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", ["WTFPL"]),
+    ]
+    got = licences.scan(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)]), keep=(F.col("doc_id"),)).collect()
+    found = {r.doc_id: r.licences for r in got}
+    assert {i: set(want) <= set(found[i]) or found[i] for i, (_, want) in enumerate(cases)} == {i: True for i in range(len(cases))}
+
+
 def plain_licences(text):
     """Identifiers and licences by loops over characters, lines and lists."""
     import re
 
     def normal(raw):
-        plain = re.sub(rf"(version[ \t\n\r\f\x0b]+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives )({licences.VERSION})", r"\1 # ", raw.lower().replace("#", " "))
+        plain = re.sub(rf"(version[ \t\n\r\f\x0b]+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives |apache |gpl |mpl |epl |eupl |cddl )({licences.VERSION})", r"\1 # ", raw.lower().replace("#", " "))
         plain = " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789#" else " " for c in plain).split())
         name, _, rest = plain.removeprefix("neither the name of ").partition(" nor the names of ")
-        return f"neither the name of the copyright holder nor the names of {rest}" if plain.startswith("neither the name of ") and rest and 0 < len(name) <= 200 else plain
+        if plain.startswith("neither the name of ") and rest and 0 < len(name) <= 200:
+            return f"neither the name of the copyright holder nor the names of {rest}"
+        return plain if plain in licences.KNOWN_WHOLE or len(plain) >= 200 else notice(plain)
+
+    def notice(plain):
+        """A short notice without its subject and verb, and without what follows the licence's name."""
+        words = plain.split()
+        for n in range(8):
+            if len(words) < n + 3 or words[n] not in ("licensed", "licenced", "released", "distributed", "available", "provided", "published", "offered", "covered", "governed") or words[n + 1] not in ("under", "by", "with"):
+                continue
+            rest = words[n + 2 :]
+            skip = lambda own, *options: next((own[len(o.split()) :] for o in options if own[: len(o.split())] == o.split() and len(own) > len(o.split())), own)
+            rest = skip(skip(rest, "either of", "either", "both"), "the", "a", "an")
+            if rest[:2] == ["terms", "of"] and len(rest) > 2:
+                rest = skip(skip(rest[2:], "either of", "either", "both"), "the", "a", "an")
+            return "licensed under " + bare(rest)
+        return plain
+
+    def bare(words):
+        tails = ["at your option", "that can be found in", "which can be found in", "as found in", "see", "in the license file"]
+        for i in range(len(words)):
+            after = words[i:]
+            after = after[1:] if after[0] in ("license", "licence") else after
+            after = after[1:] if after[:1] == ["only"] else after
+            left = " ".join(after)
+            if i and (not after or left in (tails[0], tails[5]) or any(left.startswith(t + " ") and len(left) <= len(t) + 81 for t in tails[1:5])):
+                return " ".join(words[:i])
+        return " ".join(words)
 
     space, cuts = " \t\n\r\f\x0b", [0]
     for i, c in enumerate(text):
