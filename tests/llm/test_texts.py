@@ -311,10 +311,10 @@ def plain_licences(text):
             rest = skip(skip(rest, "either of", "either", "both"), "the", "a", "an")
             if rest[:2] == ["terms", "of"] and len(rest) > 2:
                 rest = skip(skip(rest[2:], "either of", "either", "both"), "the", "a", "an")
-            return "licensed under " + bare(rest)
+            return "licensed under " + shorn(rest)
         return plain
 
-    def bare(words):
+    def shorn(words):
         tails = ["at your option", "that can be found in", "which can be found in", "as found in", "see", "in the license file"]
         for i in range(len(words)):
             after = words[i:]
