@@ -6,8 +6,10 @@ whether others than the named are wrong ("closed"). Numbers do not pass for text
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,9 +17,8 @@ from pyspark.sql import types as T
 from newsloom.functions.storage import materialise
 from newsloom.functions.text import unfence
 
-#: What a variant's schema says of a scalar of each kind, as a prefix.
-_KINDS = {T.StringType: ("STRING",), T.BooleanType: ("BOOLEAN",), T.LongType: ("BIGINT",), T.DoubleType: ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")}
 _NAMES = {T.StringType: "a text", T.BooleanType: "true or false", T.LongType: "a whole number", T.DoubleType: "a number"}
+_KINDS = {T.StringType: str, T.BooleanType: bool, T.LongType: int, T.DoubleType: int | float}
 
 
 def required(name: str, kind: T.DataType | str, **metadata: object) -> T.StructField:
@@ -35,34 +36,26 @@ def _kind(kind: T.DataType | str) -> T.DataType:
     return kind if isinstance(kind, T.DataType) else named[kind]
 
 
-def _said(path: Column, what: str | Column) -> Column:
-    return F.array(F.concat(path, F.lit(": "), what if isinstance(what, Column) else F.lit(what)))
-
-
-def _wrong(value: Column, field: T.StructField, path: Column) -> Column:
-    """What is wrong with a variant that stands for a field, as an array of texts."""
-    none, kind = F.array().cast("array<string>"), field.dataType
-    missing = value.isNull() | F.coalesce(F.is_variant_null(value), F.lit(False))
-    shape = F.coalesce(F.schema_of_variant(value), F.lit(""))
+def wrong(value: object, field: T.StructField, path: str) -> list[str]:
+    """What is wrong with a JSON value that stands for a field."""
+    kind = field.dataType
+    if value is None:
+        return [] if field.nullable else [f"{path}: missing"]
     if isinstance(kind, T.StructType):
-        inner = [_wrong(F.try_variant_get(value, f"$.{f.name}", "variant"), f, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
-        if field.metadata.get("closed"):
-            more = F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), F.array(*(F.lit(f.name) for f in kind.fields)))
-            inner.append(F.transform(F.array_sort(more), lambda k: F.concat(path, F.lit("."), k, F.lit(": not known"))))
-        found = F.when(shape.startswith("OBJECT"), F.concat(*inner)).otherwise(_said(path, "not an object"))
-    elif isinstance(kind, T.ArrayType):
+        if not isinstance(value, dict):
+            return [f"{path}: not an object"]
+        inner = [x for f in kind.fields for x in wrong(value.get(f.name), f, f"{path}.{f.name}")]
+        more = sorted(value.keys() - {f.name for f in kind.fields}) if field.metadata.get("closed") else []
+        return inner + [f"{path}.{k}: not known" for k in more]
+    if isinstance(kind, T.ArrayType):
+        if not isinstance(value, list):
+            return [f"{path}: not a list"]
         one = T.StructField("element", kind.elementType, False, field.metadata)
-        items = F.try_variant_get(value, "$", "array<variant>")
-        each = F.flatten(F.transform(items, lambda x, i: _wrong(x, one, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-        found = F.when(shape.startswith("ARRAY"), F.coalesce(each, none)).otherwise(_said(path, "not a list"))
-    else:
-        fits = F.lit(False)
-        for prefix in _KINDS[type(kind)]:
-            fits = fits | shape.startswith(prefix)
-        values = field.metadata.get("one_of")
-        known = F.try_variant_get(value, "$", "string").isin(*values) if values else F.lit(True)
-        found = F.when(~fits, _said(path, f"not {_NAMES[type(kind)]}")).when(~known, _said(path, f"none of {', '.join(values)}" if values else "")).otherwise(none)
-    return F.when(missing, none if field.nullable else _said(path, "missing")).otherwise(found)
+        return [x for i, v in enumerate(value) for x in wrong(v, one, f"{path}[{i}]")]
+    if not isinstance(value, _KINDS[type(kind)]) or isinstance(value, bool) != isinstance(kind, T.BooleanType):
+        return [f"{path}: not {_NAMES[type(kind)]}"]
+    values = field.metadata.get("one_of")
+    return [f"{path}: none of {', '.join(values)}"] if values and value not in values else []
 
 
 def _loose(kind: T.DataType) -> T.DataType:
@@ -74,12 +67,21 @@ def _loose(kind: T.DataType) -> T.DataType:
 
 def decode(answer: Column, schema: T.StructType, closed: bool = False) -> Column:
     """A struct of value (null unless all is right) and violations, of an answer in JSON, fenced or not. A null answer, and what is no JSON, violates as a whole."""
-    text = unfence(answer)
-    parsed = F.try_parse_json(text)
     root = T.StructField("$", schema, False, {"closed": closed})
-    wrong = F.when(parsed.isNull(), F.array(F.lit("$: not JSON"))).otherwise(_wrong(parsed, root, F.lit("$")))
-    value = F.when(F.size(wrong) == 0, F.from_json(text, _loose(schema)))
-    return F.struct(value.alias("value"), wrong.alias("violations"))
+
+    @F.pandas_udf("array<string>")
+    def check(answers: pd.Series) -> pd.Series:
+        def one(text: str | None) -> list[str]:
+            try:
+                return wrong(json.loads(text or ""), root, "$")
+            except ValueError:
+                return ["$: not JSON"]
+
+        return answers.map(one, na_action=None)
+
+    text = unfence(answer)
+    found = check(text)
+    return F.struct(F.when(F.size(found) == 0, F.from_json(text, _loose(schema))).alias("value"), found.alias("violations"))
 
 
 def structured(df: DataFrame, prompt: Column, schema: T.StructType, ask: Callable[[DataFrame, Column, str, Column], DataFrame], closed: bool = False) -> DataFrame:
@@ -92,10 +94,10 @@ def structured(df: DataFrame, prompt: Column, schema: T.StructType, ask: Callabl
         raise ValueError(f"columns {sorted(taken)} are taken")
     # An answer costs a call: it is written before it is read, and so never asked for again.
     asked = materialise(ask(df.withColumn("__prompt", prompt), F.col("__prompt"), "__first", F.col("__prompt").isNotNull()))
-    once = asked.withColumn("__one", F.when(F.col("__prompt").isNotNull(), decode(F.col("__first"), schema, closed)))
+    once = asked.withColumn("__one", decode(F.col("__first"), schema, closed)).withColumn("__one", F.when(F.col("__prompt").isNotNull(), F.col("__one")))
     again = F.size("__one.violations") > 0
     said = F.concat(F.col("__prompt"), F.lit("\n\n"), F.array_join("__one.violations", "\n"))
     twice = materialise(ask(materialise(once.withColumn("__said", F.when(again, said))), F.col("__said"), "__second", F.col("__said").isNotNull()))
-    best = F.when(F.coalesce(again, F.lit(False)), decode(F.col("__second"), schema, closed)).otherwise(F.col("__one"))
+    best = F.when(F.coalesce(again, F.lit(False)), F.col("__two")).otherwise(F.col("__one"))
     tries = F.when(F.col("__prompt").isNull(), 0).when(again, 2).otherwise(1)
-    return twice.withColumn("__best", best).withColumns({"value": F.col("__best.value"), "violations": F.col("__best.violations"), "tries": tries}).drop("__prompt", "__first", "__one", "__said", "__second", "__best")
+    return twice.withColumn("__two", decode(F.col("__second"), schema, closed)).withColumn("__best", best).withColumns({"value": F.col("__best.value"), "violations": F.col("__best.violations"), "tries": tries}).drop("__prompt", "__first", "__one", "__said", "__second", "__two", "__best")

@@ -209,7 +209,7 @@ def latest_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.latest(orders, ["o_orderpriority"], "o_custkey", "o_orderkey")
 
 
-@query("SELECT node, min(node) OVER (PARTITION BY c) AS component FROM (SELECT l_orderkey * 100 + l_linenumber AS node, l_orderkey AS c FROM lineitem)")
+@query("SELECT DISTINCT node, min(node) OVER (PARTITION BY c) AS component FROM (SELECT l_orderkey * 100 + l_linenumber AS node, l_orderkey AS c FROM lineitem)")
 def line_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order, each linked to the next."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("src"))
@@ -880,7 +880,7 @@ def _posting(prompt: str) -> str:
 
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 >= 2 THEN 2 ELSE 1 END AS tries, CASE WHEN o_orderkey % 4 = 3 THEN '$.jobs[0].job_name: missing; $.jobs[1].locations: not a list' ELSE '' END AS violations,
-CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 8 = 0 THEN '2001-02-03' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS deadline, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'two' ELSE '' END AS warned,
+CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 8 = 0 THEN '2001-02-03' WHEN year(o_orderdate) >= 2000 THEN strftime(o_orderdate, '%Y-%m-%d') END AS deadline, CASE WHEN o_orderkey % 4 = 3 THEN NULL WHEN o_orderkey % 4 = 1 THEN 'two' ELSE '' END AS warned,
 CASE WHEN o_orderkey % 4 <> 3 THEN 'job ' || o_orderkey || ',two' END AS jobs, CASE WHEN o_orderkey % 4 <> 3 THEN 'http://orders/' || o_orderkey END AS source_url FROM orders""")
 def posting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as postings whose text a page holds, structured by answers that hold to the schema, do so when asked again, or never do."""
