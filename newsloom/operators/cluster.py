@@ -137,9 +137,10 @@ def leader_clusters(df: DataFrame, subject: str, order: str, vector: str, day: s
         return part[["s", "o"]].assign(cluster=leaders(_matrix(part["v"].tolist()), days_of(part), near, window))
 
     named = lambda out: out.select(F.col("s").alias(subject), F.col("o").alias(order), "cluster")
-    large = materialise(rows.groupBy("s").agg(F.count("*").alias("n"), F.min(F.when(F.col("d").isNull(), F.col("o"))).alias("undated")).where(F.col("n") > TASK_ROWS))
+    large = rows.groupBy("s").agg(F.count("*").alias("n"), F.min(F.when(F.col("d").isNull(), F.col("o"))).alias("undated")).where(F.col("n") > TASK_ROWS)
     if large.isEmpty():
         return named(rows.groupBy("s").applyInPandas(run, schema))
+    large = materialise(large)
     small = rows.join(large, rows.s.eqNullSafe(large.s), "left_anti").groupBy("s").applyInPandas(run, schema)
 
     whole = rows.join(large.select(F.col("s").alias("ls"), "undated"), rows.s.eqNullSafe(F.col("ls"))).drop("ls")
@@ -204,9 +205,10 @@ def coherent_groups(df: DataFrame, group: str, order: str, vector: str, least: f
         return own[["s", "o"]].assign(part=parts)
 
     named = lambda out: out.select(F.col("s").alias(group), F.col("o").alias(order), "part")
-    large = materialise(rows.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS))
+    large = rows.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > TASK_ROWS)
     if large.isEmpty():
         return named(rows.groupBy("s").applyInPandas(run, schema))
+    large = materialise(large)
     small = rows.join(large, rows.s.eqNullSafe(large.s), "left_anti").groupBy("s").applyInPandas(run, schema)
     keyed = materialise(rows.join(large.select(F.col("s").alias("ls")), rows.s.eqNullSafe(F.col("ls"))).drop("ls").withColumn("id", F.xxhash64("s", "o")))
 

@@ -804,24 +804,24 @@ def news_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROUNDS = [(n, a, b) for n, (a, b) in enumerate(incremental.search_rounds(AS_OF))]
-#: Orders as articles: the newest first, of which 30 pages of 10 are read a window and the days before once more; those of every 25th key are
-#: relevant. All are alike, so that those of a day and the day before are near copies; two neighbouring copies' firsts are one issue, if a mirror of
+#: Every 15th order as an article: the newest first, of which 30 pages of 2 are read a window and the days before once more; those of every 45th key are
+#: not relevant. All are alike, so that those of a day and the day before are near copies; two neighbouring copies' firsts are one issue, if a mirror of
 #: one of its articles names the company. Rounds end with 15 issues; the first two issues of each batch are one timeline.
 SEARCH_SQL = f"""
-WITH RECURSIVE o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS press FROM orders),
+WITH RECURSIVE o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderstatus AS press FROM orders WHERE o_orderkey % 15 = 0),
 w AS (SELECT * FROM (VALUES {", ".join(f"({n}, DATE '{a}', DATE '{b}')" for n, a, b in ROUNDS)}) AS x(n, a, b)),
 f AS (SELECT n, k, d, press, row_number() OVER (PARTITION BY n ORDER BY d DESC, k) AS r FROM o JOIN w ON d BETWEEN a AND b),
-g AS (SELECT n, min(d) AS oldest FROM f WHERE r <= 300 GROUP BY n),
+g AS (SELECT n, min(d) AS oldest FROM f WHERE r <= 60 GROUP BY n),
 l AS (SELECT f.n, k, d, press, row_number() OVER (PARTITION BY f.n ORDER BY d DESC, k) AS r FROM f JOIN g ON g.n = f.n AND d < oldest),
-z AS (SELECT n, k, d, press FROM f WHERE r <= 300 UNION ALL SELECT n, k, d, press FROM l WHERE r <= 300),
-p AS (SELECT k, d, press, n, row_number() OVER (ORDER BY n, d DESC, k) AS ord FROM z WHERE k % 25 = 0),
+z AS (SELECT n, k, d, press FROM f WHERE r <= 60 UNION ALL SELECT n, k, d, press FROM l WHERE r <= 60),
+p AS (SELECT k, d, press, n, row_number() OVER (ORDER BY n, d DESC, k) AS ord FROM z WHERE k % 45 <> 0),
 c(a) AS (SELECT max(d) FROM p UNION ALL SELECT (SELECT max(d) FROM p WHERE d < c.a - 1) FROM c WHERE c.a IS NOT NULL),
 q AS (SELECT p.*, (SELECT min(a) FROM c WHERE a >= p.d) AS anchor FROM p),
 s AS (SELECT *, min(ord) OVER (PARTITION BY anchor) AS head, min(n) OVER (PARTITION BY anchor) AS since FROM q),
 u AS (SELECT *, dense_rank() OVER (ORDER BY head) - 1 AS cluster FROM s),
 v AS (SELECT *, (cluster // 25) * 25 + cluster % 25 // 2 AS issue FROM u),
 m AS (SELECT v.n AS upto, x.* FROM (SELECT DISTINCT n FROM p) AS v JOIN v AS x ON x.n <= v.n),
-h AS (SELECT upto, issue FROM m GROUP BY upto, issue HAVING bool_or(k % 50 = 0)),
+h AS (SELECT upto, issue FROM m GROUP BY upto, issue HAVING bool_or(k % 60 = 0)),
 e AS (SELECT coalesce(min(upto) FILTER (WHERE issues >= {incremental.ENOUGH}), max(upto)) AS upto FROM (SELECT upto, count(*) AS issues FROM h GROUP BY upto)),
 t AS (SELECT m.* FROM m JOIN e USING (upto) JOIN h USING (upto, issue)),
 first AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ord) AS pick FROM t),
@@ -839,22 +839,22 @@ def company_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A company's search from end to end, through the paged source: see SEARCH_SQL for what decides its rows."""
     path, none = f"{shared_dir(spark)}/articles-{uuid.uuid4().hex}", F.lit(None).cast("string")
     key = F.col("o_orderkey")
-    orders = table(spark, sf_dir, "orders").withColumn("day", F.col("o_orderdate").cast("date")).withColumn("ord", -F.unix_date("day") * 10_000_000_000 + key)
+    orders = table(spark, sf_dir, "orders").where(key % 15 == 0).withColumn("day", F.col("o_orderdate").cast("date")).withColumn("ord", -F.unix_date("day") * 10_000_000_000 + key)
     text = key.cast("string")
     paged.store_articles(orders.select(
         F.lit('"Acme"').alias("query"), "ord", F.concat(F.lit("order "), text).alias("title"), F.concat(F.lit("http://articles/"), text).alias("url"), F.concat(F.lit("http://mirrors/"), text).alias("mirror_url"),
         F.col("o_orderstatus").alias("press"), F.lit("an order").alias("snippet"), F.col("day").alias("date"),
     ), path)
-    name = F.when(key % 50 == 0, "Acme").otherwise("a company")
-    mirrors = table(spark, sf_dir, "orders").where(key % 25 == 0).select(F.concat(F.lit("http://mirrors/"), text).alias("url"), F.concat(F.lit('<article id="dic_area">Order of '), name, F.lit("</article>")).alias("html"))
+    name = F.when(key % 60 == 0, "Acme").otherwise("a company")
+    mirrors = orders.select(F.concat(F.lit("http://mirrors/"), text).alias("url"), F.concat(F.lit('<article id="dic_area">Order of '), name, F.lit("</article>")).alias("html"))
     placed = lambda found, size: decisions.batches(found, [], "ord", size).select("batch_id", F.lit(0).alias("pos"), "idx")
 
     def relevant(items: DataFrame) -> DataFrame:
-        good = items.where(F.regexp_extract("title", r"order (\d+)", 1).cast("long") % 25 == 0).select("batch_id", F.col("idx").alias("pos"), "idx")
+        good = items.where(F.regexp_extract("title", r"order (\d+)", 1).cast("long") % 45 != 0).select("batch_id", F.col("idx").alias("pos"), "idx")
         return good.unionByName(items.select("batch_id", F.lit(-1).alias("pos"), F.lit(None).cast("int").alias("idx")).distinct())
 
     p = searches.Providers(
-        search=lambda q, a, b: paged.search(spark, "newsloom.sources.paged:stored", q, a, b, AS_OF, path=path), relevant=relevant, mirrors=mirrors, vectors=lambda texts: [[1.0, 0.0] for _ in texts],
+        search=lambda q, a, b: paged.search(spark, "newsloom.sources.paged:stored", q, a, b, AS_OF, path=path, page_size=2), relevant=relevant, mirrors=mirrors, vectors=lambda texts: [[1.0, 0.0] for _ in texts],
         grouping=lambda items: items.select("batch_id", F.floor(F.col("idx") / 2).cast("int").alias("group_no"), "idx"),
         summaries=lambda found: placed(found, decisions.SUMMARY_BATCH).select("*", F.lit("gist").alias("gist"), F.lit("detail").alias("detail_summary"), F.lit("tech_rnd.patent_filing").alias("event_id")),
         importance=lambda found: placed(found, decisions.BATCH).select("*", (F.col("idx") % 10 + 1).alias("company_importance"), F.when(F.col("idx") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("supersedes")),
