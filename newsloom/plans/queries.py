@@ -603,25 +603,6 @@ def paged_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query").cast("long").alias("user_id"), F.col("title").cast("long").alias("event_id"))
 
 
-@query(PAGES_SQL)
-def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """read_pages() as a stream: every user's pages in files of their own, in no order, the loop's state kept from batch to batch."""
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    page = F.floor((F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1) / 10) + 1
-    rows = table(spark, sf_dir, "events").select("user_id", page.cast("int").alias("page"), F.struct("event_id", "props").alias("e")).groupBy("user_id", "page").agg(F.array_sort(F.collect_list("e")).alias("e"))
-    pages = rows.select("user_id", "page", F.transform("e", lambda x: x.props).alias("urls"), F.transform("e", lambda x: x.event_id.cast("string")).alias("payloads"))
-    pages.repartition(4, F.xxhash64("user_id", "page")).write.parquet(f"{at}/in")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, collect.STATE_STORE)
-    try:
-        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-        collect.run_available(collect.pages_in_turn(stream, ["user_id"]), f"{at}/state", collect.snapshots(f"{at}/out"))
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.parquet(f"{at}/out").select("user_id", F.col("payload").cast("long").alias("event_id"))
-
-
 @query("SELECT event_id, ts::VARCHAR AS ts FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-09'")
 def day_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stores.day_window(table(spark, sf_dir, "events"), F.col("ts"), date(2024, 1, 5), date(2024, 1, 9))

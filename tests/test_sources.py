@@ -145,35 +145,6 @@ def test_streams(spark, tmp_path):
     assert [r.n for r in spark.read.parquet(f"{tmp_path}/n").collect()] == [3, 3, 3, 3]
 
 
-def test_pages_in_turn_outlive_a_restart(spark, tmp_path):
-    """Pages in no order over several runs from one checkpoint give what the batch loop gives, also where windows end at unlike pages."""
-    import random
-
-    from newsloom.operators.incremental import read_pages
-
-    rng = random.Random(3)
-    pages = [(w, p, [f"{w}-{rng.randrange(4 * p + 3)}" for _ in range(rng.choice([3, 5, 8]))]) for w in range(6) for p in range(1, 34)]
-    pages += [(7, 1, ["a", "a", "b"]), (7, 2, []), (7, 3, ["c"]), (8, 2, ["late"])]
-    rows = [(w, p, i, u) for w, p, us in pages for i, u in enumerate(us)]
-    want = read_pages(spark.createDataFrame(rows, "w int, page int, pos int, url string"), ["w"], "page", "pos", "url").collect()
-    rng.shuffle(pages)
-    schema = "w int, page int, urls array<string>, payloads array<string>"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, collect.STATE_STORE)
-    try:
-        for run in range(3):
-            own = [(w, p, us, [f"{w}/{p}/{i}" for i in range(len(us))]) for w, p, us in pages[run::3]]
-            spark.createDataFrame(own + own[:2], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-            collect.run_available(collect.pages_in_turn(stream, ["w"]), f"{tmp_path}/state", collect.snapshots(f"{tmp_path}/out"))
-    finally:
-        spark.conf.set(key, before)
-    got = spark.read.parquet(f"{tmp_path}/out").collect()
-    assert sorted((r.w, r.page, r.pos, r.url) for r in got) == sorted((r.w, r.page, r.pos, r.url) for r in want)
-    assert all(r.payload == f"{r.w}/{r.page}/{r.pos}" for r in got) and {r.w for r in got} == {*range(6), 7}
-
-
 def test_news_pipeline(spark):
     schema = "subject string, ord long, title string, snippet string, body string, url string, press string, date date, embedding array<double>"
     rows = [
