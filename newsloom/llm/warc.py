@@ -24,14 +24,12 @@ def decide(df: DataFrame, key_col: str, payload_col: str, least_bytes: int = LEA
 
     Of rows with equal payloads of at least least_bytes the one with the largest key is the response and the others revisit it;
     smaller payloads are all responses. Null payloads are empty. Rows that repeat the largest key are responses all; rows
-    with a null key revisit a keyed row, and without one are responses. Raises ValueError where df has a column of one of the four new names.
+    with a null key revisit a keyed row, and without one are responses. Columns of df's that have one of the four new names are replaced.
     Digests are counted with partial sums, and those that
     repeat are written with their winners: payloads are shuffled by digest once, or not at all where these are few, and a
     crowded digest is split.
     """
-    if taken := sorted({"payload_bytes", "payload_digest", "record_type", "refers_to"} & {*df.columns}):
-        raise ValueError(f"columns {taken} are taken")
-    own = df.withColumn("payload_bytes", F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long")).withColumn("payload_digest", F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary")))
+    own = df.drop("payload_bytes", "payload_digest", "record_type", "refers_to").withColumn("payload_bytes", F.coalesce(F.octet_length(payload_col), F.lit(0)).cast("long")).withColumn("payload_digest", F.sha1(F.coalesce(F.col(payload_col), F.lit("")).cast("binary")))
     heads = own.where(F.col("payload_bytes") >= least_bytes).groupBy(F.col("payload_digest").alias("digest")).agg(F.max(key_col).alias("winner"), F.count("*").alias("n"))
     heads = materialise(heads.where("n > 1 and winner is not null").drop("n"))
     found = own.join(heads, (own.payload_digest == heads.digest) & (own.payload_bytes >= least_bytes), "left")

@@ -41,7 +41,7 @@ def test_names_of_results_cannot_be_kept(spark, docs):
         lambda: pieces.encode(docs, keep=(score.alias("ids"),)), lambda: pieces.decode(docs.withColumn("ids", F.array(F.lit(1))), keep=(F.col("text"),)), lambda: licences.scan(docs, keep=(score.alias("licences"),)),
         lambda: matroska.store(docs, keep=(score.alias("media"),)), lambda: quality.predict(docs, model, keep=(score.alias("a"), score.alias("a"))),
         lambda: spotsigs.with_signatures(docs.withColumn("__marked", score), F.col("text"), "s"), lambda: spotsigs.with_next(docs.withColumn("__b", score), "doc_id", "text", "after"),
-        lambda: spotsigs.with_next(docs.withColumn("after", score), "doc_id", "text", "after"), lambda: warc.decide(docs.withColumn("payload_bytes", score), "doc_id", "text"),
+        lambda: spotsigs.with_next(docs.withColumn("after", score), "doc_id", "text", "after"),
     ]
     for call in calls:
         with pytest.raises(ValueError, match="named like|taken"):
@@ -57,8 +57,8 @@ def test_ids_beyond_the_vocabulary(spark):
 
 def test_records_without_a_key_and_odd_addresses(spark, tmp_path):
     pages = spark.createDataFrame([(None, "http://a/\t\x00b\x1f\r\nc d\x7f", "one"), (None, "http://a/é%20", "one"), (7, None, "x" * 2000), (8, "u", "x" * 2000)], "page_id long, url string, html string")
-    decided = warc.decide(pages.withColumn("__winner", F.lit(1)), "page_id", "html")
-    assert "__winner" in decided.columns
+    decided = warc.decide(pages.withColumn("__winner", F.lit(1)).withColumn("payload_bytes", F.lit("old")), "page_id", "html")
+    assert "__winner" in decided.columns and {r.payload_bytes for r in decided.collect()} == {3, 2000}
     warc.write(decided, f"{tmp_path}/w", "page_id", "url", "html", F.when(F.col("page_id") == 7, F.lit("2020-05-06 07:08:09").cast("timestamp")))
     got = warc.resolve(warc.read(spark, f"{tmp_path}/w", payloads=False)).collect()
     assert len({r.record_id for r in got}) == 4
