@@ -251,6 +251,12 @@ def normalise(sentence: Column) -> Column:
     plain = F.translate(F.lower(sentence), "#", " ")
     plain = F.regexp_replace(plain, rf"(version{SPACE}+|licenses?[/ ]|v\.? ?|cc0 |-|by |nc |sa |nd |attribution |sharealike |commercial |derivatives |apache |gpl |mpl |epl |eupl |cddl )({VERSION})", "$1 # ")
     plain = F.trim(F.regexp_replace(plain, OTHER, " "))
+    # As a lambda's argument the plain sentence is made once, not once for each of its uses.
+    return F.get(F.transform(F.array(plain), _canonical), F.lit(0))
+
+
+def _canonical(plain: Column) -> Column:
+    """A plain sentence with its holder's name, or what surrounds a short notice, left out."""
     short = F.regexp_replace(F.regexp_replace(plain, f"^{BEFORE}", NOTICE), f"{AFTER}$", "")
     maybe = (F.length(plain) < NOTICE_CHARS) & (plain.contains(" under ") | plain.contains(" by ") | plain.contains(" with "))
     notice = maybe & plain.rlike(f"^{BEFORE}") & ~plain.isin(*KNOWN_WHOLE)
