@@ -5,6 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.plans import queries
 from newsloom.sources import pdf
 
 
@@ -63,6 +64,19 @@ def test_broken_files():
     assert pdf.read(loop) == ([], "no pages")
 
 
+def test_wide_ranges_of_a_map_are_not_written_out(spark, monkeypatch):
+    cmap = b"1 begincodespacerange <00000000> <FFFFFFFF> endcodespacerange 1 beginbfchar <00000041> <0078> <00010041> <0079> endbfchar 3 beginbfrange <00000000> <FFFFFFFF> <0000> <00000040> <00000042> <0061> <00000100> <00000300> <00410000> endbfrange"
+    made = pdf.File(file((1, b"<< /ToUnicode 2 0 R >>"), (2, stream(cmap))))
+    font = pdf.Font(made, made.objects[1])
+    shown = bytes.fromhex("0000003F 00000041 00000101 00010041 0000D800 FFFFFFFF 00000041")
+    assert font.text(shown) == "?bA\x01\U00010041\ufffd\U0010ffffb" and len(font.codes) <= pdf.NARROW
+    rows = spark.createDataFrame([(i,) for i in range(5)], "s_suppkey long").withColumn("s_name", F.lit("x")).coalesce(1)
+    monkeypatch.setattr(queries, "table", lambda *_: rows)
+    monkeypatch.setattr(queries, "FILES", 2)
+    got = queries.pdf_files(spark, "")
+    assert got.rdd.getNumPartitions() == 3 and got.where("text = '이력서 x\npage\ntwo'").count() == 4
+
+
 def test_pdf_rows(spark):
     data = file(*TREE, (5, stream(FIRST)), (6, stream(b"BT (two) Tj ET")), (8, stream(b"")))
     df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"x")), (3, None)], "n int, content binary")
