@@ -24,9 +24,9 @@ from newsloom.llm.common import Kept, in_arrow, slices
 
 BLANK = "▁"
 #: Units longer than this advance alone, without tables for a group. Characters of texts handled at once. What a process
-#: keeps for later texts of a task: distinct units, about 250 bytes each, and pairs, 9 bytes each.
-LONG, SLICE, KEPT, KEPT_PAIRS = 64, 1 << 20, 60_000, 500_000
-_P = np.uint64(0x9E3779B97F4A7C15)
+#: keeps for later texts of a task: distinct units, about 250 bytes each. Places for pairs met, 8 bytes each, a power of two.
+LONG, SLICE, KEPT, PLACES = 64, 1 << 20, 60_000, 1 << 20
+_P, _TOP = np.uint64(0x9E3779B97F4A7C15), np.uint64(44)
 
 
 def _spread(code: int | np.ndarray) -> int | np.ndarray:
@@ -61,20 +61,25 @@ class Pieces:
         if len(np.unique(hashes)) < len(hashes):
             raise ValueError("two pieces have one hash")
         self.keys, self.key_ids = hashes[order], np.array([i for _, i in usable], np.int32)[order]
+        tops = self.keys >> _TOP
         self.sieve = np.zeros(1 << 20, bool)  # by the hashes' top bits, which values a piece has
-        self.sieve[self.keys >> np.uint64(44)] = True
+        self.sieve[tops] = True
+        #: Where the keys of a value begin, and how many keys a value has at most.
+        self.starts = np.searchsorted(tops, np.arange(1 << 20, dtype=np.uint64)).clip(0, max(0, len(tops) - 1)).astype(np.int32)
+        self.most = int(np.bincount(tops.astype(np.int64)).max(initial=1))
         self.usable = dict(usable)
-        self._pairs: dict[int, bool] = {}  # pairs met since they were last put into the arrays of all pairs met
-        self._met, self._met_stand = np.empty(0, np.int64), np.empty(0, bool)
+        self._pairs: dict[int, bool] = {}
+        self._met = np.full(PLACES, -1, np.int64)  # of each place the pair met last, and in the lowest bit whether it stands
         self._known: dict[str, bytes] = {}
         silent = {2: " ⁇ ".encode(), 3: b""}
-        self.plain = [bytes([self.byte_of[i]]) if i in self.byte_of else silent.get(kind, t.replace(BLANK, " ").encode()) for i, (t, _, kind) in enumerate(pieces)]
+        plain = [bytes([self.byte_of[i]]) if i in self.byte_of else silent.get(kind, t.replace(BLANK, " ").encode()) for i, (t, _, kind) in enumerate(pieces)]
+        self.plain = pa.array(plain, pa.binary())
 
     @staticmethod
     def _hash(text: str) -> int:
         h = 0
         for c in text:
-            h = (h * int(_P) + _spread(ord(c))) % 2**64
+            h = (h + _spread(ord(c))) * int(_P) % 2**64  # multiplied last: the top bits depend on all
         return h
 
     def _side(self, text: str, half: int) -> list[str]:
@@ -100,10 +105,15 @@ class Pieces:
             return True
         key = left << 32 | right
         if (known := self._pairs.get(key)) is None:
-            a, b = self.texts[left], self.texts[right]
-            known = self._pairs[key] = self._apart(self.right[a], self.left[b]) if self.left else self.merge(a + b) == [a, b]
+            if len(self._pairs) > KEPT:
+                self._pairs.clear()
+            known = self._pairs[key] = self._stands(left, right)
         return known
 
+    def _stands(self, left: int, right: int) -> bool:
+        a, b = self.texts[left], self.texts[right]
+        return self._apart(self.right[a], self.left[b]) if self.left else self.merge(a + b) == [a, b]
+
     def _apart(self, left: list[str], right: list[str]) -> bool:
         """Follow what borders the seam as both sides are merged, best score first: no join across the seam comes before its parts' own next joins."""
         score, i, j = self.score, 0, 0
@@ -123,66 +133,78 @@ class Pieces:
     def _group(self, units: list[str]) -> Iterator[bytes]:
         """The pieces of units of one length, as int32 each."""
         n, size = len(units), len(units[0])
-        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
-        codes = _spread(codes)
-        hashes = np.zeros((n, size + 1), np.uint64)  # of the substrings that end at the place reached, by their start
-        last, back = np.full((n, size + 1), -2, np.int64), np.zeros((n, size + 1), np.int32)
-        rows = np.arange(n)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
+        codes = _spread(codes.T.astype(np.uint64))
+        hashes = np.zeros((size, n), np.uint64)  # of the substrings that end at the place reached, by their start
+        last, back = np.full((size + 1, n), -2, np.int64), np.zeros((size + 1, n), np.int64)
         for end in range(1, size + 1):
             low = max(0, end - self.longest)
-            hashes[:, low:end] = hashes[:, low:end] * _P + codes[:, end - 1 : end]
-            probe = hashes[:, low:end]
-            piece = np.full(probe.shape, -2, np.int64)
-            may = self.sieve[probe >> np.uint64(44)]
-            found = probe[may]
-            at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
-            piece[may] = np.where(self.keys[at] == found, self.key_ids[at], -2)
-            lone = piece[:, -1] == -2
-            piece[lone, -1] = -1
-            before = last[:, low:end]
-            score = np.where(piece >= -1, 0, -1).astype(np.int8)
-            open_ = score == 0
-            free = open_ & ((before < 0) | (piece < 0))
-            score[free] = 1
-            ask = open_ & ~free
-            if ask.any():
-                score[ask] = self._stand(before[ask] << 32 | piece[ask])
-            best = score.argmax(axis=1)
-            last[:, end] = piece[rows, best]
-            back[:, end] = low + best
-        path, place = np.full((n, size), -2, np.int64), np.full(n, size)
-        for step in range(size - 1, -1, -1):
-            path[:, step] = np.where(place > 0, last[rows, place], -2)
-            place = back[rows, place]
+            probe = hashes[low:end]
+            probe += codes[end - 1]
+            probe *= _P
+            at, piece = self._pieces(probe.ravel())
+            before = last[low:end].ravel()[at]
+            open_ = before < 0
+            ask = np.flatnonzero(~open_)
+            if len(ask):
+                open_[ask] = self._stand(before[ask] << 32 | piece[ask])
+            lone = np.ones(n, bool)
+            single = (end - 1 - low) * n
+            lone[at[np.searchsorted(at, single) :] - single] = False
+            if strange := np.count_nonzero(lone):
+                last[end, lone], back[end, lone] = -1, end - 1
+            at, piece = at[open_], piece[open_]
+            start, row = np.divmod(at, n)
+            if strange or len(at) != n:  # characters without a piece leave a choice: the first start
+                row, first = np.unique(row, return_index=True)
+                start, piece = start[first], piece[first]
+            last[end, row], back[end, row] = piece, low + start
+        path, place, rows = [], np.full(n, size), np.arange(n)
+        while place.any():
+            at = place * n + rows
+            path.append(last.ravel()[at])
+            place = back.ravel()[at]
+        path = np.stack(path[::-1], axis=1)
         flat, ends = path[path > -2].astype(np.int32).tobytes(), (4 * np.cumsum((path > -2).sum(axis=1))).tolist()
         strange = (path == -1).any(axis=1).tolist()
         start = 0
         for i, end in enumerate(ends):
-            yield self._trace(units[i], last[i].tolist(), back[i].tolist()) if strange[i] else flat[start:end]
+            yield self._trace(units[i], last[:, i].tolist(), back[:, i].tolist()) if strange[i] else flat[start:end]
             start = end
 
+    def _pieces(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces', and these pieces."""
+        tops = (hashes >> _TOP).view(np.int64)
+        at = np.flatnonzero(self.sieve[tops])
+        found, key = hashes[at], self.starts[tops[at]]
+        for _ in range(self.most - 1):  # the keys of one value lie side by side
+            key = np.where(self.keys[key] < found, np.minimum(key + 1, len(self.keys) - 1), key)
+        same = self.keys[key] == found
+        return at[same], self.key_ids[key[same]].astype(np.int64)
+
     def _stand(self, pairs: np.ndarray) -> np.ndarray:
-        """stand() of many pairs, each left << 32 | right."""
-        if not len(self._met):
-            self._met, self._met_stand = np.array([-1]), np.array([True])
-        at = np.minimum(np.searchsorted(self._met, pairs), len(self._met) - 1)
-        out, new = self._met_stand[at], self._met[at] != pairs
-        if new.any():
+        """stand() of many pairs, each left << 32 | right. What was found is kept in one of four places that follow from the pair, until another takes it."""
+        place = lambda x: (x.view(np.uint64) * _P >> np.uint64(65 - PLACES.bit_length())).view(np.int64)
+        at = place(pairs)
+        met = self._met[at]
+        out, new = (met & 1).astype(bool), np.flatnonzero(met >> 1 != pairs)
+        for k in range(1, 4):
+            met = self._met[at[new] ^ k]
+            same = met >> 1 == pairs[new]
+            out[new[same]] = met[same] & 1
+            new = new[~same]
+        if len(new):
             own, where = np.unique(pairs[new], return_inverse=True)
-            out[new] = np.fromiter((self.stand(x >> 32, x & 0xFFFFFFFF) for x in own.tolist()), bool, len(own))[where]
+            stands = np.fromiter((self._stands(x >> 32, x & 0xFFFFFFFF) for x in own.tolist()), bool, len(own))
+            out[new] = stands[where]
+            at, met = place(own), own << 1 | stands
+            for k in range(4):
+                free = self._met[at ^ k] < 0
+                self._met[at[free] ^ k] = met[free]
+                at, met = at[~free], met[~free]
+            self._met[at ^ (met >> 1 & 3)] = met
         return out
 
-    def _settle(self) -> None:
-        """Put the pairs newly met into the arrays; forget all when there are too many."""
-        if len(self._met) > KEPT_PAIRS:
-            self._met, self._met_stand = np.empty(0, np.int64), np.empty(0, bool)
-        if self._pairs:
-            keys = np.r_[self._met, np.fromiter(self._pairs, np.int64, len(self._pairs))]
-            stands = np.r_[self._met_stand, np.fromiter(self._pairs.values(), bool, len(self._pairs))]
-            self._met, first = np.unique(keys, return_index=True)
-            self._met_stand = stands[first]
-            self._pairs.clear()
-
     def _alone(self, unit: str) -> bytes:
         """The same for one long unit, in memory that grows with its length alone."""
         last, back = [-2] * (len(unit) + 1), [0] * (len(unit) + 1)
@@ -234,20 +256,18 @@ class Pieces:
             for at in range(0, len(units), 4096):
                 own = units[at : at + 4096]
                 known.update(zip(own, self._group(own), strict=True))
-            if len(self._pairs) > 2000:
-                self._settle()
         return [np.frombuffer(b"".join(map(known.__getitem__, units)), np.int32) for units in cut]
 
     def forget(self) -> None:
-        """Let go of all units and pairs met."""
+        """Let go of all units met; pairs stay in their places for later tasks."""
         self._known, self._pairs = {}, {}
-        self._met, self._met_stand = np.empty(0, np.int64), np.empty(0, bool)
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids, without the blank put before it. Control pieces are silent; the unknown piece is U+2047, and so is an id beyond the vocabulary."""
         own, n = np.asarray(ids, np.int64), len(self.plain)
         own = np.where((own >= 0) & (own < n), own, self.unknown)
-        text = b"".join(map(self.plain.__getitem__, own.tolist())).decode("utf-8", "replace")
+        data = self.plain.take(pa.array(own)).buffers()[2]
+        text = data.to_pybytes().decode("utf-8", "replace") if data else ""
         return text[1:] if self.add_blank and text.startswith(" ") else text
 
 

@@ -158,6 +158,23 @@ def test_forgetting_keeps_results(both, monkeypatch):
         assert [x.tolist() for x in own.encode(texts)] == lib.encode(texts)
 
 
+def test_pairs_are_worked_out_once_a_process(both, monkeypatch):
+    own, lib = both
+    worked, apart = [], own._apart
+    monkeypatch.setattr(own, "_apart", lambda left, right: worked.append(left[-1] + right[-1]) or apart(left, right))
+    texts = [f"{a}{b}ing {b}ly{a}" for a in ("whirl", "snork", "plum") for b in ("bet", "gard", "ost")]
+    assert [x.tolist() for x in own.encode(texts)] == lib.encode(texts)
+    own.forget()  # as at the end of a task
+    worked.clear()
+    assert [x.tolist() for x in own.encode(texts)] == lib.encode(texts) and worked == []
+
+
+def test_characters_without_a_piece_in_groups():
+    own = pieces.Pieces([("<unk>", 0, 2), ("cd", 0, 1), ("ab", -1, 1), ("abcd", -2, 1), ("a", -9, 1), ("d", -9, 1)], add_blank=False)
+    units = ["".join(random.Random(i).choices("abcdx", k=9)) for i in range(200)]
+    assert list(own._group(units)) == [own._alone(u) for u in units] == [np.array([own.ids.get(p, 0) for p in own.merge(u)], np.int32).tobytes() for u in units]
+
+
 def test_pieces_in_spark(spark, both):
     rows = frame(spark, [(1, "a b"), (1, "a b"), (2, None), (None, ""), (3, " é")])
     got = pieces.encode(rows, keep=(F.col("doc_id"),), decoded=True)
